@@ -82,6 +82,8 @@ def feature_rows(
         coded = ["_cycle", *coded]
     for c in coded:
         labels = features.alphabetical_labels(rows, c)
+        if c == "_cycle":
+            labels = sorted(labels, key=int)
         rows = features.one_hot_sorted(rows, c, f"_hot_{c}", labels)
         blocks.append(F.col(f"_hot_{c}"))
     wide = rows.select(id_col, V.concat_blocks(*blocks).alias("features"))
