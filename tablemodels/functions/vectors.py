@@ -108,15 +108,19 @@ def linear_kernel(a: Column, b: Column) -> Column:
     return dot(a, b)
 
 
+def _minus(x: Column, scalar: Column) -> Column:
+    # The scalar is repeated beside x: inside a lambda it would be worked out per element.
+    return F.zip_with(x, F.array_repeat(scalar, F.size(x)), lambda v, s: v - s)
+
+
 def log_sum_exp(x: Column) -> Column:
     """log Σ exp(x_i), shifted by the largest element so that it cannot overflow."""
     top = F.array_max(x)
-    return top + F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+    return top + F.log(F.aggregate(_minus(x, top), F.lit(0.0), lambda acc, v: acc + F.exp(v)))
 
 
 def log_softmax(x: Column) -> Column:
-    lse = log_sum_exp(x)
-    return F.transform(x, lambda v: v - lse)
+    return _minus(x, log_sum_exp(x))
 
 
 def softmax(x: Column) -> Column:

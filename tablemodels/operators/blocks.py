@@ -15,6 +15,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ARROW_TYPES = {
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "array<double>": pa.list_(pa.float64()),
+}
+
 
 def matrix_of(column: pa.Array) -> np.ndarray:
     """Arrow list column to an n × d float64 matrix; rows must have one length."""
@@ -56,7 +63,7 @@ def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def fold(df: DataFrame, step: Callable, finish: Callable[[object], Iterable[tuple]], schema: str) -> DataFrame:
     """Per-task fold: ``state = step(state, *columns)`` per batch, ``finish(state)`` gives the partial rows."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    fields = [(name, ARROW_TYPES[kind]) for name, kind in (f.split() for f in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
@@ -66,7 +73,8 @@ def fold(df: DataFrame, step: Callable, finish: Callable[[object], Iterable[tupl
         if state is not None:
             rows = list(finish(state))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=names)
+                columns = [pa.array(list(c), kind) for c, (_, kind) in zip(zip(*rows), fields)]
+                yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
     return df.mapInArrow(run, schema)
 

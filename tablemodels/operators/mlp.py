@@ -228,6 +228,7 @@ def train(
     """
     began = time.monotonic()
     rows = df.select(id_col, vector, target).repartition(workers, F.col(id_col)).persist(storage)
+    held_out = None if validation is None else validation.select(vector, target).persist(storage)
     slots = np.zeros((1 if spec.optimizer == "rmsprop" else 2, net.params.size))
     steps, history = 0, History()
     try:
@@ -245,12 +246,14 @@ def train(
             slots = state[net.params.size :].reshape(slots.shape)
             steps = round(r["steps"] / r["n"])
             val = (None, None)
-            if validation is not None:
-                val = tuple(evaluate(validation, vector, target, net, spec.l2).first())
+            if held_out is not None:
+                val = tuple(evaluate(held_out, vector, target, net, spec.l2).first())
             accuracy = r["right"] / r["n"] if net.loss == "cross_entropy" else None
             history.rows.append((name, epoch, r["loss"] / r["n"], accuracy, *val))
     finally:
         rows.unpersist()
+        if held_out is not None:
+            held_out.unpersist()
     history.seconds = time.monotonic() - began
     return net, history
 
@@ -287,12 +290,18 @@ def sweep(
     workers: int = 1, validation: DataFrame | None = None,
 ) -> DataFrame:
     """Train one network per variant (hidden widths, spec) on the same rows; one history table for all."""
-    n_in, n_out = vector_width(df, vector), vector_width(df, target)
     both = History()
-    for name, (hidden, spec) in variants.items():
-        net = new_network([n_in, *hidden, n_out], loss, spec.seed)
-        _, history = train(df, id_col, vector, target, net, spec, workers, validation, name)
-        both.rows += history.rows
+    shared = [None if f is None else f.select(id_col, vector, target).persist() for f in (df, validation)]
+    try:
+        n_in, n_out = vector_width(shared[0], vector), vector_width(shared[0], target)
+        for name, (hidden, spec) in variants.items():
+            net = new_network([n_in, *hidden, n_out], loss, spec.seed)
+            _, history = train(shared[0], id_col, vector, target, net, spec, workers, shared[1], name)
+            both.rows += history.rows
+    finally:
+        for frame in shared:
+            if frame is not None:
+                frame.unpersist()
     return both.table(df.sparkSession)
 
 
