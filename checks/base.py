@@ -41,8 +41,12 @@ def sql_rnd(expr: str, places: int = 6) -> str:
 
 
 def long_vector(df: DataFrame, vector: str, *keys: str, places: int = 6) -> DataFrame:
-    """One row per vector element: keys, pos, value."""
-    return df.select(*keys, F.posexplode(vector).alias("pos", "value")).select(*keys, "pos", rnd("value", places).alias("value"))
+    """One row per vector element: keys, pos, value.
+
+    The outer form, because the plain one works the vector out a second time to
+    drop empty ones first.
+    """
+    return df.select(*keys, F.posexplode_outer(vector).alias("pos", "value")).select(*keys, "pos", rnd("value", places).alias("value"))
 
 
 def sql_long(keys: str, vector: str, source: str, places: int = 6) -> str:

@@ -78,7 +78,7 @@ def grey_folder(spark, sf):
 def _(spark, sf):
     rows = readers.read_image_folder(spark, grey_folder(spark, sf))
     key = F.regexp_extract("origin", r"/(\d+)\.png", 1).cast("bigint").alias("vec_id")
-    return rows.select(key, "class", "label", "height", F.posexplode("pixels").alias("pos", "value"))
+    return rows.select(key, "class", "label", "height", F.posexplode_outer("pixels").alias("pos", "value"))
 
 
 @query("s8_files_per_class", "SELECT label::VARCHAR AS class, count(*)::BIGINT AS n FROM embeddings GROUP BY 1")
@@ -99,7 +99,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     sized = images.resize(F.col("x"), F.lit(8), F.lit(8), 12, 5, channels=1)
-    return points(spark, sf).select("vec_id", F.posexplode(sized).alias("pos", "value"))
+    return points(spark, sf).select("vec_id", F.posexplode_outer(sized).alias("pos", "value"))
 
 
 @query("i3_width_for_height", "SELECT p_partkey, floor(p_retailprice * 400 / p_size)::INTEGER AS width FROM part")
@@ -132,13 +132,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     stretched = colour(spark, sf).withColumn("px", F.transform("px", lambda v: v * 2 - 200))
-    return stretched.select("vec_id", F.posexplode(images.restore_channels(F.col("px"))).alias("pos", "value"))
+    return stretched.select("vec_id", F.posexplode_outer(images.restore_channels(F.col("px"))).alias("pos", "value"))
 
 
 @query("i5_horizontal_flip", f"SELECT vec_id, pos::INTEGER AS pos, x[pos // 8 * 8 + 8 - pos % 8] AS value FROM {SQL_P}, range(64) t(pos)")
 def _(spark, sf):
     flipped = images.flip_horizontal(F.col("x"), 8)
-    return points(spark, sf).select("vec_id", F.posexplode(flipped).alias("pos", "value"))
+    return points(spark, sf).select("vec_id", F.posexplode_outer(flipped).alias("pos", "value"))
 
 
 @query("i5_augmented_copies")
@@ -176,7 +176,7 @@ def _(spark, sf):
 def _(spark, sf):
     down, right = align.neighbour_squares(F.col("x"), 8, 8)
     cells = points(spark, sf).select("vec_id", down.alias("d"), right.alias("r"))
-    flat = cells.select("vec_id", F.posexplode(F.arrays_zip("d", "r")).alias("pos", "v"))
+    flat = cells.select("vec_id", F.posexplode_outer(F.arrays_zip("d", "r")).alias("pos", "v"))
     return flat.select("vec_id", "pos", rnd("v.d").alias("down"), rnd("v.r").alias("right"))
 
 
@@ -187,7 +187,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     products = gram(points(spark, sf), "x", "label")
-    cells = products.select("label", "n", F.posexplode("gram").alias("p", "value"))
+    cells = products.select("label", "n", F.posexplode_outer("gram").alias("p", "value"))
     at = [F.floor(F.col("p") / 64).cast("int").alias("i"), (F.col("p") % 64).alias("j")]
     return cells.select("label", "n", *at, rnd("value").alias("value"))
 

@@ -136,7 +136,7 @@ SQL_PAIRS = f"WITH {SQL_START}, j AS (SELECT vec_id, k, pow(list_distance(x, c),
 @query("j2_point_centre_distances", SQL_PAIRS + f" SELECT vec_id, k::INTEGER AS cluster, {sql_rnd('d')} AS dist FROM j")
 def _(spark, sf):
     df = points(spark, sf)
-    every = df.select("vec_id", F.posexplode(cluster.distances(F.col("x"), label_start(df))).alias("cluster", "d"))
+    every = df.select("vec_id", F.posexplode_outer(cluster.distances(F.col("x"), label_start(df))).alias("cluster", "d"))
     return every.select("vec_id", "cluster", rnd("d").alias("dist"))
 
 

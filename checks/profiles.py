@@ -148,7 +148,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cov = groups.group_covariances(points(spark, sf), "label", "x")
-    rows = cov.select("label", F.posexplode("cov").alias("i", "row"))
+    rows = cov.select("label", F.posexplode_outer("cov").alias("i", "row"))
     return long_vector(rows, "row", "label", "i").withColumnRenamed("pos", "j")
 
 

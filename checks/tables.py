@@ -92,7 +92,7 @@ def _to_npy(batches):
 def _(spark, sf):
     shards = points(spark, sf).select("vec_id", "x").mapInArrow(_to_npy, "path string, content binary")
     images = readers.decode_npy(shards)
-    cells = images.select("height", "width", F.posexplode("pixels").alias("pos", "v"))
+    cells = images.select("height", "width", F.posexplode_outer("pixels").alias("pos", "v"))
     return cells.groupBy("height", "width", "pos").agg(F.count("*").alias("n"), rnd(F.sum("v")).alias("total"))
 
 
@@ -342,8 +342,8 @@ def _(spark, sf):
     f"FROM {SQL_P}, range(1, 65) t(pos)",
 )
 def _(spark, sf):
-    square = points(spark, sf).select("vec_id", F.posexplode(V.reshape(F.col("x"), 8, 8)).alias("r", "row"))
-    return square.select("vec_id", "r", F.posexplode("row").alias("c", "value"))
+    square = points(spark, sf).select("vec_id", F.posexplode_outer(V.reshape(F.col("x"), 8, 8)).alias("r", "row"))
+    return square.select("vec_id", "r", F.posexplode_outer("row").alias("c", "value"))
 
 
 @query("p20_slice", sql_long("vec_id", "x[3:5]", SQL_P))
@@ -405,7 +405,7 @@ def _(spark, sf):
 def _(spark, sf):
     x = F.col("x")
     rows = points(spark, sf).select("vec_id", V.log_sum_exp(x).alias("lse"), V.log_softmax(x).alias("lp"), V.softmax(x).alias("p"))
-    cells = rows.select("vec_id", "lse", F.posexplode(F.arrays_zip("lp", "p")).alias("pos", "v"))
+    cells = rows.select("vec_id", "lse", F.posexplode_outer(F.arrays_zip("lp", "p")).alias("pos", "v"))
     return cells.select("vec_id", "pos", rnd("lse").alias("lse"), rnd("v.lp").alias("log_p"), rnd("v.p").alias("p"))
 
 
@@ -416,4 +416,4 @@ def _(spark, sf):
 )
 def _(spark, sf):
     bytes_ = V.clip_to_byte(F.transform("x", lambda v: v * 900 + 100))
-    return points(spark, sf).select("vec_id", F.posexplode(bytes_).alias("pos", "value"))
+    return points(spark, sf).select("vec_id", F.posexplode_outer(bytes_).alias("pos", "value"))

@@ -82,4 +82,5 @@ def bucket_by_cuts(col: Column, cuts: Sequence[float], boundary: str = "null") -
 
 def cycle(col: Column, n: int = 12) -> Column:
     """Position in an n-cycle: floored modulo, halves rounded to even."""
-    return F.bround(F.pmod(col, F.lit(n)), 0)
+    rest = col % n
+    return F.bround(F.when(rest < 0, rest + n).otherwise(rest), 0)

@@ -144,7 +144,8 @@ def clip_to_byte(x: Column) -> Column:
 def one_hot(index: Column, n: int) -> Column:
     """Dense 0/1 vector of length n, no category dropped; an index outside 0..n-1 fails the job."""
     i = index.cast("int")
-    hot = F.array(*[F.when(i == k, F.lit(1.0)).otherwise(F.lit(0.0)) for k in range(n)])
+    zero = F.lit(0.0)
+    hot = F.concat(F.array_repeat(zero, i), F.array(F.lit(1.0)), F.array_repeat(zero, F.lit(n - 1) - i))
     message = F.concat(F.lit(f"index outside 0..{n - 1}: "), i.cast("string"))
     return F.when((i >= 0) & (i < n), hot).when(i.isNotNull(), F.raise_error(message))
 

@@ -52,6 +52,12 @@ def vector_width(df: DataFrame, vector: str) -> int:
     return row[0]
 
 
+def collect_vectors(df: DataFrame, vector: str) -> np.ndarray:
+    """A small table's vector column as a matrix on the driver, through Arrow."""
+    column = df.select(vector).toArrow().column(0)
+    return matrix_of(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
+
+
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """n × k squared distances, taken from the differences so that equal centres tie exactly."""
     out = np.empty((len(x), len(centres)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import fold, gram, group_codes, matrix_of, sum_vectors, vector_width
+from tablemodels.operators.blocks import collect_vectors, fold, gram, group_codes, matrix_of, sum_vectors, vector_width
 from tablemodels.session import MAX_LOOKUP_ROWS, check_model_size, collect_bounded, small_table
 
 # Up to this width all pairs of columns are plain aggregates in one pass.
@@ -105,5 +105,5 @@ def normal_sums(df: DataFrame, basis: str, target: str, width: int) -> tuple[np.
     else:
         check_model_size((width + 1) ** 2, "Gram matrix")
         rows = df.select(F.concat(basis, F.array(F.col(target).cast("double"))).alias("row"))
-        full = np.array(gram(rows, "row").first()["gram"]).reshape(width + 1, width + 1)
+        full = collect_vectors(gram(rows, "row"), "gram").reshape(width + 1, width + 1)
     return full[:width, :width], full[:width, width]

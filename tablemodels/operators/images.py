@@ -40,29 +40,37 @@ def resize(pixels: Column, height: Column, width: Column, to_height: int, to_wid
     return nearest(pixels, height, width)
 
 
+def _on_pixels(pixels: Column, change, element: str = "double") -> Column:
+    """``change`` on the flat values of a batch of images, whatever their sizes."""
+
+    @F.arrow_udf(f"array<{element}>")
+    def run(px: pa.Array) -> pa.Array:
+        lengths = px.value_lengths().to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        values = change(px.flatten().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
+
+    return run(pixels)
+
+
 def centre_channels(pixels: Column) -> Column:
     """RGB pixels to mean-centred BGR."""
-    means = F.lit(list(CHANNEL_MEANS))
-    return F.transform(pixels, lambda _, i: F.get(pixels, i + 2 - (i % 3) * 2) - F.get(means, i % 3))
+    return _on_pixels(pixels, lambda flat: flat.reshape(-1, 3)[:, ::-1] - np.array(CHANNEL_MEANS))
 
 
 def restore_channels(pixels: Column) -> Column:
     """Mean-centred BGR back to RGB bytes, clipped and truncated."""
-    means = F.lit(list(CHANNEL_MEANS))
-    rgb = F.transform(
-        pixels, lambda _, i: F.get(pixels, i + 2 - (i % 3) * 2) + F.get(means, F.lit(2) - i % 3)
-    )
-    return V.clip_to_byte(rgb)
 
+    def restore(flat):
+        bgr = flat.reshape(-1, 3) + np.array(CHANNEL_MEANS)
+        return np.clip(bgr[:, ::-1], 0, 255).astype(np.int32)
 
-def flip_horizontal(pixels: Column, width: int, channels: int = 1) -> Column:
-    """Each image row mirrored."""
+    return _on_pixels(pixels, restore, "int")
 
-    def source(i: Column) -> Column:
-        column = F.floor(i / channels) % width
-        return (i + (F.lit(width - 1) - column * 2) * channels).cast("int")
 
-    return F.transform(pixels, lambda _, i: F.get(pixels, source(i)))
+def flip_horizontal(pixels: Column, width: int, channels: int = 1) -> Column:
+    """Each image row mirrored."""
+    return _on_pixels(pixels, lambda flat: flat.reshape(-1, width, channels)[:, ::-1])
 
 
 def augment_parameters(

@@ -238,10 +238,12 @@ def train(
             mixed = shuffled.select(vector, target, F.spark_partition_id().alias("_worker"))
             partials = _epoch_job(mixed, net, spec, slots, steps, epoch)
             total = sum_vectors(partials, [], "state", ["n", "loss", "right", "steps"], salt=32 if workers > 64 else 0)
-            r = total.first()
-            if r is None or not r["n"]:
+            r = total.toArrow()  # one row
+            state = matrix_of(r.column("state").combine_chunks())
+            r = {c: r.column(c)[0].as_py() for c in ("n", "loss", "right", "steps")}
+            if not r["n"]:
                 raise ValueError("no rows to train on")
-            state = np.array(r["state"]) / r["n"]
+            state = state[0] / r["n"]
             net = Network(net.widths, net.loss, state[: net.params.size])
             slots = state[net.params.size :].reshape(slots.shape)
             steps = round(r["steps"] / r["n"])

@@ -73,7 +73,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = []
     for i, c in enumerate(cols):
         n, mean, std, lo, hi = flat[5 * i : 5 * i + 5]
-        q1, q2, q3 = percentiles(df, c, (0.25, 0.5, 0.75))
+        q1, q2, q3 = percentiles(df, c, (0.25, 0.5, 0.75), bounds=(n, lo, hi))
         stats = {"count": n, "mean": mean, "std": std, "min": lo, "25%": q1, "50%": q2, "75%": q3, "max": hi}
         rows += [(c, k, None if v is None else float(v)) for k, v in stats.items()]
     return small_table(df.sparkSession, rows, "column string, stat string, value double")

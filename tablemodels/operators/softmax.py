@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import fold, matrix_of, sum_vectors, vector_array, vector_width
+from tablemodels.operators.blocks import collect_vectors, fold, matrix_of, sum_vectors, vector_array, vector_width
 from tablemodels.session import check_model_size, small_table
 
 # Widest Hessian (weights squared) that Newton steps may ask for.
@@ -58,15 +58,15 @@ def loss_and_gradient(
         if hessian:
             h = np.zeros((n_classes, width, n_classes, width))
             for a in range(n_classes):
-                for b in range(n_classes):
+                for b in range(a, n_classes):
                     w = p[:, a] * ((a == b) - p[:, b])
-                    h[a, :, b, :] = (x * w[:, None]).T @ x
+                    h[a, :, b, :] = h[b, :, a, :] = (x * w[:, None]).T @ x
             parts.append(h.reshape(-1))
         part = np.concatenate(parts)
         return part if state is None else state + part
 
     partials = fold(df.select(vector, label), step, lambda s: [(s,)], "part array<double>")
-    total = np.array(sum_vectors(partials, [], "part", salt=32 if hessian else 0).first()["part"])
+    total = collect_vectors(sum_vectors(partials, [], "part", salt=32 if hessian else 0), "part")[0]
     loss = total[0] + lam * (weights**2).sum()
     grad = total[1 : 1 + size].reshape(weights.shape) + 2 * lam * weights
     if not hessian:
