@@ -45,9 +45,14 @@ class PerceptronModel:
 
 
 def support_scores(ids: list, signs: np.ndarray, vectors: np.ndarray, kernel: KernelMatrix) -> np.ndarray:
-    """a_i · (ŷ(x_i) − a_i·K(x_i, x_i)): how well a support does without itself."""
+    """a_i · (ŷ(x_i) − a_i·K(x_i, x_i)): how well a support does without itself.
+
+    Its own term is left out rather than subtracted again, so that equal
+    supports tie exactly.
+    """
     k = kernel(vectors, vectors)
-    return signs * (k @ signs - signs * np.diag(k))
+    np.fill_diagonal(k, 0.0)
+    return signs * (k @ signs)
 
 
 def worst_supports(model: PerceptronModel, spark: SparkSession, id_type: str = "bigint") -> DataFrame:
