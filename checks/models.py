@@ -314,6 +314,25 @@ def _(spark, sf):
     return sm.softmax_fit(plane(spark, sf), "x", "label", lam=LAM).table(spark)
 
 
+@query(
+    "m10_softmax_newton_gradient",
+    "SELECT c::INTEGER AS label, j::INTEGER AS feature, 0.0::DOUBLE AS gradient FROM range(3) t(c), range(3) u(j)",
+)
+def _(spark, sf):
+    """At the fitted weights the penalised gradient, taken again with column expressions, is zero."""
+    df = flags(spark, sf)
+    w = sm.softmax_fit(df, "x", "label", lam=LAM).weights
+    p = df.withColumn("p", V.softmax(sm.class_scores(F.col("x"), w))).withColumn("b", V.append_bias(F.col("x")))
+    n = df.count()
+    cells = [
+        (F.sum((F.col("p")[c] - F.when(F.col("label") == c, 1.0).otherwise(0.0)) * F.col("b")[j]) + 2 * LAM * float(w[c, j])) / n
+        for c in range(3) for j in range(3)
+    ]
+    rows = F.array(*[F.struct(F.lit(i // 3).alias("label"), F.lit(i % 3).alias("feature"), F.col(f"g{i}").alias("g")) for i in range(9)])
+    totals = p.agg(*[cell.alias(f"g{i}") for i, cell in enumerate(cells)])
+    return totals.select(F.inline(rows)).select("label", "feature", rnd("g").alias("gradient"))
+
+
 @query("m10_softmax_newton_on_lineitem")
 def _(spark, sf):
     return sm.softmax_fit(flags(spark, sf), "x", "label", lam=LAM).history_table(spark)
@@ -356,6 +375,19 @@ def _(spark, sf):
     )
 
 
+@query(
+    "m27_softmax_regions_after_descent",
+    sql_softmax(STEPS) + ", q AS (SELECT x[1] AS x1, x[2] AS x2 FROM p), "
+    + GRID_SQL.format(pad=2, step=0.05).replace("FROM p)", "FROM q)").replace("g AS (SELECT i", "cells AS (SELECT i")
+    + f" SELECT grid_id::BIGINT AS grid_id, arg_max(c, (s, -c))::INTEGER AS prediction FROM (SELECT grid_id, c, "
+    f"w[1] * gx + w[2] * gy + w[3] AS s FROM cells, w{STEPS}) GROUP BY grid_id",
+)
+def _(spark, sf):
+    df, model = descend(spark, sf)
+    out = regions.decision_regions(df, "x", lambda pts, x: sm.softmax_predict(pts, x, model), pad=2)
+    return out.select("grid_id", "prediction")
+
+
 @query("m27_softmax_regions")
 def _(spark, sf):
     df = plane(spark, sf)
@@ -387,6 +419,19 @@ def _(spark, sf):
     return small_table(spark, [(j, float(v)) for j, v in enumerate(w)], "term int, weight double")
 
 
+@query("m13_sine_basis_residual", "SELECT i::INTEGER AS term, 0.0::DOUBLE AS share FROM range(8) t(i)")
+def _(spark, sf):
+    """The residual of the fitted curve is orthogonal to every basis column."""
+    rows = read(spark, sf, "lineitem", "l_quantity", "l_extendedprice")
+    curve = V.sine_basis(F.col("l_quantity"), 7)
+    w = basis.basis_fit(rows, curve, "l_extendedprice", 8)
+    fitted = basis.basis_predict(rows.withColumn("b", curve), F.col("b"), w)
+    gap = F.col("l_extendedprice") - F.col("prediction")
+    sums = fitted.agg(*[(F.sum(F.col("b")[j] * gap) / F.sum("l_extendedprice")).alias(f"s{j}") for j in range(8)])
+    rows = F.array(*[F.struct(F.lit(j).alias("term"), F.col(f"s{j}").alias("s")) for j in range(8)])
+    return sums.select(F.inline(rows)).select("term", rnd("s").alias("share"))
+
+
 @query(
     "m14_curve_on_grid",
     f"SELECT i AS id, {sql_rnd('x')} AS x, {sql_rnd('a + b * x', 4)} AS prediction FROM ({SQL_LINE}), (SELECT i, lo + i * (hi - lo) / 199.0 AS x FROM "
@@ -585,18 +630,28 @@ SQL_HIDDEN = ", ".join(f"greatest(0.0::DOUBLE, list_dot_product(x, {sql_list(w)}
 SQL_OUT = ", ".join(f"list_dot_product(h, {sql_list([row[j] for row in WEIGHTS])}) + {b}" for j, b in enumerate((0.0, 0.5, -0.5)))
 
 
-@query(
-    "m28_forward_pass",
+SQL_FORWARD = (
     f"WITH a AS (SELECT vec_id, [{SQL_HIDDEN}] AS h FROM ({SQL_POINTS})), z AS (SELECT vec_id, [{SQL_OUT}] AS z FROM a), "
     "e AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z), "
-    "f AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS v FROM e) " + sql_long("vec_id", "v", "f"),
+    "f AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS v FROM e) " + sql_long("vec_id", "v", "f")
 )
+
+
+@query("m28_forward_pass", SQL_FORWARD)
 def _(spark, sf):
     out = mlp.forward(F.col("x"), fixed_network())
     return long_vector(points(spark, sf).select("vec_id", out.alias("v")), "v", "vec_id")
 
 
-@query("k2_model_save_load")
+@query("k2_model_save_load", SQL_FORWARD)
+def _(spark, sf):
+    path = scratch_dir(spark, "model")
+    writers.save_model({"weights": fixed_network().table(spark)}, path)
+    again = mlp.network_from_table(writers.load_model(spark, path, "weights")["weights"], "cross_entropy")
+    return long_vector(points(spark, sf).select("vec_id", mlp.forward(F.col("x"), again).alias("v")), "v", "vec_id")
+
+
+@query("k2_trained_model_save_load")
 def _(spark, sf):
     net = mlp.new_network([64, 16, 10], "cross_entropy", seed=2)
     net, _ = mlp.train(label_rows(spark, sf), "vec_id", "x", "y", net, mlp.TrainSpec(), workers=2)

@@ -148,7 +148,16 @@ def _(spark, sf):
     return writers.shape(read(spark, sf, "orders"))
 
 
-@query("k4_schema_listing")
+SQL_TYPE_NAMES = (
+    "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+    "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+)
+
+
+@query(
+    "k4_schema_listing",
+    f"SELECT (row_number() OVER () - 1)::INTEGER AS position, column_name AS name, {SQL_TYPE_NAMES} AS type FROM (DESCRIBE orders)",
+)
 def _(spark, sf):
     return writers.schema_table(read(spark, sf, "orders"))
 

@@ -15,6 +15,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Cells of partial products that a task hands over at once (16 MB).
+PARTIAL_CELLS = 2_000_000
+
 ARROW_TYPES = {
     "int": pa.int32(),
     "bigint": pa.int64(),
@@ -112,7 +115,8 @@ def group_codes(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def gram(df: DataFrame, vector: str, key: str | None = None, salt: int = 32) -> DataFrame:
     """XᵀX of the rows of each key as a flat ``gram`` vector, with the row count ``n``.
 
-    Partial products leave a task per Arrow batch, so the number of keys is not bounded.
+    Partial products leave a task as they are made, a bounded number of cells
+    at a time, so neither the number of keys nor the rows of a key are bounded.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +124,22 @@ def gram(df: DataFrame, vector: str, key: str | None = None, salt: int = 32) ->
             if not batch.num_rows:
                 continue
             x = matrix_of(batch.column(0))
-            lead, code = [], np.zeros(len(x), np.int64)
             if key:
                 distinct, code = group_codes(batch.column(1))
-                lead = [distinct]
-            groups = [x[code == g] for g in range(code.max() + 1)]
-            products = np.array([(rows.T @ rows).reshape(-1) for rows in groups])
-            counts = np.array([len(rows) for rows in groups], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*lead, vector_array(products), pa.array(counts)], names=[*([key] if key else []), "gram", "n"]
-            )
+                x, counts = x[np.argsort(code, kind="stable")], np.bincount(code, minlength=len(distinct))
+            else:
+                distinct, counts = None, np.array([len(x)])
+            ends = np.cumsum(counts)
+            chunk = max(1, PARTIAL_CELLS // x.shape[1] ** 2)
+            for first in range(0, len(counts), chunk):
+                some = range(first, min(first + chunk, len(counts)))
+                groups = [x[ends[g] - counts[g] : ends[g]] for g in some]
+                products = np.array([(rows.T @ rows).reshape(-1) for rows in groups])
+                lead = [] if distinct is None else [distinct.slice(first, len(some))]
+                yield pa.RecordBatch.from_arrays(
+                    [*lead, vector_array(products), pa.array([len(rows) for rows in groups], pa.int64())],
+                    names=[*([key] if key else []), "gram", "n"],
+                )
 
     keys = [key] if key else []
     lead = f"`{key}` {df.schema[key].dataType.simpleString()}, " if key else ""

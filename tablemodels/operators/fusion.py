@@ -23,7 +23,7 @@ def fuse(
 
 def train_head(
     fused: DataFrame, id_col: str, target: str, n_classes: int, width: int, spec: TrainSpec,
-    hidden: tuple[int, ...] = (64, 64, 64), workers: int = 1, validation: DataFrame | None = None,
+    hidden: tuple[int, ...] = (64, 64, 64), workers: int | None = None, validation: DataFrame | None = None,
 ) -> tuple[Network, History]:
     """Softmax head on the fused vector; the two base networks stay as they are."""
     net = new_network([width, *hidden, n_classes], "cross_entropy", spec.seed)

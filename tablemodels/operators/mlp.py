@@ -216,17 +216,19 @@ def train(
     target: str,
     net: Network,
     spec: TrainSpec,
-    workers: int = 1,
+    workers: int | None = None,
     validation: DataFrame | None = None,
     name: str = "model",
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
 ) -> tuple[Network, History]:
     """Train on (vector, target) rows; the result depends on ids, seed and workers only.
 
-    Rows go to workers by id and are shuffled anew each epoch by a hash of
+    ``workers`` is the cluster's parallelism unless given; one worker gives the
+    order of a single trainer, and has to take every row.  Rows go to workers by id and are shuffled anew each epoch by a hash of
     (seed, epoch, id), inside the worker.
     """
     began = time.monotonic()
+    workers = workers or df.sparkSession.sparkContext.defaultParallelism
     rows = df.select(id_col, vector, target).repartition(workers, F.col(id_col)).persist(storage)
     held_out = None if validation is None else validation.select(vector, target).persist(storage)
     slots = np.zeros((1 if spec.optimizer == "rmsprop" else 2, net.params.size))
@@ -289,7 +291,7 @@ def evaluate(df: DataFrame, vector: str, target: str, net: Network, l2: float =
 
 def sweep(
     df: DataFrame, id_col: str, vector: str, target: str, loss: str, variants: dict[str, tuple[list[int], TrainSpec]],
-    workers: int = 1, validation: DataFrame | None = None,
+    workers: int | None = None, validation: DataFrame | None = None,
 ) -> DataFrame:
     """Train one network per variant (hidden widths, spec) on the same rows; one history table for all."""
     both = History()

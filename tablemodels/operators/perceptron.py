@@ -50,7 +50,7 @@ def support_scores(ids: list, signs: np.ndarray, vectors: np.ndarray, kernel: Ke
     Its own term is left out rather than subtracted again, so that equal
     supports tie exactly.
     """
-    k = kernel(vectors, vectors)
+    k = np.array(kernel(vectors, vectors), dtype=np.float64)
     np.fill_diagonal(k, 0.0)
     return signs * (k @ signs)
 

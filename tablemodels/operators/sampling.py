@@ -94,9 +94,11 @@ def draw_with_replacement(df: DataFrame, id_col: str, n: int, seed: int | str, *
 
     inside = df.select(id_col, bucket.alias("b")).join(F.broadcast(wanted.select("b").distinct()), "b")
     ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(id_col)))
-    drawn = ranked.join(wanted, ["b", "place"]).select("t", id_col)
+    found = ranked.join(wanted, ["b", "place"]).select("t", id_col)
     if not payload:
-        return drawn
+        return found
+    # n rows by construction, fetched first so that the ranking is no part of a broadcast
+    drawn = small_table(spark, found.collect(), f"t int, `{id_col}` {df.schema[id_col].dataType.simpleString()}")
     return df.select(id_col, *payload).join(F.broadcast(drawn), id_col).select("t", id_col, *payload)
 
 
