@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tablemodels.session import MAX_LOOKUP_ROWS, collect_bounded
 
+# Pixels that a task decodes at once (32 MB as doubles).
+DECODED_CELLS = 4_000_000
+
 
 def read_parquet(spark: SparkSession, path: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(path)
@@ -85,15 +88,19 @@ def image_rows(df: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, w, c = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            pixels = []
-            for blob, hh, ww, cc in zip(batch.column(4), h, w, c):
-                bgr = np.frombuffer(blob.as_buffer(), np.uint8).reshape(hh, ww, cc)
-                rgb = bgr if cc == 1 else bgr[:, :, [2, 1, 0, *range(3, cc)]]
-                pixels.append(rgb.reshape(-1).astype(np.float64))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), pa.array(pixels, pa.list_(pa.float64()))],
-                names=["origin", "height", "width", "channels", "pixels"],
-            )
+            cells = int((h.astype(np.int64) * w * c).max(initial=1))
+            step = max(1, DECODED_CELLS // cells)  # a pixel grows from one byte to eight
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                pixels = []
+                for blob, hh, ww, cc in zip(part.column(4), h[first:], w[first:], c[first:]):
+                    bgr = np.frombuffer(blob.as_buffer(), np.uint8).reshape(hh, ww, cc)
+                    rgb = bgr if cc == 1 else bgr[:, :, [2, 1, 0, *range(3, cc)]]
+                    pixels.append(rgb.reshape(-1).astype(np.float64))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(4)), pa.array(pixels, pa.list_(pa.float64()))],
+                    names=["origin", "height", "width", "channels", "pixels"],
+                )
 
     parts = [F.col(f"image.{f}") for f in ("origin", "height", "width", "nChannels", "data")]
     return df.select(*parts).mapInArrow(
