@@ -174,10 +174,9 @@ def _(spark, sf):
     f"{sql_rnd('pow(x[r * 8 + c + 1] - x[r * 8 + c + 2], 2)')} AS \"right\" FROM {SQL_P}, range(7) t(r), range(7) u(c)",
 )
 def _(spark, sf):
-    down, right = align.neighbour_squares(F.col("x"), 8, 8)
-    cells = points(spark, sf).select("vec_id", down.alias("d"), right.alias("r"))
-    flat = cells.select("vec_id", F.posexplode_outer(F.arrays_zip("d", "r")).alias("pos", "v"))
-    return flat.select("vec_id", "pos", rnd("v.d").alias("down"), rnd("v.r").alias("right"))
+    cells = points(spark, sf).select("vec_id", align.neighbour_squares(F.col("x"), 8, 8).alias("s"))
+    flat = cells.select("vec_id", F.posexplode_outer(F.arrays_zip("s.down", "s.right")).alias("pos", "v"))
+    return flat.select("vec_id", "pos", rnd("v.down").alias("down"), rnd("v.right").alias("right"))
 
 
 @query(

@@ -46,8 +46,9 @@ def sql_lloyd(rounds: int) -> str:
 
 
 def label_start(df) -> np.ndarray:
-    firsts = df.groupBy("label").agg(F.min_by("x", "vec_id").alias("x")).orderBy("label").collect()  # ten labels
-    return np.array([r["x"] for r in firsts])
+    firsts = [r[0] for r in df.groupBy("label").agg(F.min("vec_id")).select("min(vec_id)").collect()]  # ten labels
+    rows = df.filter(F.col("vec_id").isin(firsts)).select("label", "x").collect()
+    return np.array([r["x"] for r in sorted(rows)])
 
 
 def lloyd(spark, sf):

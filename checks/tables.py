@@ -413,7 +413,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     x = F.col("x")
-    rows = points(spark, sf).select("vec_id", V.log_sum_exp(x).alias("lse"), V.log_softmax(x).alias("lp"), V.softmax(x).alias("p"))
+    rows = points(spark, sf).withColumn("lse", V.log_sum_exp(x)).withColumn("lp", V.log_softmax(x, F.col("lse")))
+    rows = rows.withColumn("p", F.transform("lp", F.exp))
     cells = rows.select("vec_id", "lse", F.posexplode_outer(F.arrays_zip("lp", "p")).alias("pos", "v"))
     return cells.select("vec_id", "pos", rnd("lse").alias("lse"), rnd("v.lp").alias("log_p"), rnd("v.p").alias("p"))
 

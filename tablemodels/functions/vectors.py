@@ -8,9 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablemodels.operators.blocks import linear_map
+
+# Products up to which a constant matrix is written out as an expression.
+EXPRESSION_TERMS = 64
+
 Kernel = Callable[[Column, Column], Column]
 
 
@@ -100,7 +106,9 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def mat_vec(weights: Sequence[Sequence[float]], x: Column) -> Column:
-    """Product of a small constant matrix with a vector column, written out term by term."""
+    """Product of a constant matrix with a vector column: term by term when small, else in Arrow batches."""
+    if len(weights) * len(weights[0]) > EXPRESSION_TERMS:
+        return linear_map(x, np.array(weights, dtype=np.float64))
     return F.array(*[sum((x[j] * float(w) for j, w in enumerate(row)), F.lit(0.0)) for row in weights])
 
 
@@ -119,8 +127,9 @@ def log_sum_exp(x: Column) -> Column:
     return top + F.log(F.aggregate(_minus(x, top), F.lit(0.0), lambda acc, v: acc + F.exp(v)))
 
 
-def log_softmax(x: Column) -> Column:
-    return _minus(x, log_sum_exp(x))
+def log_softmax(x: Column, lse: Column | None = None) -> Column:
+    """x − log Σ exp(x); pass ``lse`` when it is a column already."""
+    return _minus(x, log_sum_exp(x) if lse is None else lse)
 
 
 def softmax(x: Column) -> Column:

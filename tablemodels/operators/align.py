@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemodels.operators.blocks import matrix_of, vector_array
+
 
 def check_aligned(frames: Sequence[DataFrame], id_col: str) -> None:
     """Every id must occur exactly once in every frame; one grouped pass over the ids alone."""
@@ -32,21 +36,24 @@ def pair_modalities(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame
     return left.join(right, id_col)
 
 
-def neighbour_squares(pixels: Column, height: int, width: int, channels: int = 1) -> tuple[Column, Column]:
-    """Squared differences to the pixel below and the pixel to the right.
+def neighbour_steps(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared steps down and right of n × h × w × c images; the last row and column drop out."""
+    here = images[:, :-1, :-1]
+    return (here - images[:, 1:, :-1]) ** 2, (here - images[:, :-1, 1:]) ** 2
 
-    Flat channel-last vectors of (height-1)·(width-1)·channels elements: the
-    last row and column drop out.  Everything stays inside the row.
-    """
-    row = width * channels
-    keep = row - channels
 
-    def crop(down: int, right: int) -> Column:
-        parts = [F.slice(pixels, (r + down) * row + right * channels + 1, keep) for r in range(height - 1)]
-        return F.flatten(F.array(*parts))
+def neighbour_squares(pixels: Column, height: int, width: int, channels: int = 1) -> Column:
+    """struct(down, right): squared differences to the pixel below and the pixel to the right.
+
+    Flat channel-last vectors of (height-1)·(width-1)·channels elements.
+    Everything stays inside the row, so no pixels are joined or shuffled.
+    """
 
-    def squares(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
+    @F.arrow_udf("struct<down:array<double>,right:array<double>>")
+    def squares(px: pa.Array) -> pa.Array:
+        steps = neighbour_steps(matrix_of(px).reshape(len(px), height, width, channels))
+        return pa.StructArray.from_arrays(
+            [vector_array(s.reshape(len(px), -1)) for s in steps], names=["down", "right"]
+        )
 
-    here = crop(0, 0)
-    return squares(here, crop(1, 0)), squares(here, crop(0, 1))
+    return squares(pixels)

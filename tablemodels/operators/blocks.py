@@ -61,6 +61,18 @@ def collect_vectors(df: DataFrame, vector: str) -> np.ndarray:
     return matrix_of(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
 
 
+def linear_map(vector: Column, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
+    """W·x (+ bias) for a wide vector, one matrix product per batch."""
+
+    @F.arrow_udf("array<double>")
+    def product(x: pa.Array) -> pa.Array:
+        x = matrix_of(x)
+        out = x @ weights.T if len(x) else np.zeros((0, len(weights)))
+        return vector_array(out if bias is None else out + bias)
+
+    return product(vector)
+
+
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """n × k squared distances, taken from the differences so that equal centres tie exactly."""
     out = np.empty((len(x), len(centres)))

@@ -114,7 +114,7 @@ def plus_plus_start(
         near = df.withColumn("_d", nearest(F.col(vector), np.array(centres))["dist"])
         w = F.col("_d") * F.col("_d") if weight == "d4" else F.col("_d")
         row = weighted_draw(near, id_col, w, f"{seed}|{i}", vector).first()
-        drawn = centres[0] if row is None or row[vector] is None else np.array(row[vector], dtype=np.float64)
+        drawn = centres[0] if row is None else np.array(row[vector], dtype=np.float64)
         centres.append(drawn)
     return np.array(centres)
 

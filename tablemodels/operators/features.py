@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
+from tablemodels.operators.blocks import matrix_of, vector_array
 from tablemodels.session import MAX_LOOKUP_ROWS, collect_bounded
 
+# Vector width up to which scaling is a plain expression.
+NARROW = 16
+
 
 def frequency_labels(df: DataFrame, col: str) -> list[str]:
     """Values by descending count, ties alphabetical; nulls have no index."""
@@ -75,6 +80,16 @@ class Scaler:
     std: np.ndarray  # population; 1 where the column is constant
 
     def apply(self, x: Column) -> Column:
+        """(x − mean) / std: an expression for a narrow vector, Arrow batches for a wide one."""
+        if len(self.mean) > NARROW:
+            mean, std = self.mean, self.std
+
+            @F.arrow_udf("array<double>")
+            def scaled(rows: pa.Array) -> pa.Array:
+                rows = matrix_of(rows)
+                return vector_array((rows - mean) / std if len(rows) else np.zeros((0, len(mean))))
+
+            return scaled(x)
         spread = F.zip_with(x, V.literal_vector(self.mean), lambda v, m: v - m)
         return F.zip_with(spread, V.literal_vector(self.std), lambda v, s: v / s)
 

@@ -57,17 +57,31 @@ def normal_start(k: int, width: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((k, width))
 
 
+def _earliest(df: DataFrame, id_col: str, clock: Column, payload: Sequence[str]) -> DataFrame:
+    """The row with the smallest finite clock, lowest id on ties.
+
+    Only (clock, id) goes through the aggregate; the row itself is then a
+    filter on its id.
+    """
+    row = df.agg(F.min(F.struct(F.coalesce(clock, F.lit(float("inf"))).alias("clock"), id_col)).alias("r")).first()["r"]
+    if row is None or row["clock"] == float("inf"):
+        return df.select(id_col, *payload).limit(0)
+    return df.filter(F.col(id_col) == F.lit(row[id_col])).select(id_col, *payload)
+
+
 def uniform_draw(df: DataFrame, id_col: str, seed: int | str, *payload: str) -> DataFrame:
-    """One row, each equally likely: the smallest hash wins, in a single aggregate."""
-    clock = F.struct(hash_uniform(seed, F.col(id_col)), F.col(id_col))
-    return df.agg(F.min_by(F.struct(id_col, *payload), clock).alias("r")).select("r.*")
+    """One row, each equally likely: the smallest hash wins."""
+    return _earliest(df, id_col, hash_uniform(seed, F.col(id_col)), payload)
 
 
 def weighted_draw(df: DataFrame, id_col: str, weight: Column, seed: int | str, *payload: str) -> DataFrame:
-    """One row with probability proportional to its weight: the earliest exponential clock wins."""
-    clock = F.struct(-F.ln(hash_uniform(seed, F.col(id_col))) / F.col("_w"), F.col(id_col))
-    positive = df.withColumn("_w", weight).filter(F.col("_w") > 0)
-    return positive.agg(F.min_by(F.struct(id_col, *payload), clock).alias("r")).select("r.*")
+    """One row with probability proportional to its weight: the earliest exponential clock wins.
+
+    Rows of no weight are left to never tick rather than filtered: a filter
+    would have a computed weight worked out twice.
+    """
+    clock = F.when(weight > 0, -F.ln(hash_uniform(seed, F.col(id_col))) / weight)
+    return _earliest(df, id_col, clock, payload)
 
 
 def draw_with_replacement(df: DataFrame, id_col: str, n: int, seed: int | str, *payload: str) -> DataFrame:

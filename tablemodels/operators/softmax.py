@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import collect_vectors, fold, matrix_of, sum_vectors, vector_array, vector_width
+from tablemodels.operators.blocks import collect_vectors, fold, linear_map, matrix_of, sum_vectors, vector_width
 from tablemodels.session import check_model_size, small_table
 
 # Widest Hessian (weights squared) that Newton steps may ask for.
 MAX_NEWTON_WEIGHTS = 1_000
+# Sums that one aggregate row may hold.
+MAX_EXPRESSION_SUMS = 96
 # Weights up to which scores are plain column expressions.
 EXPRESSION_TERMS = 64
 
@@ -41,7 +42,52 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 def loss_and_gradient(
     df: DataFrame, vector: str, label: str, weights: np.ndarray, lam: float, hessian: bool = False
 ):
-    """Σ cross-entropy + λ‖W‖² with its gradient (and Hessian) at ``weights``, bias penalised too."""
+    """Σ cross-entropy + λ‖W‖² with its gradient (and Hessian) at ``weights``, bias penalised too.
+
+    One job.  A small model is summed by plain aggregates, a larger one by
+    NumPy partial sums per task.
+    """
+    c, d = weights.shape
+    sums = 1 + c * d + (c * (c + 1) // 2 * d * (d + 1) // 2 if hessian else 0)
+    part = _expression_sums if sums <= MAX_EXPRESSION_SUMS else _block_sums
+    loss, grad, hess = part(df, vector, label, weights, hessian)
+    loss = loss + lam * (weights**2).sum()
+    grad = grad + 2 * lam * weights
+    if not hessian:
+        return loss, grad
+    return loss, grad, hess.reshape(weights.size, weights.size) + 2 * lam * np.eye(weights.size)
+
+
+def _expression_sums(df: DataFrame, vector: str, label: str, weights: np.ndarray, hessian: bool):
+    """Every sum an aggregate column; scores, exponentials and probabilities are worked out once a row."""
+    c, d = weights.shape
+    classes, x = range(c), [*(f"x{j}" for j in range(d - 1)), "1D"]
+    rows = df.select(F.col(label).alias("y"), *[F.col(vector)[j].cast("double").alias(f"x{j}") for j in range(d - 1)])
+    rows = rows.selectExpr("*", *[" + ".join(f"{float(w)!r}D * {v}" for w, v in zip(weights[k], x)) + f" AS z{k}" for k in classes])
+    rows = rows.selectExpr("*", (f"greatest({', '.join(f'z{k}' for k in classes)})" if c > 1 else "z0") + " AS top")
+    rows = rows.selectExpr("*", *[f"exp(z{k} - top) AS e{k}" for k in classes])
+    rows = rows.selectExpr("*", " + ".join(f"e{k}" for k in classes) + " AS s")
+    rows = rows.selectExpr("*", *[f"e{k} / s AS p{k}" for k in classes])
+
+    own = " ".join(f"WHEN {k} THEN z{k}" for k in classes)
+    cells = []
+    if hessian:
+        cells = [(a, b, i, j) for a in classes for b in range(a, c) for i in range(d) for j in range(i, d)]
+    total = rows.selectExpr(
+        f"sum(top + ln(s) - CASE y {own} END)",
+        *[f"sum((p{k} - if(y = {k}, 1D, 0D)) * {v})" for k in classes for v in x],
+        *[f"sum(p{a} * ({'1D' if a == b else '0D'} - p{b}) * {x[i]} * {x[j]})" for a, b, i, j in cells],
+    ).first()
+    values = [v or 0.0 for v in total]
+    grad = np.array(values[1 : 1 + c * d]).reshape(c, d)
+    hess = np.zeros((c, d, c, d))
+    for (a, b, i, j), v in zip(cells, values[1 + c * d :]):
+        hess[a, i, b, j] = hess[a, j, b, i] = hess[b, i, a, j] = hess[b, j, a, i] = v
+    return values[0], grad, hess
+
+
+def _block_sums(df: DataFrame, vector: str, label: str, weights: np.ndarray, hessian: bool):
+    """The same sums folded per task in Arrow batches."""
     check_model_size(weights.size ** (2 if hessian else 1), "softmax partial sums")
     n_classes, width = weights.shape
     size = weights.size
@@ -67,12 +113,7 @@ def loss_and_gradient(
 
     partials = fold(df.select(vector, label), step, lambda s: [(s,)], "part array<double>")
     total = collect_vectors(sum_vectors(partials, [], "part", salt=32 if hessian else 0), "part")[0]
-    loss = total[0] + lam * (weights**2).sum()
-    grad = total[1 : 1 + size].reshape(weights.shape) + 2 * lam * weights
-    if not hessian:
-        return loss, grad
-    h = total[1 + size :].reshape(size, size) + 2 * lam * np.eye(size)
-    return loss, grad, h
+    return total[0], total[1 : 1 + size].reshape(weights.shape), total[1 + size :]
 
 
 def softmax_fit(
@@ -143,21 +184,17 @@ def _newton(data, vector, label, weights, lam, max_steps, tol) -> SoftmaxModel:
     return SoftmaxModel(weights, history)
 
 
+def _score_terms(x: list[Column], weights: np.ndarray) -> list[Column]:
+    rows = [[float(v) for v in row] for row in weights]
+    return [sum((xj * w for xj, w in zip(x, row)), F.lit(0.0)) + F.lit(row[-1]) for row in rows]
+
+
 def class_scores(vector: Column, weights: np.ndarray) -> Column:
     """W·(x, 1) for every class."""
     check_model_size(weights.size, "softmax weights")
     if weights.size <= EXPRESSION_TERMS:
-        biased = [[float(v) for v in row] for row in weights]
-        return F.array(
-            *[sum((vector[j] * w for j, w in enumerate(row[:-1])), F.lit(0.0)) + F.lit(row[-1]) for row in biased]
-        )
-
-    @F.arrow_udf("array<double>")
-    def score(x: pa.Array) -> pa.Array:
-        x = matrix_of(x)
-        return vector_array(x @ weights[:, :-1].T + weights[:, -1] if len(x) else np.zeros((0, len(weights))))
-
-    return score(vector)
+        return F.array(*_score_terms([vector[j] for j in range(weights.shape[1] - 1)], weights))
+    return linear_map(vector, weights[:, :-1], weights[:, -1])
 
 
 def softmax_predict(df: DataFrame, vector: str, model: SoftmaxModel, output: str = "prediction") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.align import neighbour_squares
+from tablemodels.operators.align import neighbour_steps
 from tablemodels.operators.blocks import matrix_of, vector_array
 
 # Weights of the loss terms.
@@ -48,8 +48,13 @@ def style_loss(style: Column, other: Column, channels: int, size: int, divisor_c
 
 def total_variation(pixels: Column, height: int, width: int, channels: int = 1) -> Column:
     """Σ (squared step down + squared step right)^1.25."""
-    down, right = neighbour_squares(pixels, height, width, channels)
-    return V.total(F.zip_with(down, right, lambda a, b: F.pow(a + b, F.lit(1.25))))
+
+    @F.arrow_udf("double")
+    def variation(px: pa.Array) -> pa.Array:
+        down, right = neighbour_steps(matrix_of(px).reshape(len(px), height, width, channels))
+        return pa.array(((down + right) ** 1.25).sum(axis=(1, 2, 3)))
+
+    return variation(pixels)
 
 
 def weighted_loss(terms: DataFrame, *keys: str) -> DataFrame:

@@ -180,6 +180,15 @@ def test_softmax_without_bias_agrees_with_the_built_in(plane):
     assert np.allclose(ours.weights[:, :2], theirs.coefficientMatrix.toArray(), atol=1e-5)
 
 
+@pytest.mark.parametrize("hessian", [False, True])
+def test_gradient_expression_and_blocks_agree(plane, hessian, monkeypatch):
+    w = np.arange(9.0).reshape(3, 3) / 7 - 0.5
+    a = sm.loss_and_gradient(plane, "x", "label", w, 0.2, hessian)
+    monkeypatch.setattr(sm, "MAX_EXPRESSION_SUMS", 0)
+    b = sm.loss_and_gradient(plane, "x", "label", w, 0.2, hessian)
+    assert len(a) == len(b) == 2 + hessian and all(np.allclose(p, q) for p, q in zip(a, b))
+
+
 def test_score_expression_and_batches_agree(plane, monkeypatch):
     w = np.arange(9.0).reshape(3, 3)
     _, a = matrix(plane.withColumn("s", sm.class_scores(F.col("x"), w)), "s")
