@@ -61,13 +61,14 @@ def order_statistics(
             inside, pos = x.between(lo, hi), _bin_of(x, lo, hi, integral, bins)
             which = F.when(inside, b) if which is None else which.when(inside, b)
             cell = F.when(inside, pos) if cell is None else cell.when(inside, pos)
-        hit = x.between(pending[0][0], pending[0][1])
-        for lo, hi, _, _ in pending[1:]:
-            hit = hit | x.between(lo, hi)
+        # One range predicate, which can reach the scan; a predicate per bracket
+        # would have a computed column worked out once for each of them.
+        reach = x.between(min(p[0] for p in pending), max(p[1] for p in pending))
         rows = (
-            df.filter(hit)
+            df.filter(reach)
             .groupBy(which.alias("b"), cell.alias("i"))
             .agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+            .filter("b IS NOT NULL")
             .collect()  # at most bins rows per bracket
         )
         rows.sort(key=lambda r: (r["b"], r["i"]))

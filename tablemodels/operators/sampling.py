@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from tablemodels.session import MAX_LOOKUP_ROWS, hash_uniform, small_table
 
-# Hash buckets that stand in for row numbers when rows are drawn by position.
-DRAW_BUCKETS = 65_536
-
 
 def hash_split(
     df: DataFrame, id_col: str, shares: Sequence[int] = (80, 20), seed: int | str = 1234
@@ -87,7 +84,7 @@ def weighted_draw(df: DataFrame, id_col: str, weight: Column, seed: int | str, *
 def draw_with_replacement(df: DataFrame, id_col: str, n: int, seed: int | str, *payload: str) -> DataFrame:
     """n uniform draws with replacement as (t, id, payload...), t = 0..n-1.
 
-    Rows are numbered by (hash bucket, id).  Bucket counts turn each drawn
+    Rows are numbered by (hash bucket, id), with 65 536 buckets.  Bucket counts turn each drawn
     number into a place inside one bucket, and only buckets that were drawn
     from are ranked.
     """
@@ -95,15 +92,15 @@ def draw_with_replacement(df: DataFrame, id_col: str, n: int, seed: int | str, *
     if n > MAX_LOOKUP_ROWS:
         raise ValueError(f"more than {MAX_LOOKUP_ROWS} draws")
     bucket = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int")
-    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()  # one row per bucket
-    counts.sort(key=lambda r: r["b"])
-    ends = np.cumsum([r["n"] for r in counts])
+    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).toArrow().sort_by("b")  # one row per bucket
+    buckets, sizes = counts["b"].to_numpy(), counts["n"].to_numpy()
+    ends = np.cumsum(sizes)
     if not len(ends):
         raise ValueError("no rows to draw from")
     numbers = [int(u * int(ends[-1])) for u in _driver_uniforms(seed, n)]
     slots = np.searchsorted(ends, numbers, side="right")
-    starts = ends - np.array([r["n"] for r in counts])
-    rows = [(t, counts[s]["b"], int(p - starts[s]) + 1) for t, (p, s) in enumerate(zip(numbers, slots))]
+    starts = ends - sizes
+    rows = [(t, int(buckets[s]), int(p - starts[s]) + 1) for t, (p, s) in enumerate(zip(numbers, slots))]
     wanted = F.broadcast(small_table(spark, rows, "t int, b int, place int"))
 
     inside = df.select(id_col, bucket.alias("b")).join(F.broadcast(wanted.select("b").distinct()), "b")
