@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemodels.llm import packing, token_files
+from tablemodels.llm import packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +37,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     folder, manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json", END_ID)
     return token_files.read_token_files(spark, folder, manifest)
+
+
+@query("op10_simhash_components")
+def _(spark, sf_dir):
+    return simhash.near_components(table(spark, sf_dir, "documents"), shingle=3, budget=2)
