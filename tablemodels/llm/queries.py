@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablemodels.llm import packing, simhash, token_files
+from tablemodels.llm import packing, simhash, substring, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +43,11 @@ def _(spark, sf_dir):
 @query("op10_simhash_components")
 def _(spark, sf_dir):
     return simhash.near_components(table(spark, sf_dir, "documents"), shingle=3, budget=2)
+
+
+@query("op7_substring_dedup")
+def _(spark, sf_dir):
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    found = F.col("_repeats")
+    return cut.select("doc_id", found["n_words"].alias("n_words"), found["n_removed"].alias("n_removed"),
+                      substring.kept_sha256(found).alias("kept_sha256"))
