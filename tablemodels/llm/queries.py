@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemodels.llm import packing, simhash, substring, token_files
+from tablemodels.llm import packing, quality, simhash, substring, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 END_ID = 2
+QUALITY_CUT = 0.3
 
 
 def query(name: str, sql: str | None = None):
@@ -51,3 +52,12 @@ def _(spark, sf_dir):
     found = F.col("_repeats")
     return cut.select("doc_id", found["n_words"].alias("n_words"), found["n_removed"].alias("n_removed"),
                       substring.kept_sha256(found).alias("kept_sha256"))
+
+
+@query("op3_line_crf_quality")
+def _(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                         quality.quality_score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
