@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemodels.llm import packing, quality, simhash, substring, token_files
+from tablemodels.llm import html_text, packing, quality, simhash, substring, token_files, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,6 +16,21 @@ END_ID = 2
 QUALITY_CUT = 0.3
 
 
+OP6_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -61,3 +76,35 @@ def _(spark, sf_dir):
     scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
                          quality.quality_score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
+
+
+@query("op1_warc_salvage")
+def _(spark, sf_dir):
+    folder, _ = warc.write_warc(warc.with_record_types(table(spark, sf_dir, "pages")))
+    read = warc.read_warc(spark, folder).filter("kind = 'record'")
+    own = F.col("payload").isNotNull()
+    return read.select(
+        "page_id",
+        F.when(own, F.octet_length("payload")).otherwise(F.col("stated_bytes")).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("stated_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+@query("op5_article_text")
+def _(spark, sf_dir):
+    text = html_text.extract(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", text.alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
+@query("op6_maxscore_topk", OP6_SQL)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), topk.scaled(F.col("embedding"), 256).alias("v")
+    )
+    rows = rows.filter("id IS NOT NULL AND v IS NOT NULL")
+    found = topk.top_products(rows.filter("id % 50 = 0"), rows, k=5)
+    return found.withColumnRenamed("id", "vec_id")

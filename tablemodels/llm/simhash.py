@@ -6,8 +6,8 @@ at least one of ``budget + 1`` blocks of bits; for each block there is a trie
 that starts with it, cut below the block into one trie per block value. Inside
 a task the tries of all its block values are walked together: pairs of nodes
 go down bit by bit, the differing bits of a pair are added up, and a pair is
-dropped as soon as they exceed the budget. A node pair with one fingerprint on
-each side is finished by one bit count.
+dropped as soon as they exceed the budget. A node pair with few fingerprints is
+finished by counting bits.
 
 A fingerprint has at most 2080 others within two bits, whatever the size of a
 group of copies, and only links from each fingerprint to the smallest one it
@@ -35,7 +35,8 @@ from tablemodels.llm.graph import components
 SEED = 42
 HOT_TRIE = 500_000  # distinct fingerprints of a block value before it is cut deeper
 DEEPER = 8
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 200_000
+FEW = 64  # fingerprint pairs of a node pair that is not walked further
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -68,8 +69,13 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def _all_pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row of each range a with every row of its range b."""
+    wide = b1 - b0
+    n = (a1 - a0) * wide
+    pair = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return a0[pair] + k // wide[pair], b0[pair] + k % wide[pair]
 
 
 def trie_links(keys: np.ndarray, fps: np.ndarray, first_bit: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,15 +98,16 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, first_bit: int, budget: int) -
             for part in np.array_split(np.arange(len(a0)), -(-len(a0) // PAIRS_AT_ONCE)):
                 stack.append((bit, a0[part], a1[part], b0[part], b1[part], diff[part]))
             continue
-        single = (a1 - a0 == 1) & (b1 - b0 == 1) & (a0 != b0)
-        if single.any():
-            i, j = a0[single], b0[single]
-            near = _bits(fps[i] ^ fps[j]) <= budget
+        small = (a1 - a0) * (b1 - b0) <= FEW
+        if bit < 0 or small.any():  # no range is wider than one row below the last bit
+            done = small if bit >= 0 else np.ones(len(a0), bool)
+            i, j = _all_pairs(a0[done], a1[done], b0[done], b1[done])
+            near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
             found_i.append(i[near])
             found_j.append(j[near])
-        go = ~single & ~((a0 == b0) & (a1 - a0 == 1))
+        go = ~small
         if bit < 0 or not go.any():
-            continue  # equal fingerprints are one row, so no range is left below the last bit
+            continue
         a0, a1, b0, b1, diff = a0[go], a1[go], b0[go], b1[go], diff[go]
         am, bm = _split(fps, a0, a1, bit), _split(fps, b0, b1, bit)
         own = (a0 == b0) & (a1 == b1)
