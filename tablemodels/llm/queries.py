@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemodels.llm import html_text, packing, quality, simhash, substring, token_files, topk, warc
+from tablemodels.llm import decontaminate, html_text, packing, quality, simhash, substring, token_files, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 END_ID = 2
 QUALITY_CUT = 0.3
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
 
 
 OP6_SQL = """
@@ -108,3 +115,16 @@ def _(spark, sf_dir):
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL")
     found = topk.top_products(rows.filter("id % 50 = 0"), rows, k=5)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op8_url_logistic_filter")
+def _(spark, sf_dir):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_template_decontamination")
+def _(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_text_hash")

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemodels.llm.common import saved
@@ -58,15 +58,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, h, fp): a hash of the text, and the fingerprint as a signed 64-bit integer."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
             fps = np.array(fps, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.hash(text), text).mapInArrow(run, "doc_id long, h int, fp long")
 
 
 def _all_pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,14 +212,31 @@ def near_links(fps: DataFrame, budget: int, hot_trie: int = HOT_TRIE) -> DataFra
     return spread.mapInArrow(walk, "a long, b long").distinct()
 
 
+def _components(each: DataFrame, least, budget: int, hot_trie: int) -> DataFrame:
+    """(fp, first): the smallest ``least`` of the component of each fingerprint."""
+    distinct = saved(each.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+    tied = components(near_links(distinct.select("fp"), budget, hot_trie))
+    rooted = distinct.join(tied.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return saved(rooted.join(firsts, "root").select("fp", "first"), "named-fingerprints")
+
+
 def near_components(docs: DataFrame, shingle: int, budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
     """(doc_id, fingerprint, component_id): components of fingerprints within ``budget`` differing bits."""
     each = saved(fingerprints(docs, shingle), "fingerprints")
-    distinct = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    tied = components(near_links(distinct.select("fp"), budget, hot_trie))
-    groups = tied.select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    named = _components(each, F.col("doc_id"), budget, hot_trie)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return each.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return each.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int, budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
+    """One document of each component: that with the smallest id (ids that are null come last), one of repeated rows."""
+    each = saved(fingerprints(docs, shingle), "fingerprints")
+    id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
+    named = _components(each, F.struct(id_.alias("k"), "h"), budget, hot_trie)
+    kept = named.select(F.col("first.k").alias("_kk"), F.col("first.h").alias("_kh")).distinct()
+    keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.hash(F.col("text").cast("string"))})
+    chosen = keyed.join(kept, (F.col("_k") == F.col("_kk")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    one = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(1))))
+    return one.filter("_n = 1").drop("_k", "_h", "_n")

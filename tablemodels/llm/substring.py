@@ -260,20 +260,21 @@ def _squeezed(text: Column) -> Column:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pd.Series([pack((t or "").encode()) for t in texts], dtype=object)
+        return pd.Series([None if t is None else pack(t.encode()) for t in texts], dtype=object)
 
     return squeeze(text.cast("string"))
 
 
 def _cut(window: int):
-    @F.pandas_udf("n_words long, n_removed long, kept string")
+    @F.pandas_udf("n_words long, n_removed long, kept string, text string")
     def cut(squeezed: pd.Series, places: pd.Series) -> pd.DataFrame:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
         out = []
         for data, found in zip(squeezed, places):
-            words = open_(data).split() if len(data) else []
+            text = open_(data) if data is not None else None
+            words = (text or b"").split()
             n, removed = len(words), 0
             if found is not None and len(found):
                 found = np.asarray(found, np.int64)
@@ -283,8 +284,9 @@ def _cut(window: int):
                 keep = np.cumsum(edge[:-1]) == 0
                 removed = int(n - keep.sum())
                 words = [w for w, k in zip(words, keep.tolist()) if k]
-            out.append((n, removed, b" ".join(words).decode()))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+            whole = None if removed or text is None else text.decode()
+            out.append((n, removed, b" ".join(words).decode(), whole))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "text"])
 
     return cut
 
@@ -313,14 +315,16 @@ def _texts_of_segments(requests: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
-    """The documents with a struct column ``_repeats`` of n_words, n_removed and the kept words joined by one space."""
+    """The documents without their text, but with a struct column ``_repeats``: n_words, n_removed, the kept words
+    joined by one space, and the text as it was if nothing was removed (else null)."""
     if not 1 <= gram <= window or window - gram + 1 > 63:
         raise ValueError("a gram must be at most as long as the window, and at most 62 words shorter")
     keyed = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_h": F.hash(F.col("text").cast("string"))})
     plain = keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), F.col("text").cast("string").alias("text"))
     segments = saved(_segments(plain, window, gram), "segments")
     anchors = segments.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
-    anchors = anchors.filter("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike"))
+    # Written, so that both sides of the join come from an exchange and a common anchor can be split.
+    anchors = saved(anchors.filter("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchors")
     recurring = saved(segments.join(anchors, "anchor"), "recurring-segments")
 
     mixed = recurring.filter(~F.col("alike"))
