@@ -2,8 +2,9 @@
 
 Text becomes a row of words in which numbers, names and units are typed
 placeholders; punctuation and case are dropped. Windows of eight such words
-are hashed and joined with the benchmark's windows, and equal hashes are checked
-word by word. An item is found in a document if half of its windows are, or
+are hashed and joined with the benchmark's windows (a bitmap of the latter's
+hashes, if they are few enough, keeps most others out of the join); the documents with equal
+hashes are read again and checked word by word. An item is found in a document if half of its windows are, or
 six of them, and if the slots agree: within one place of the document, a value
 of the benchmark may stand for one value only. So a question with its numbers
 changed throughout is caught, and a chance likeness of tables of numbers is not.
@@ -30,6 +31,9 @@ PLAIN = 4
 ENOUGH = 6
 AGREE = 0.8
 SMALL_BENCHMARK = 500_000  # windows that may be sent to every task
+SLOTS = 1 << 20
+# ASCII marks, Latin-1 signs, general and CJK punctuation.
+PUNCTUATION = r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2010-\u2027\u2030-\u205e\u3001-\u3003\u3008-\u3011"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = (
     "kg|g|mg|t|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|l|ml|liters?|litres?|h|hours?|min|minutes?|s|seconds?|days?|weeks?|"
@@ -38,36 +42,60 @@ UNITS = (
 
 
 def marked(text: Column) -> Column:
-    """The text in lower case without punctuation, with a mark in front of every name, number and unit."""
+    """The text in lower case without punctuation, with a mark in front of every name, number and unit.
+
+    Patterns start with a plain character where they can, and the rarer ones
+    run only over texts with a digit: this is most of the operator's time.
+    """
     x = F.coalesce(text.cast("string"), F.lit(""))
-    x = F.regexp_replace(x, "[\u0001-\u0003]", "")
-    x = F.regexp_replace(x, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", NAME)
-    x = F.regexp_replace(x, r"(?<![\p{L}\p{N}.,:/\x01])(?=\p{Sc}?\p{N})", NUMBER)
-    x = F.regexp_replace(x, rf"(?<=\x02[^\s\x02]{{1,30}} )(?=(?:{UNITS}|%)(?![\p{{L}}\p{{N}}]))", UNIT)
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}\s\x01-\x03]+", "")
-    return F.lower(x)
+    x = F.regexp_replace(x, r"[\x00-\x1f]", " ")
+    x = F.regexp_replace(x, r" (?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", " " + NAME)
+    numbers = F.regexp_replace(x, r"(?<![\p{L}\p{N}.,:/\x01])(?=\p{Sc}?[0-9])", NUMBER)
+    numbers = F.regexp_replace(numbers, rf"(?<=\x02[^\s\x02]{{1,30}} )(?=(?:{UNITS}|%)(?![\p{{L}}\p{{N}}]))", UNIT)
+    x = F.when(x.rlike("[0-9]"), numbers).otherwise(x)
+    return F.lower(F.regexp_replace(x, f"[{PUNCTUATION}]", ""))
 
 
 def words_of(marked_text: Column) -> Column:
     """Words, slots with their values."""
-    return F.array_remove(F.split(F.trim(marked_text), r"\s+"), "")
+    return F.array_remove(F.split(marked_text, " "), "")
 
 
 def template_of(marked_text: Column) -> Column:
     """The same words with only the mark of each slot."""
-    return words_of(F.regexp_replace(marked_text, r"([\x01-\x03])\S*", "$1"))
+    bare = F.regexp_replace(marked_text, r"([\x01-\x03])[^ ]*", "$1")
+    return words_of(F.when(marked_text.rlike(r"[\x01-\x03]"), bare).otherwise(marked_text))
 
 
-def _window_hashes(template: Column, size: int) -> Column:
-    """(size, at, hash) of every window, places counted from 1."""
-    starts = F.when(F.size(template) >= size, F.sequence(F.lit(1), F.size(template) - size + 1))
+def _window_hashes(word_hashes: Column, size: int, known: bytes | None) -> Column:
+    """(size, at, hash) of the windows of so many words whose slot in ``known`` is taken; of all without it."""
+    starts = F.when(F.size(word_hashes) >= size, F.sequence(F.lit(1), F.size(word_hashes) - size + 1))
     starts = F.coalesce(starts, F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice(template, i, F.lit(size))).alias("hash")
-        ),
-    )
+
+    def hash_at(i):
+        return F.xxhash64(F.slice(word_hashes, i, F.lit(size)))
+
+    if known is not None:
+        slot = F.lit(known)
+        starts = F.filter(
+            starts, lambda i: F.substring(slot, F.pmod(hash_at(i), F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        )
+    return F.transform(starts, lambda i: F.struct(F.lit(size).alias("d_size"), i.alias("d_at"), hash_at(i).alias("d_hash")))
+
+
+def _taken_slots(windows: DataFrame) -> bytes | None:
+    """One byte per slot of the windows' hashes, or None if there are too many windows to tell much."""
+    rows = windows.select(F.pmod("hash", F.lit(SLOTS)).alias("slot")).distinct().limit(SMALL_BENCHMARK + 1).collect()
+    if len(rows) > SMALL_BENCHMARK:
+        return None
+    taken = bytearray(SLOTS)
+    for r in rows:
+        taken[r["slot"]] = 1
+    return bytes(taken)
+
+
+def _word_hashes(template: Column) -> Column:
+    return F.transform(template, lambda w: F.xxhash64(w))
 
 
 def _slots(template: Column) -> Column:
@@ -85,7 +113,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         F.slice("w", F.col("at"), F.col("size")).alias("i_words"),
     )
     cut = cut.filter(F.size("i_template") - F.size(_slots(F.col("i_template"))) >= PLAIN)
-    cut = cut.withColumn("hash", F.xxhash64("i_template")).dropDuplicates(["item", "size", "at", "hash"])
+    cut = cut.withColumn("hash", F.xxhash64(_word_hashes(F.col("i_template")))).dropDuplicates(["item", "size", "at", "hash"])
     n = cut.groupBy("item").agg(F.count("*").alias("item_windows"))
     return cut.join(n, cut.item.eqNullSafe(n.item)).drop(n.item)
 
@@ -94,17 +122,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated (doc_id, item_id) pairs with their evidence, and ``_text_hash`` of the document."""
     windows = saved(benchmark_windows(benchmark), "benchmark-windows")
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # at most eight
+    taken = _taken_slots(windows)
     if windows.limit(SMALL_BENCHMARK + 1).count() <= SMALL_BENCHMARK:
         windows = F.broadcast(windows)
-    text = docs.select(
+    keyed = docs.select(
         F.col("doc_id").cast("long").alias("d"), F.hash(F.col("text").cast("string")).alias("h"),
         marked(F.col("text")).alias("m"),
     )
-    text = text.select("d", "h", words_of(F.col("m")).alias("w"), template_of(F.col("m")).alias("t"))
-    hashes = F.concat(*[_window_hashes(F.col("t"), s) for s in sizes or [WINDOW]])
-    each = text.select("d", "h", "w", "t", F.explode(hashes).alias("x"))
-    each = each.select("d", "h", "w", "t", F.col("x.size").alias("size"), F.col("x.at").alias("d_at"), F.col("x.hash").alias("hash"))
-    met = each.join(windows, ["size", "hash"]).select(
+    sizes = sizes or [WINDOW]
+    hashed = keyed.select("d", "h", _word_hashes(template_of(F.col("m"))).alias("wh"))
+    hashes = F.concat(*[_window_hashes(F.col("wh"), s, taken) for s in sizes])
+    # The outer form: for the plain one the windows are worked out a second time, to drop empty arrays first.
+    each = hashed.select("d", "h", F.explode_outer(hashes).alias("x")).select("d", "h", "x.*")
+    met = each.join(windows, (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
+    met = saved(met.select("d", "h", "item", "at", "item_windows", "size", "d_at", "i_template", "i_words"), "window-matches")
+    # Only the documents with a match are read again, for the words themselves.
+    matched = met.select(F.col("d").alias("md"), F.col("h").alias("mh")).distinct()
+    same = F.col("d").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh"))
+    words = keyed.join(matched, same, "left_semi").dropDuplicates(["d", "h"])
+    words = words.select(F.col("d").alias("wd"), F.col("h").alias("wh"), words_of(F.col("m")).alias("w"), template_of(F.col("m")).alias("t"))
+    met = met.join(words, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh"))).select(
         "d", "h", "item", "at", "item_windows", "i_template", "i_words", (F.col("d_at") - F.col("at")).alias("place"),
         F.slice("t", F.col("d_at"), F.col("size")).alias("d_template"),
         F.slice("w", F.col("d_at"), F.col("size")).alias("d_words"),
