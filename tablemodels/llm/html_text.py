@@ -4,7 +4,8 @@ A paragraph earns points for its length and its commas, less the share of its
 text that is links, and passes them to its ancestors, less the farther up. The
 container with the most points, discounted by the link density of all its text,
 is kept with the siblings that belong to it; if it lies in an ``article`` or
-``main`` element, all of that is kept. Menus, headers, footers, side bars,
+``main`` element, all of that is kept, and a page with a single such element is
+decided by it. Menus, headers, footers, side bars,
 notices, adverts, forms, comments and code never count and never come out.
 
 Null html is empty and gives empty text; a page without paragraphs gives what is
@@ -187,6 +188,10 @@ def main_text(html: str | None) -> str:
 
 def _kept_roots(tree: Tree, best: int, most: float, points, density, all_size) -> set[int]:
     """The elements whose text is the article."""
+    for tag in ("article", "main"):  # the only one of its kind needs no contest
+        found = [k for k, t in enumerate(tree.tag) if t == tag and not tree.off[k] and all_size[k]]
+        if len(found) == 1:
+            return {found[0]}
     node = best
     while node:
         if tree.tag[node] in ("article", "main"):

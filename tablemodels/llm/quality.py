@@ -180,7 +180,7 @@ def quality_score(text: Column, model: dict[str, np.ndarray] | None) -> Column:
     return scored(text.cast("string"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: int = 20_000) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_chars: int = 20_000) -> dict | None:
     """The fitted field, or None if the sample lacks one of the two labels."""
     texts, good = training_sample(docs, labels, sample, sample_chars)
     return fit(texts, good) if len(set(good.tolist())) == 2 else None
