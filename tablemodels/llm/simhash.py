@@ -191,7 +191,10 @@ def near_links(fps: DataFrame, budget: int, hot_trie: int = HOT_TRIE) -> DataFra
     bounds = [(h, w) for h, w in blocks]
 
     def walk(batches):
-        table = pa.Table.from_batches(list(batches))
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         t, block = table.column(0).to_numpy(), table.column(1).to_numpy()
         v, cell = table.column(2).to_numpy().view(np.uint64), table.column(3).to_numpy()
         for k, (high, width) in enumerate(bounds):
