@@ -31,7 +31,7 @@ PLAIN = 4
 ENOUGH = 6
 AGREE = 0.8
 SMALL_BENCHMARK = 500_000  # windows that may be sent to every task
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 # ASCII marks, Latin-1 signs, general and CJK punctuation.
 PUNCTUATION = r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2010-\u2027\u2030-\u205e\u3001-\u3003\u3008-\u3011"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"

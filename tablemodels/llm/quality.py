@@ -27,7 +27,7 @@ from tablemodels.llm.common import chunks
 from tablemodels.llm.substring import Hasher, word_symbols
 
 CLASSES = 9
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def _class_table() -> np.ndarray:

@@ -35,7 +35,7 @@ from tablemodels.llm.graph import components
 SEED = 42
 HOT_TRIE = 500_000  # distinct fingerprints of a block value before it is cut deeper
 DEEPER = 8
-PAIRS_AT_ONCE = 200_000
+PAIRS_AT_ONCE = 20_000
 FEW = 64  # fingerprint pairs of a node pair that is not walked further
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tablemodels.llm.common import chunks, per_worker, saved
 
 GRAM = 12
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
 SHARD_WORDS = 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 SPACES = b" \t\n\x0b\x0c\r"
