@@ -22,7 +22,7 @@ _RUNS = re.compile(rf"[{LETTERS}]+|[{MARKS}]+|\n")
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 LONGEST_KEPT = 64
-ENTRIES = 400_000
+ENTRIES = 300_000
 SLICE_CHARS = 1_000_000
 
 
