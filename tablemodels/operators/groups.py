@@ -92,7 +92,14 @@ def log_priors(df: DataFrame, label: str) -> DataFrame:
 
 
 def normal_sums(df: DataFrame, basis: str, target: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """XᵀX and Xᵀy of a basis vector column: one aggregate row, or Arrow partials when wide."""
+    """XᵀX and Xᵀy of a basis vector column: one aggregate row, or Arrow partials when wide.
+
+    A row with a null target, basis or basis cell takes no part; any other length than ``width`` fails.
+    """
+    whole = F.col(target).isNotNull() & F.col(basis).isNotNull() & F.forall(basis, lambda v: v.isNotNull())
+    message = F.concat(F.lit(f"expected a basis of {width} cells, got "), F.size(basis).cast("string"))
+    sized = F.when(F.size(basis) == width, F.col(basis)).otherwise(F.raise_error(message))
+    df = df.filter(whole).select(sized.alias(basis), target)
     if width <= NARROW:
         cols = [F.col(basis)[i].alias(f"b{i}") for i in range(width)]
         names = [f"b{i}" for i in range(width)] + ["y"]

@@ -16,9 +16,12 @@ MAX_LOOKUP_ROWS = 100_000
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder."""
+    """A fresh path under the cluster's shared checkpoint folder; a temporary one only if driver and tasks share a machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tablemodels-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
