@@ -21,9 +21,17 @@ BINS = 4096
 
 def _bin_of(x: Column, lo, hi, integral: bool, bins: int) -> Column:
     if integral:
+        if hi - lo >= 2**63:  # the difference does not fit: go by halves
+            step = ((hi >> 1) - (lo >> 1)) // bins + 1
+            return F.floor((F.shiftright(x.cast("long"), 1) - F.lit(lo >> 1)) / F.lit(step)).cast("int")
         step = (hi - lo) // bins + 1
         return F.floor((x - F.lit(lo)) / F.lit(step)).cast("int")
-    share = (x - F.lit(lo)) / F.lit(hi - lo)
+    if math.isinf(lo) or math.isinf(hi):  # infinities are bins of their own, what is finite follows in the next pass
+        return F.when(x == float("-inf"), 0).when(x == float("inf"), 2).otherwise(1)
+    if math.isinf(hi - lo):
+        share = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+    else:
+        share = (x - F.lit(lo)) / F.lit(hi - lo)
     return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
 
 
@@ -78,6 +86,8 @@ def order_statistics(
             for r in (r for r in rows if r["b"] == b):
                 mine = [w for w in wanted if start <= w < start + r["n"]]
                 if mine:
+                    if (r["lo"], r["hi"]) == (pending[b][0], pending[b][1]) and r["n"] == sum(q["n"] for q in rows if q["b"] == b):
+                        raise RuntimeError(f"counting does not narrow {col} between {r['lo']} and {r['hi']}")
                     open_brackets.append((r["lo"], r["hi"], start, mine))
                 start += r["n"]
     return found

@@ -94,7 +94,8 @@ def mean_std(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins between minimum and maximum, the last one closed on both sides."""
+    """Equal-width bins between minimum and maximum, the last one closed on both sides; NaN and null are in none."""
+    df = df.filter(~F.isnan(F.col(col).cast("double")))
     lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
     spark = df.sparkSession
     if lo is None:
