@@ -1,20 +1,25 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 Fingerprints of equal texts are equal, so the join works on distinct
-fingerprints. Two fingerprints with at most ``budget`` differing bits agree in
-at least one of ``budget + 1`` blocks of bits; for each block there is a trie
-that starts with it, cut below the block into one trie per block value. Inside
-a task the tries of all its block values are walked together: pairs of nodes
-go down bit by bit, the differing bits of a pair are added up, and a pair is
-dropped as soon as they exceed the budget. A node pair with few fingerprints is
-finished by counting bits.
-
-A fingerprint has at most 2080 others within two bits, whatever the size of a
-group of copies, and only links from each fingerprint to the smallest one it
-is tied to inside its trie leave the task. Block values with very many
-fingerprints are cut deeper first: their next bits become part of the key, and
-a fingerprint also visits the tries whose next bits differ from its own by no
-more than the budget.
+fingerprints. Each of several tries starts with other bits: fingerprints that
+agree in its first bits share a subtree, and inside a task the subtrees are
+walked together: pairs of nodes go down bit by bit, the differing bits of a
+pair are added up, and a pair is dropped as soon as they exceed the budget. A
+node pair with few fingerprints is finished by counting bits; one whose rows
+are all tied together already is left out, so that a large group of near
+copies costs no pair of its members each.
+
+``block_tries``: one trie per block of bits. Two fingerprints with at most
+``budget`` differing bits agree in one of ``budget + 1`` blocks, so no link is
+lost. For the large budgets that stand for a similarity of 0.8 blocks would be
+too short to keep unlike fingerprints apart; ``drawn_tries`` starts each trie
+with ``width`` drawn bits, and finds a pair with d of ``bits`` differing bits
+with probability 1 - (1 - (1 - d/bits)^width)^count, about.
+
+Only links from each fingerprint to the smallest one it is tied to inside its
+subtree leave the task. First bits with very many fingerprints are cut deeper
+first: their next bits become part of the key, and a fingerprint also visits
+the subtrees whose next bits differ from its own by no more than the budget.
 
 Nulls: a null text has no words and the fingerprint zero, linked like any
 other; rows with a null id are kept and never become the smallest id unless
@@ -33,41 +38,81 @@ from tablemodels.llm.common import saved
 from tablemodels.llm.graph import components
 
 SEED = 42
-HOT_TRIE = 500_000  # distinct fingerprints of a block value before it is cut deeper
+HOT_TRIE = 500_000  # distinct fingerprints with the same first bits before these are cut deeper
 DEEPER = 8
 PAIRS_AT_ONCE = 20_000
 FEW = 64  # fingerprint pairs of a node pair that is not walked further
+TURNED_ROWS = 20_000
 
+Trie = tuple[np.ndarray, int]  # the order in which bits are walked (0 is the highest), and how many of them are the key
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes; 0 without words."""
+
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
+    """``words`` times 64 bits. Bit i is set if it is set in over half of the shingles' hashes; 0 without words.
+
+    The first 64 bits come from XXH64, the others from that hash mixed anew.
+    """
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return bytes(8 * words)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    n = max(1, len(words) - shingle + 1)
-    ones, done = np.zeros(64, np.int64), 0
+    n = max(1, len(parts) - shingle + 1)
+    ones, done = np.zeros((words, 64), np.int64), 0
     while done < n:  # a long text in parts
-        last = min(n, done + 100_000)
-        hashes = np.array([digest(join(words[i : i + shingle]), SEED) for i in range(done, last)], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        last = min(n, done + 50_000)
+        hashes = np.array([digest(join(parts[i : i + shingle]), SEED) for i in range(done, last)], dtype=np.uint64)
+        for k in range(words):
+            ones[k] += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            if k + 1 < words:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                hashes ^= hashes >> np.uint64(32)
         done = last
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return np.packbits(2 * ones.ravel() > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h, fp): a hash of the text, and the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
+    """(doc_id, h, fp): a hash of the text, and the fingerprint as bytes."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
-            fps = np.array(fps, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "h", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), shingle, words) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "h", "fp"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.hash(text), text).mapInArrow(run, "doc_id long, h int, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.hash(text), text).mapInArrow(run, "doc_id long, h int, fp binary")
+
+
+def block_tries(bits: int, budget: int) -> list[Trie]:
+    """One trie per block of bits; the bits that follow the block come next."""
+    cuts = [round(bits * k / (budget + 1)) for k in range(budget + 2)]
+    return [(np.roll(np.arange(bits), -lo), hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def drawn_tries(bits: int, count: int, width: int, seed: int = 1) -> list[Trie]:
+    """``count`` tries whose bits come in a drawn order, with ``width`` of them as the key."""
+    draw = np.random.default_rng(seed)
+    return [(draw.permutation(bits), width) for _ in range(count)]
+
+
+def _words(column: pa.Array, words: int) -> np.ndarray:
+    """Fingerprints as rows of unsigned 64-bit integers, the highest first."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    width = 8 * rows.shape[1]
+    raw = pa.py_buffer(np.ascontiguousarray(rows).astype(">u8").tobytes())
+    return pa.Array.from_buffers(pa.binary(width), len(rows), [None, raw]).cast(pa.binary())
+
+
+def _turned(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The fingerprints with their bits in another order."""
+    bits = np.unpackbits(np.ascontiguousarray(rows).astype(">u8").view(np.uint8), axis=1)
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").astype(np.uint64)
 
 
 def _all_pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,33 +124,58 @@ def _all_pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -
     return a0[pair] + k // wide[pair], b0[pair] + k % wide[pair]
 
 
-def trie_links(keys: np.ndarray, fps: np.ndarray, first_bit: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows with equal keys and at most ``budget`` differing bits.
-
-    ``keys`` and ``fps`` (already turned so that the block comes first) are
-    sorted together; every run of equal keys is one trie, whose nodes are
-    ranges of the rows. Bits below ``first_bit`` are walked.
+def _tie(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest row tied to each row) after the links (i, j)."""
+    root = root.copy()
+    while True:
+        ri, rj = root[i], root[j]
+        apart = ri != rj
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(ri, rj)[apart], np.minimum(ri, rj)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def trie_roots(keys: np.ndarray, fps: np.ndarray, walked: int, budget: int) -> np.ndarray:
+    """The smallest row that each row is tied to by links between rows with equal keys and at most ``budget`` differing bits.
+
+    ``fps`` holds distinct fingerprints per key, as rows of 64-bit words with
+    the bits in the order of the trie. Rows are sorted by key and fingerprint:
+    every run of equal keys is one trie, whose nodes are ranges of the rows.
+    The last ``walked`` bits are walked.
     """
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(keys)]
+    n = len(keys)
+    root, moved = np.arange(n), np.arange(n)  # moved: how often the root changes up to a row
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], n]
     many = ends - starts > 1
-    stack = [(first_bit, starts[many], ends[many], starts[many], ends[many], np.zeros(many.sum(), np.int64))]
-    found_i, found_j = [], []
+    stack = [(walked - 1, starts[many], ends[many], starts[many], ends[many], np.zeros(many.sum(), np.int64))]
+    waiting, found_i, found_j = 0, [], []
     while stack:
         bit, a0, a1, b0, b1, diff = stack.pop()
-        if not len(a0):
-            continue
         if len(a0) > PAIRS_AT_ONCE:
             for part in np.array_split(np.arange(len(a0)), -(-len(a0) // PAIRS_AT_ONCE)):
                 stack.append((bit, a0[part], a1[part], b0[part], b1[part], diff[part]))
             continue
+        tied = (moved[a0] == moved[a1 - 1]) & (moved[b0] == moved[b1 - 1]) & (root[a0] == root[b0])
+        a0, a1, b0, b1, diff = a0[~tied], a1[~tied], b0[~tied], b1[~tied], diff[~tied]
+        if not len(a0):
+            continue
         small = (a1 - a0) * (b1 - b0) <= FEW
         if bit < 0 or small.any():  # no range is wider than one row below the last bit
             done = small if bit >= 0 else np.ones(len(a0), bool)
             i, j = _all_pairs(a0[done], a1[done], b0[done], b1[done])
-            near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
+            new = (i < j) & (root[i] != root[j])
+            i, j = i[new], j[new]
+            near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= budget
             found_i.append(i[near])
             found_j.append(j[near])
+            waiting += int(near.sum())
+            if waiting > max(n, 50_000):
+                root = _tie(root, np.concatenate(found_i), np.concatenate(found_j))
+                moved = np.cumsum(np.r_[False, root[1:] != root[:-1]])
+                waiting, found_i, found_j = 0, [], []
         go = ~small
         if bit < 0 or not go.any():
             continue
@@ -125,100 +195,79 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, first_bit: int, budget: int) -
                 ok &= keep
             parts.append((x0[ok], x1[ok], y0[ok], y1[ok], d[ok]))
         stack.append((bit - 1, *(np.concatenate(c) for c in zip(*parts))))
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+    return _tie(root, np.concatenate(found_i), np.concatenate(found_j)) if found_i else root
 
 
 def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
     """Where the given bit turns from 0 to 1 inside each sorted range: a binary search over all ranges at once."""
+    word, shift = fps[:, fps.shape[1] - 1 - bit // 64], np.uint64(bit % 64)
     lo, hi = lo.copy(), hi.copy()
     while True:
         open_ = lo < hi
         if not open_.any():
             return lo
         mid = (lo + hi) // 2
-        one = ((fps[np.minimum(mid, len(fps) - 1)] >> np.uint64(bit)) & np.uint64(1)).astype(bool)
+        one = ((word[np.minimum(mid, len(word) - 1)] >> shift) & np.uint64(1)).astype(bool)
         hi = np.where(open_ & one, mid, hi)
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row tied to each row by the links; rows tied to none keep their own."""
-    root = np.arange(n)
-    if len(i):
-        from_, to = np.r_[i, j], np.r_[j, i]
-        while True:
-            new = root.copy()
-            np.minimum.at(new, from_, root[to])
-            new = new[new]
-            if (new == root).all():
-                return root
-            root = new
-    return root
-
-
-def block_bounds(budget: int) -> list[tuple[int, int]]:
-    """(highest bit, width) of each of the budget + 1 blocks."""
-    n = budget + 1
-    cuts = [round(64 * k / n) for k in range(n + 1)]
-    return [(64 - cuts[k], cuts[k + 1] - cuts[k]) for k in range(n)]
-
-
-def near_links(fps: DataFrame, budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of ``fps(fp)`` that tie together all within the budget."""
-    blocks = block_bounds(budget)
-    turned = []
-    for t, (high, width) in enumerate(blocks):
-        fp = F.col("fp")
-        turn = fp if high == 64 else F.shiftleft(fp, 64 - high).bitwiseOR(F.shiftrightunsigned(fp, high))
-        turned.append(F.struct(F.lit(t).alias("t"), turn.alias("v"), F.shiftrightunsigned(turn, 64 - width).alias("block")))
-    tries = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.t", "x.v", "x.block")
-    hot = tries.groupBy("t", "block").count().filter(F.col("count") > hot_trie).select("t", "block", F.lit(True).alias("hot"))
+def near_links(fps: DataFrame, words: int, tries: list[Trie], budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of ``fps(fp)`` that tie together those within the budget and a trie."""
+
+    def turn(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TURNED_ROWS):
+                rows = _words(batch.column(0).slice(at, TURNED_ROWS), words)
+                for t, (order, width) in enumerate(tries):
+                    v = _turned(rows, order)
+                    high = v[:, 0]
+                    block, own = high >> np.uint64(64 - width), (high << np.uint64(width)) >> np.uint64(64 - DEEPER)
+                    columns = [pa.array(np.full(len(v), t, np.int32)), pa.array(block.view(np.int64)),
+                               pa.array(own.view(np.int64)), _bytes(v)]
+                    yield pa.RecordBatch.from_arrays(columns, ["t", "block", "own", "v"])
+
+    turned = fps.select("fp").mapInArrow(turn, "t int, block long, own long, v binary")
+    counted = turned.groupBy("t", "block").count()
+    hot = counted.filter(F.col("count") > hot_trie).select("t", "block", F.lit(True).alias("hot"))
     # Cold tries: the key is the block. Hot ones: the pair of the next bits of the two nodes that meet.
-    widths = F.array(*[F.lit(w) for _, w in blocks])
-    tries = tries.join(F.broadcast(hot), ["t", "block"], "left")  # at most (budget + 1) * rows / hot_trie rows
-    own = F.coalesce(
-        *[F.when(F.col("t") == t, F.shiftrightunsigned(F.shiftleft("v", w), 64 - DEEPER)) for t, (_, w) in enumerate(blocks)]
-    )  # the bits that follow the block
+    turned = turned.join(F.broadcast(hot), ["t", "block"], "left")  # at most tries * rows / hot_trie rows
     masks = [m for m in range(1 << DEEPER) if bin(m).count("1") <= budget]
+    own = F.col("own")
     cells = F.transform(
         F.array(*[F.lit(m).cast("long") for m in masks]),
         lambda m: F.least(own, own.bitwiseXOR(m)) * F.lit(1 << DEEPER) + F.greatest(own, own.bitwiseXOR(m)),
     )
     cells = F.when(F.col("hot"), cells).otherwise(F.array(F.lit(-1).cast("long")))
-    tries = tries.select("t", "block", "v", F.explode(cells).alias("cell"))
-    bounds = [(h, w) for h, w in blocks]
+    turned = turned.select("t", "block", "v", F.explode(cells).alias("cell"))
 
     def walk(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        t, block = table.column(0).to_numpy(), table.column(1).to_numpy()
-        v, cell = table.column(2).to_numpy().view(np.uint64), table.column(3).to_numpy()
-        for k, (high, width) in enumerate(bounds):
+        t, block, cell = (table.column(k).to_numpy() for k in (0, 1, 3))
+        v = _words(table.column(2), words)
+        for k, (order, width) in enumerate(tries):
             which = np.flatnonzero(t == k)
-            which = which[np.lexsort((v[which], cell[which], block[which]))]
+            if not len(which):
+                continue
+            which = which[np.lexsort((*v[which].T[::-1], cell[which], block[which]))]
             x, b, c = v[which], block[which], cell[which]
-            _, keys = np.unique(np.stack([b, c]), axis=1, return_inverse=True) if len(which) else (None, b)
-            i, j = trie_links(keys.ravel(), x, 63 - width, budget)
-            root = _stars(len(x), i, j)
+            keys = np.cumsum(np.r_[False, (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+            root = trie_roots(keys, x, 64 * words - width, budget)
             tied = np.flatnonzero(root != np.arange(len(x)))
-            back = np.uint64(64 - high)
-            fp = x if high == 64 else (x >> back) | (x << (np.uint64(64) - back))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp[tied].view(np.int64)), pa.array(fp[root[tied]].view(np.int64))], ["a", "b"]
-            )
+            back = np.argsort(order)
+            yield pa.RecordBatch.from_arrays([_bytes(_turned(x[tied], back)), _bytes(_turned(x[root[tied]], back))], ["a", "b"])
 
-    spread = tries.repartition("t", "block", "cell")
-    return spread.mapInArrow(walk, "a long, b long").distinct()
+    spread = turned.repartition("t", "block", "cell")
+    return spread.mapInArrow(walk, "a binary, b binary").distinct()
 
 
-def _components(each: DataFrame, least, budget: int, hot_trie: int) -> DataFrame:
+def _components(each: DataFrame, least, words: int, tries: list[Trie], budget: int, hot_trie: int) -> DataFrame:
     """(fp, first): the smallest ``least`` of the component of each fingerprint."""
     distinct = saved(each.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
-    tied = components(near_links(distinct.select("fp"), budget, hot_trie))
+    tied = components(near_links(distinct.select("fp"), words, tries, budget, hot_trie))
     rooted = distinct.join(tied.select(F.col("node").alias("fp"), "root"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
@@ -226,18 +275,18 @@ def _components(each: DataFrame, least, budget: int, hot_trie: int) -> DataFrame
 
 
 def near_components(docs: DataFrame, shingle: int, budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
-    """(doc_id, fingerprint, component_id): components of fingerprints within ``budget`` differing bits."""
+    """(doc_id, fingerprint, component_id): components of 64-bit fingerprints within ``budget`` differing bits, every link kept."""
     each = saved(fingerprints(docs, shingle), "fingerprints")
-    named = _components(each, F.col("doc_id"), budget, hot_trie)
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return each.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
+    named = _components(each, F.col("doc_id"), 1, block_tries(64, budget), budget, hot_trie)
+    return each.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int, budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
-    """One document of each component: that with the smallest id (ids that are null come last), one of repeated rows."""
-    each = saved(fingerprints(docs, shingle), "fingerprints")
+def keep_one(docs: DataFrame, shingle: int, words: int, tries: list[Trie], budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
+    """One document of each component of fingerprints of ``words`` times 64 bits: that with the smallest id (ids that are
+    null come last), one of repeated rows."""
+    each = saved(fingerprints(docs, shingle, words), "fingerprints")
     id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
-    named = _components(each, F.struct(id_.alias("k"), "h"), budget, hot_trie)
+    named = _components(each, F.struct(id_.alias("k"), "h"), words, tries, budget, hot_trie)
     kept = named.select(F.col("first.k").alias("_kk"), F.col("first.h").alias("_kh")).distinct()
     keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.hash(F.col("text").cast("string"))})
     chosen = keyed.join(kept, (F.col("_k") == F.col("_kk")) & (F.col("_h") == F.col("_kh")), "left_semi")

@@ -414,16 +414,56 @@ def test_trie_join(spark, hot, budget):
             x ^= 1 << r.randrange(64)
         fps.add(x)
     fps = sorted(fps)
-    signed = [int(np.uint64(x).view(np.int64)) for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), budget, hot)
-    root = {r["node"]: r["root"] for r in graph.components(links).collect()}
+    table = spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in fps], "fp binary")
+    links = simhash.near_links(table, 1, simhash.block_tries(64, budget), budget, hot)
+    root = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in graph.components(links).collect()}
     got, want = {}, {}
-    for x, w in zip(signed, components_by_brute_force(fps, budget)):
+    for x, w in zip(fps, components_by_brute_force(fps, budget)):
         got.setdefault(root.get(x, x), set()).add(x)
         want.setdefault(w, set()).add(x)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("few", [1, 64])
+def test_wide_tries(spark, few, monkeypatch):
+    """A group of near copies far larger than a node pair that is finished by counting, pairs and unlike fingerprints."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 500)
+    r = random.Random(6)
+
+    def changed(x, n):
+        return x ^ sum(1 << b for b in r.sample(range(128), n))
+
+    centre = r.getrandbits(128)
+    group = {changed(centre, r.randint(0, 8)) for _ in range(2000)}
+    alone = [r.getrandbits(128) for _ in range(500)]
+    pairs = [(x, changed(x, 12)) for x in (r.getrandbits(128) for _ in range(300))]
+    fps = [*group, *alone, *itertools.chain(*pairs)]
+    table = spark.createDataFrame([(bytearray(x.to_bytes(16, "big")),) for x in fps], "fp binary")
+    links = simhash.near_links(table, 2, simhash.drawn_tries(128, 32, 10), 24)
+    root = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in graph.components(links).collect()}
+    assert len({root.get(x, x) for x in group}) == 1
+    assert not set(alone) & set(root)
+    assert sum(root.get(a, a) == root.get(b, b) for a, b in pairs) >= 297
+
+
+def test_near_copies_of_texts(spark):
+    """Texts with two of 200 words changed go, in groups too; unlike texts with common words stay."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows, next_id = [], 0
+    for size in [1] * 200 + [2] * 60 + [50]:
+        base = [r.choice(words) for _ in range(200)]
+        for _ in range(size):
+            copy = list(base)
+            for at in r.sample(range(200), 2 if size > 1 else 0):
+                copy[at] = r.choice(words)
+            rows.append((next_id, " ".join(copy)))
+            next_id += 1
+    kept = simhash.keep_one(docs(spark, rows), 5, 2, simhash.drawn_tries(128, 32, 14), 24).count()
+    assert 261 <= kept <= 270  # two copies share 0.82 of their shingles, on the edge of what the budget holds
+
+
 def plain_fingerprint(text, k):
     import xxhash
 
@@ -442,11 +482,11 @@ def test_simhash_query(spark, sf, tables):
 def test_one_of_each_group_stays(spark):
     rows = [(4, "a b c d e f"), (2, "A b  c d e f"), (2, "A b  c d e f"), (7, "some other words are here now"), (None, None), (9, ""), (None, "z")]
     d = docs(spark, rows)
-    kept = simhash.keep_one(d, 5, 2)
+    kept = simhash.keep_one(d, 5, 1, simhash.block_tries(64, 2), 2)
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
         [(2, "A b  c d e f"), (7, "some other words are here now"), (9, ""), (None, "z")], key=repr
     )
-    assert kept.columns == d.columns and simhash.keep_one(d.limit(0), 5, 2).count() == 0
+    assert kept.columns == d.columns and simhash.keep_one(d.limit(0), 5, 2, simhash.drawn_tries(128, 3, 9), 24).count() == 0
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(d, 3, 2).collect()}
     assert got[4] == got[2] == 2 and got[9] == 9
 
