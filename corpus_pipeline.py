@@ -14,8 +14,10 @@ from tablemodels.llm.common import saved
 from tablemodels.llm.queries import END_ID, QUALITY_CUT
 
 NEAR_SHINGLE = 5
-# Six of 64 bits stand for a similarity of about 0.9 of the shingle sets.
-NEAR_BUDGET = 6
+# Shingle sets with a similarity of 0.8 differ in 19 of 128 bits on average, give or take 4; unlike ones in 64.
+NEAR_WORDS = 2
+NEAR_BUDGET = 24
+NEAR_TRIES = simhash.drawn_tries(64 * NEAR_WORDS, count=32, width=14)
 REPEAT_WINDOW = 35
 CAPACITY = 1024
 
@@ -29,7 +31,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, NEAR_SHINGLE, NEAR_BUDGET)
+    return simhash.keep_one(docs, NEAR_SHINGLE, NEAR_WORDS, NEAR_TRIES, NEAR_BUDGET)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
