@@ -49,12 +49,20 @@ def vector_array(matrix: np.ndarray) -> pa.Array:
 
 
 def vector_width(df: DataFrame, vector: str) -> int:
-    row = df.select(F.size(vector)).first()
+    row = df.filter(F.col(vector).isNotNull()).select(F.size(vector)).first()
     if row is None:
         raise ValueError("no rows")
     return row[0]
 
 
+def usable_rows(df: DataFrame, vector: str, width: int, what: str = "vector") -> DataFrame:
+    """Rows whose vector is not null and holds no null; one of another length than ``width`` fails the job."""
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull())
+    message = F.concat(F.lit(f"expected a {what} of {width} cells, got "), F.size(vector).cast("string"))
+    sized = F.when(F.size(vector) == width, F.col(vector)).otherwise(F.raise_error(message))
+    return df.filter(whole).withColumn(vector, sized)
+
+
 def collect_vectors(df: DataFrame, vector: str) -> np.ndarray:
     """A small table's vector column as a matrix on the driver, through Arrow."""
     column = df.select(vector).toArrow().column(0)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import collect_vectors, fold, gram, group_codes, matrix_of, sum_vectors, vector_width
+from tablemodels.operators.blocks import (
+    collect_vectors, fold, gram, group_codes, matrix_of, sum_vectors, usable_rows, vector_width,
+)
 from tablemodels.session import MAX_LOOKUP_ROWS, check_model_size, collect_bounded, small_table
 
 # Up to this width all pairs of columns are plain aggregates in one pass.
@@ -23,8 +25,12 @@ def group_means(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def group_covariances(df: DataFrame, key: str, vector: str, width: int | None = None) -> DataFrame:
-    """(key, n, mean, cov) with the n-1 covariance matrix; a one-row group fails."""
+    """(key, n, mean, cov) with the n-1 covariance matrix; a one-row group fails.
+
+    A row with a null vector or a null cell takes no part; any other length than ``width`` fails. A null key is a group.
+    """
     width = width or vector_width(df, vector)
+    df = usable_rows(df.select(key, vector), vector, width)
     if width <= NARROW:
         out = _narrow_covariances(df, key, vector, width)
     else:
@@ -50,7 +56,7 @@ def _wide_covariances(df: DataFrame, key: str, vector: str, width: int) -> DataF
     rows = collect_bounded(means, MAX_LOOKUP_ROWS, "groups of a wide covariance")
     check_model_size(len(rows) * width * width, "covariance table")
     centre = {r[key]: np.array(r["mean"]) for r in rows}
-    code = {k: i for i, k in enumerate(sorted(centre))}
+    code = {k: i for i, k in enumerate(centre)}
 
     def step(state, labels, x):
         state = state or {}
@@ -96,10 +102,7 @@ def normal_sums(df: DataFrame, basis: str, target: str, width: int) -> tuple[np.
 
     A row with a null target, basis or basis cell takes no part; any other length than ``width`` fails.
     """
-    whole = F.col(target).isNotNull() & F.col(basis).isNotNull() & F.forall(basis, lambda v: v.isNotNull())
-    message = F.concat(F.lit(f"expected a basis of {width} cells, got "), F.size(basis).cast("string"))
-    sized = F.when(F.size(basis) == width, F.col(basis)).otherwise(F.raise_error(message))
-    df = df.filter(whole).select(sized.alias(basis), target)
+    df = usable_rows(df.filter(F.col(target).isNotNull()).select(basis, target), basis, width, "basis")
     if width <= NARROW:
         cols = [F.col(basis)[i].alias(f"b{i}") for i in range(width)]
         names = [f"b{i}" for i in range(width)] + ["y"]

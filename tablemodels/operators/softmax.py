@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import collect_vectors, fold, linear_map, matrix_of, sum_vectors, vector_width
+from tablemodels.operators.blocks import collect_vectors, fold, linear_map, matrix_of, sum_vectors, usable_rows, vector_width
 from tablemodels.session import check_model_size, small_table
 
-# Widest Hessian (weights squared) that Newton steps may ask for.
+# Weights up to which a step takes the Hessian (weights squared); beyond it steps come from gradients.
 MAX_NEWTON_WEIGHTS = 1_000
+# Pairs of moves and gradient changes that stand for the Hessian then.
+REMEMBERED_MOVES = 10
 # Sums that one aggregate row may hold.
 MAX_EXPRESSION_SUMS = 96
 # Weights up to which scores are plain column expressions.
@@ -28,7 +30,7 @@ class SoftmaxModel:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(c, j, float(v)) for c, row in enumerate(self.weights) for j, v in enumerate(row)]
-        return small_table(spark, rows, "label int, feature int, weight double")
+        return spark.createDataFrame(rows, "label int, feature int, weight double")
 
     def history_table(self, spark: SparkSession) -> DataFrame:
         return small_table(spark, self.history, "step int, loss double, gradient_norm double")
@@ -45,9 +47,14 @@ def loss_and_gradient(
     """Σ cross-entropy + λ‖W‖² with its gradient (and Hessian) at ``weights``, bias penalised too.
 
     One job.  A small model is summed by plain aggregates, a larger one by
-    NumPy partial sums per task.
+    NumPy partial sums per task.  Rows with a null label, vector or cell take
+    no part; another length, or a label other than 0..C-1, fails the job.
     """
     c, d = weights.shape
+    y = F.col(label).cast("double")
+    message = F.concat(F.lit(f"expected a label from 0 to {c - 1}, got "), F.col(label).cast("string"))
+    known = F.when((y >= 0) & (y < c) & (y == F.floor(y)), y.cast("int")).otherwise(F.raise_error(message))
+    df = usable_rows(df.filter(F.col(label).isNotNull()).select(vector, label), vector, d - 1).withColumn(label, known)
     sums = 1 + c * d + (c * (c + 1) // 2 * d * (d + 1) // 2 if hessian else 0)
     part = _expression_sums if sums <= MAX_EXPRESSION_SUMS else _block_sums
     loss, grad, hess = part(df, vector, label, weights, hessian)
@@ -134,6 +141,8 @@ def softmax_fit(
     ``'gd'`` takes steps of size ``eta`` and tests the gradient norm against
     ``tol`` every ``check_every`` steps.  ``'newton'`` reaches the same unique
     minimum in about ten jobs, halving a step that does not lower the loss.
+    Models too wide for a Hessian reach it by limited-memory steps (L-BFGS) on
+    the gradients alone, whose partial sums are as long as the weights.
     """
     if solver not in ("gd", "newton"):
         raise ValueError("solver is 'gd' or 'newton'")
@@ -142,13 +151,12 @@ def softmax_fit(
         data = data.persist(storage)
     try:
         if n_classes is None:
-            n_classes = data.agg(F.max(label)).first()[0] + 1
+            n_classes = int(data.agg(F.max(label)).first()[0]) + 1
         weights = np.zeros((n_classes, vector_width(data, vector) + 1))
         if solver == "gd":
             return _gradient_descent(data, vector, label, weights, lam, eta, max_steps, tol, check_every)
-        if weights.size > MAX_NEWTON_WEIGHTS:
-            raise ValueError(f"{weights.size} weights are too many for Newton steps, use solver='gd'")
-        return _newton(data, vector, label, weights, lam, max_steps, tol)
+        steps = _newton if weights.size <= MAX_NEWTON_WEIGHTS else _limited_memory
+        return steps(data, vector, label, weights, lam, max_steps, tol)
     finally:
         if storage:
             data.unpersist()
@@ -184,6 +192,45 @@ def _newton(data, vector, label, weights, lam, max_steps, tol) -> SoftmaxModel:
     return SoftmaxModel(weights, history)
 
 
+def _limited_memory(data, vector, label, weights, lam, max_steps, tol) -> SoftmaxModel:
+    """One history row per job; ends early when no step along the move lowers the loss any more."""
+    loss, grad = loss_and_gradient(data, vector, label, weights, lam)
+    norm = float(np.linalg.norm(grad))
+    history, moves = [(1, float(loss), norm)], []
+    while norm >= tol:
+        move = -_inverse_hessian_times(grad, moves)
+        slope, rate = float((grad * move).sum()), 1.0 if moves else min(1.0, 1.0 / norm)
+        while True:
+            if len(history) >= max_steps or rate < 1e-12:
+                return SoftmaxModel(weights, history)
+            trial = weights + rate * move
+            trial_loss, trial_grad = loss_and_gradient(data, vector, label, trial, lam)
+            history.append((len(history) + 1, float(trial_loss), float(np.linalg.norm(trial_grad))))
+            if trial_loss <= loss + 1e-4 * rate * slope:
+                break
+            rate /= 2
+        step, change = trial - weights, trial_grad - grad
+        if (step * change).sum() > 0:
+            moves = [*moves, (step, change)][-REMEMBERED_MOVES:]
+        weights, loss, grad, norm = trial, trial_loss, trial_grad, history[-1][2]
+    return SoftmaxModel(weights, history)
+
+
+def _inverse_hessian_times(grad: np.ndarray, moves: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The inverse Hessian that the remembered moves suggest, times the gradient (two passes over the moves)."""
+    out, shares = grad.copy(), []
+    for step, change in reversed(moves):
+        share = (step * out).sum() / (step * change).sum()
+        out -= share * change
+        shares.append(share)
+    if moves:
+        step, change = moves[-1]
+        out *= (step * change).sum() / (change**2).sum()
+    for (step, change), share in zip(moves, reversed(shares)):
+        out += (share - (change * out).sum() / (step * change).sum()) * step
+    return out
+
+
 def _score_terms(x: list[Column], weights: np.ndarray) -> list[Column]:
     rows = [[float(v) for v in row] for row in weights]
     return [sum((xj * w for xj, w in zip(x, row)), F.lit(0.0)) + F.lit(row[-1]) for row in rows]

@@ -1,10 +1,10 @@
-"""Rows with nulls take no part in least squares, on either side of the width at which the path changes."""
+"""Nulls, lengths, labels and keys follow one rule on either side of every size at which the path changes."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemodels.operators import groups
+from tablemodels.operators import groups, softmax
 
 
 @pytest.mark.parametrize("width", [2, 12])
@@ -20,3 +20,48 @@ def test_normal_sums_without_null_rows(spark, width):
     assert np.allclose(got_xx, x.T @ x) and np.allclose(got_xy, x.T @ y)
     with pytest.raises(Exception, match="expected a basis"):
         groups.normal_sums(rows.withColumn("x", F.array_append("x", F.lit(1.0))), "x", "y", width)
+
+
+@pytest.mark.parametrize("width", [8, 9])
+def test_covariances_without_null_rows(spark, width):
+    rows = spark.range(60).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("k"),
+        F.when(
+            F.col("id") % 11 != 5,
+            F.array(*[F.when((F.col("id") % 7 != 2) | F.lit(j != 1), F.sin(F.col("id") * (j + 1))) for j in range(width)]),
+        ).alias("x"),
+    )
+    kept = [r for r in rows.collect() if r["x"] is not None and None not in r["x"]]
+    got = {r["k"]: r for r in groups.group_covariances(rows, "k", "x").collect()}
+    assert set(got) == {None, 1, 2}
+    for k, r in got.items():
+        x = np.array([q["x"] for q in kept if q["k"] == k])
+        assert r["n"] == len(x) and np.allclose(r["mean"], x.mean(axis=0)) and np.allclose(r["cov"], np.cov(x.T))
+    longer = rows.withColumn("x", F.array_append("x", F.lit(1.0)))
+    with pytest.raises(Exception, match="expected a vector"):
+        groups.group_covariances(longer, "k", "x", width).collect()
+
+
+@pytest.mark.parametrize("sums", [0, 10_000])
+@pytest.mark.parametrize("hessian", [False, True])
+def test_softmax_sums_with_nulls_and_bad_labels(spark, monkeypatch, sums, hessian):
+    monkeypatch.setattr(softmax, "MAX_EXPRESSION_SUMS", sums)
+    x = F.array(F.sin("id"), F.when(F.col("id") % 7 != 2, F.cos("id")))
+    rows = spark.range(50).select(x.alias("x"), F.when(F.col("id") % 5 != 4, F.col("id") % 3).alias("y"))
+    kept = rows.filter("y IS NOT NULL AND x[1] IS NOT NULL")
+    w = np.arange(9.0).reshape(3, 3) / 10
+    for a, b in zip(softmax.loss_and_gradient(rows, "x", "y", w, 0.1, hessian), softmax.loss_and_gradient(kept, "x", "y", w, 0.1, hessian)):
+        assert np.allclose(a, b)
+    for bad in (-1, 3):
+        with pytest.raises(Exception, match="expected a label"):
+            softmax.loss_and_gradient(kept.withColumn("y", F.when(F.col("y") == 2, bad).otherwise(F.col("y"))), "x", "y", w, 0.1, hessian)
+
+
+def test_wide_softmax_reaches_the_newton_minimum(spark, monkeypatch):
+    x = F.array(F.sin("id"), F.cos(F.col("id") * 3))
+    rows = spark.range(80).select(x.alias("x"), (F.floor(F.col("id") * 7 / 5) % 3).cast("int").alias("y"))
+    newton = softmax.softmax_fit(rows, "x", "y", lam=0.5)
+    monkeypatch.setattr(softmax, "MAX_NEWTON_WEIGHTS", 8)
+    limited = softmax.softmax_fit(rows, "x", "y", lam=0.5)
+    assert np.allclose(newton.weights, limited.weights, atol=1e-5)
+    assert limited.history[-1][2] < 1e-5
