@@ -80,14 +80,16 @@ class Scaler:
     std: np.ndarray  # population; 1 where the column is constant
 
     def apply(self, x: Column) -> Column:
-        """(x − mean) / std: an expression for a narrow vector, Arrow batches for a wide one."""
+        """(x − mean) / std: an expression for a narrow vector, Arrow batches for a wide one; null for a null vector."""
         if len(self.mean) > NARROW:
             mean, std = self.mean, self.std
 
             @F.arrow_udf("array<double>")
             def scaled(rows: pa.Array) -> pa.Array:
-                rows = matrix_of(rows)
-                return vector_array((rows - mean) / std if len(rows) else np.zeros((0, len(mean))))
+                held = matrix_of(rows.drop_null())
+                out = vector_array((held - mean) / std if len(held) else np.zeros((0, len(mean))))
+                known = rows.is_valid().to_numpy(zero_copy_only=False)
+                return out.take(pa.array(np.cumsum(known) - 1, mask=~known))
 
             return scaled(x)
         spread = F.zip_with(x, V.literal_vector(self.mean), lambda v, m: v - m)

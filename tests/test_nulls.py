@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemodels.operators import groups, softmax
+from tablemodels.operators import features, groups, softmax
 
 
 @pytest.mark.parametrize("width", [2, 12])
@@ -65,3 +65,12 @@ def test_wide_softmax_reaches_the_newton_minimum(spark, monkeypatch):
     limited = softmax.softmax_fit(rows, "x", "y", lam=0.5)
     assert np.allclose(newton.weights, limited.weights, atol=1e-5)
     assert limited.history[-1][2] < 1e-5
+
+
+@pytest.mark.parametrize("width", [16, 17])
+def test_scaling_keeps_null_vectors(spark, width):
+    x = F.when(F.col("id") % 4 != 0, F.array(*[F.col("id") * (j + 1.0) for j in range(width)]))
+    rows = spark.range(0, 20, 1, 2).select("id", x.alias("x"))
+    scaler = features.Scaler(np.arange(width, dtype=float), np.full(width, 2.0))
+    for r in rows.withColumn("z", scaler.apply(F.col("x"))).collect():
+        assert r["z"] is None if r["id"] % 4 == 0 else np.allclose(r["z"], (np.array(r["x"]) - np.arange(width)) / 2)
