@@ -52,24 +52,32 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
 
     The first 64 bits come from XXH64, the others from that hash mixed anew.
     """
+    return folded(shingle_hashes((text or "").encode().lower().split(), shingle), words)
+
+
+def shingle_hashes(parts: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words, of all words if they are fewer; none without words."""
     import xxhash
 
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return bytes(8 * words)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    n = max(1, len(parts) - shingle + 1)
-    ones, done = np.zeros((words, 64), np.int64), 0
-    while done < n:  # a long text in parts
-        last = min(n, done + 50_000)
-        hashes = np.array([digest(join(parts[i : i + shingle]), SEED) for i in range(done, last)], dtype=np.uint64)
+    n = max(1, len(parts) - shingle + 1) if parts else 0
+    return np.fromiter((digest(join(parts[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+
+
+def folded(shingles: np.ndarray, words: int) -> bytes:
+    """The fingerprint of these hashes."""
+    n = len(shingles)
+    if not n:
+        return bytes(8 * words)
+    ones = np.zeros((words, 64), np.int64)
+    for done in range(0, n, 50_000):  # a long text in parts
+        hashes = shingles[done : done + 50_000]
         for k in range(words):
             ones[k] += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
             if k + 1 < words:
                 hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 hashes ^= hashes >> np.uint64(32)
-        done = last
     return np.packbits(2 * ones.ravel() > n).tobytes()
 
 

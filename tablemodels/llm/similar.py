@@ -1,0 +1,186 @@
+"""Near-duplicates by the exact similarity of their shingle sets.
+
+Two documents are linked if their sets of shingles (lower case, runs of words)
+have at least ``SIMILAR`` of their union in common. Links come in two rounds:
+
+1. The SimHash tries of ``simhash`` propose links to one fingerprint per group.
+   A proposal counts only if the two texts pass; most large groups of near
+   copies are one component after this.
+2. A prefix join proposes every other pair that can pass, so that none is lost.
+   Put all sets in one common order: two sets that pass share one of the first
+   n - ceil(0.8 n) + 1 shingles of each. Shingles that are frequent in a sample
+   come last in that order. The sample only decides how many proposals are
+   made, not which pairs are found. Pairs inside a component of round 1 are
+   left out; the others are checked by their texts as well.
+
+Shingles and sets are known by 64-bit hashes. Nulls: a null text has no words;
+texts without words are equal. Rows with a null id are kept and never become
+the smallest id unless all are null. Repeated rows count as one. Empty tables
+give no rows. Other columns stay as they are.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tablemodels.llm import simhash
+from tablemodels.llm.common import saved
+from tablemodels.llm.graph import components
+
+SIMILAR = (4, 5)  # 0.8
+SAMPLE = 16  # one text of so many is looked at for frequent shingles
+OFTEN = 8  # texts of the sample that make a shingle frequent
+MOST_FREQUENT = 50_000
+LAST_ID = 2**63 - 1
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(simhash.shingle_hashes((text or "").encode().lower().split(), shingle))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach SIMILAR; empty sets are equal."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * common >= SIMILAR[0] * (len(a) + len(b) - common)
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the common order, of which two similar sets share one."""
+    n = len(found)
+    if not n:
+        return found
+    most = n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
+    if not len(frequent):
+        return found[:most]
+    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+    late = np.where(frequent[at] == found, rank[at], 0)
+    return found[np.lexsort((found, late))[:most]]
+
+
+def _frequent(docs: DataFrame, shingle: int, sample: int, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, ranks from 1 by rising frequency) of shingles that are frequent in the sample."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                hashes = shingle_set(text.as_py(), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes)], ["x"])
+
+    text = F.col("text").cast("string")
+    some = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+    counts = some.mapInArrow(run, "x long").groupBy("x").count().filter(F.col("count") >= often)
+    rows = counts.orderBy(F.desc("count"), "x").limit(MOST_FREQUENT).collect()
+    hashes = np.array([r["x"] for r in rows][::-1], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], order + 1
+
+
+def _described(docs: DataFrame, shingle: int, words: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(k, h, fp, node, n, first): keys of a row, fingerprint, hash and size of its set, and the set's prefix."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            fps, nodes, sizes, firsts = [], [], [], []
+            for text in batch.column(2):
+                hashes = simhash.shingle_hashes((text.as_py() or "").encode().lower().split(), shingle)
+                fps.append(simhash.folded(hashes, words))
+                found = np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes()) - 2**63)
+                sizes.append(len(found))
+                firsts.append(prefix(found, frequent, rank).view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            values = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(nodes, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)],
+                ["k", "h", "fp", "node", "n", "first"],
+            )
+
+    return docs.select(*_keys(), F.col("text").cast("string")).mapInArrow(
+        run, "k long, h long, fp binary, node long, n long, first array<long>"
+    )
+
+
+def _keys():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets whose texts are similar enough."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = named.join(wanted, "node", "left_semi").select("node", F.col("least.k").alias("k"), F.col("least.h").alias("h"))
+    texts = docs.select(*_keys(), F.col("text").cast("string").alias("text"))
+    texts = saved(texts.join(keys, ["k", "h"]).dropDuplicates(["node"]).select("node", "text"), "texts-of-sets")
+
+    def run(batches):
+        last, held = None, None
+        for batch in batches:
+            a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i in range(batch.num_rows):
+                if a[i] != last:
+                    last, held = a[i], shingle_set(batch.column(2)[i].as_py(), shingle)
+                if similar(held, shingle_set(batch.column(3)[i].as_py(), shingle)):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"]
+            )
+
+    full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    full = full.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _proposed_by_tries(each: DataFrame, words: int, tries: list, budget: int, hot_trie: int) -> DataFrame:
+    fps = saved(each.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
+    links = simhash.near_links(fps.select("fp"), words, tries, budget, hot_trie)
+    of_a, of_b = (fps.select(F.col("fp").alias(s), F.col("node").alias(f"n{s}")) for s in "ab")
+    links = links.join(of_a, "a").join(of_b, "b").select("na", "nb")
+    alike = each.select("fp", F.col("node").alias("nb")).distinct().join(fps.withColumnRenamed("node", "na"), "fp").select("na", "nb")
+    both = links.union(alike).filter("na <> nb")
+    return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+
+
+def _proposed_by_prefixes(each: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and can be similar by their sizes and its places."""
+    one = each.select("node", "n", "first").dropDuplicates(["node"]).join(rooted, "node")
+    posts = saved(one.select("node", "n", "root", F.posexplode("first").alias("at", "x")), "prefixes")
+    mixed = posts.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("x")
+    posts = saved(posts.join(mixed, "x", "left_semi"), "recurring-prefixes")
+    a, b = (posts.select("x", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "at")]) for s in "ab")
+    few, many = SIMILAR
+    # From the first common shingle on, at most the rest of each set is common.
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    can = (few + many) * rest >= few * (F.col("n_a") + F.col("n_b"))
+    met = a.join(b, "x").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & can)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def keep_one(
+    docs: DataFrame, shingle: int, words: int, tries: list, budget: int,
+    hot_trie: int = simhash.HOT_TRIE, sample: int = SAMPLE, often: int = OFTEN,
+) -> DataFrame:
+    """One document of each component of similar documents: that with the smallest id, one of repeated rows."""
+    frequent, rank = _frequent(docs, shingle, sample, often)
+    each = saved(_described(docs, shingle, words, frequent, rank), "shingle-sets")
+    named = saved(each.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least")), "distinct-sets")
+    pairs = saved(_proposed_by_tries(each, words, tries, budget, hot_trie), "proposed-links")
+    first = saved(_verified(pairs, docs, named, shingle), "verified-links")
+    # Written, like the next: both are read again.
+    rooted = saved(named.select("node").join(components(first), "node", "left")
+                   .select("node", F.coalesce("root", "node").alias("root")), "rooted-sets")
+    pairs = saved(_proposed_by_prefixes(each, rooted), "proposed-links")
+    links = _verified(pairs, docs, named, shingle).union(rooted.filter("node <> root").select("node", "root"))
+    tied = components(links).select("node", "root")
+    firsts = named.join(tied, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("first"))
+    kept = saved(firsts.select(F.col("first.k").alias("_kk"), F.col("first.h").alias("_kh")), "kept-documents")
+    k, h = _keys()
+    keyed = docs.withColumns({"_k": k, "_h": h})
+    chosen = keyed.join(kept, (F.col("_k") == F.col("_kk")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    one = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(1))))
+    return one.filter("_n = 1").drop("_k", "_h", "_n")

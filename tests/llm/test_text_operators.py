@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tablemodels.llm import (
-    decontaminate, graph, html_text, packing, quality, simhash, substring, token_files, tokens, topk, url_filter, warc,
+    decontaminate, graph, html_text, packing, quality, simhash, similar, substring, token_files, tokens, topk, url_filter, warc,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, start int, words int, h int"
@@ -491,6 +491,57 @@ def test_one_of_each_group_stays(spark):
     assert got[4] == got[2] == 2 and got[9] == 9
 
 
+def similar_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("sample, often", [(16, 8), (1, 3)])
+def test_similar_texts_against_all_pairs(spark, sample, often):
+    """Pairs on both sides of 0.8, a chain, a group and a common passage: neither a link lost nor one too many."""
+    r = random.Random(9)
+    passage, texts = [f"p{k}" for k in range(60)], [None, "", " ", "a b", "A  b", "a b c d e f"]
+    for size in [1] * 60 + [2] * 250 + [30]:
+        base = [f"w{r.randrange(3000)}" for _ in range(r.choice([40, 120, 300]))]
+        if r.random() < 0.3:
+            base += passage
+        for _ in range(size):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), r.randint(0, len(copy) // 25)):
+                copy[at] = f"w{r.randrange(3000)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    want = {i for i, c in enumerate(similar_components(texts)) if i == c}
+    table = docs(spark, r.sample(rows, len(rows)))
+    kept = similar.keep_one(table, 5, 2, simhash.drawn_tries(128, 32, 14), 24, sample=sample, often=often)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    assert similar.keep_one(table.limit(0), 5, 2, simhash.drawn_tries(128, 3, 9), 24).count() == 0
+
+
+def test_near_copies_of_the_pipeline(spark, sf, tables):
+    import corpus_pipeline
+
+    rows = sorted((r["doc_id"], r["text"]) for r in tables["documents"].select("doc_id", "text").collect())
+    want = sorted(rows[i][0] for i, c in enumerate(similar_components([t for _, t in rows])) if i == c)
+    got = corpus_pipeline.drop_near_copies(spark, tables["documents"], sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
 # ---- pipeline
 
 
