@@ -4,9 +4,11 @@ A paragraph earns points for its length and its commas, less the share of its
 text that is links, and passes them to its ancestors, less the farther up. The
 container with the most points, discounted by the link density of all its text,
 is kept with the siblings that belong to it; if it lies in an ``article`` or
-``main`` element, all of that is kept, and a page with a single such element is
-decided by it. Menus, headers, footers, side bars,
-notices, adverts, forms, comments and code never count and never come out.
+``main`` element, all of that is kept, with the siblings that have enough points
+of their own. Such elements start with the points of a long paragraph, and an
+``article`` beside or below the container stays only with enough points. Menus,
+headers, footers, side bars, notices, adverts, forms, comments and code never
+count and never come out.
 
 Null html is empty and gives empty text; a page without paragraphs gives what is
 left of its body. Every row gives one row, repeated or not; null ids and urls
@@ -44,6 +46,8 @@ BAD_WORDS = frozenset(
     "recommended share sharing social pagination pager login signup search toolbar skip".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+BONUS = 3.0  # points of an article or main element that has any: those of a long paragraph's length
+SHARE = 0.2  # of the container's points, for what is kept beside it
 LOOSE = frozenset("with has no without".split())
 KEPT_ALWAYS = frozenset("html body article main".split())
 _WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
@@ -172,13 +176,14 @@ def main_text(html: str | None) -> str:
     best, most = 0, 0.0
     for node in range(n):
         if not tree.off[node] and tree.tag[node] not in NOT_CONTAINERS and tree.tag[node] not in INLINE:
-            score = points[node] * (1 - density[node])
+            bonus = BONUS if points[node] and tree.tag[node] in ("article", "main") else 0.0
+            score = (points[node] + bonus) * (1 - density[node])
             if score > most:
                 best, most = node, score
-    kept = _kept_roots(tree, best, most, points, density, all_size)
+    kept, left_out = _kept_roots(tree, best, most, points, density, all_size)
     inside = [False] * n
     for node in range(n):
-        inside[node] = node in kept or bool(node) and inside[tree.parent[node]]
+        inside[node] = node in kept or bool(node) and inside[tree.parent[node]] and node not in left_out
     parts = []
     for node, text in tree.text:
         if inside[node] and not tree.off[node]:
@@ -186,33 +191,36 @@ def main_text(html: str | None) -> str:
     return " ".join("".join(parts).split())
 
 
-def _kept_roots(tree: Tree, best: int, most: float, points, density, all_size) -> set[int]:
-    """The elements whose text is the article."""
-    for tag in ("article", "main"):  # the only one of its kind needs no contest
-        found = [k for k, t in enumerate(tree.tag) if t == tag and not tree.off[k] and all_size[k]]
-        if len(found) == 1:
-            return {found[0]}
-    node = best
-    while node:
-        if tree.tag[node] in ("article", "main"):
-            return {node}
-        node = tree.parent[node]
+def _kept_roots(tree: Tree, best: int, most: float, points, density, all_size) -> tuple[set[int], set[int]]:
+    """The elements whose text is the article, and elements inside them whose text is not."""
     if most == 0:
         for tag in ("article", "main", "body"):
             found = [k for k, t in enumerate(tree.tag) if t == tag and not tree.off[k]]
             if found:
-                return {found[0]}
-        return {0}
-    kept = {best}
-    up = tree.parent[best]
+                return {found[0]}, set()
+        return {0}, set()
+    score = [p * (1 - d) for p, d in zip(points, density)]
+    path, root = [best], best
+    while path[-1]:
+        if tree.tag[path[-1]] in ("article", "main"):
+            root = path[-1]
+            break
+        path.append(tree.parent[path[-1]])
+    whole = tree.tag[root] in ("article", "main")
+    kept, up = {root}, tree.parent[root]
     for k in range(len(tree.tag)):
-        if tree.parent[k] != up or k in (best, 0) or tree.off[k] or not all_size[k]:
+        if tree.parent[k] != up or k in (root, 0) or tree.off[k] or not all_size[k]:
             continue
         tag = tree.tag[k]
-        close = points[k] * (1 - density[k]) >= max(3.0, 0.2 * most)
-        if close or tag in HEADINGS or tag == "p" and density[k] < 0.25 or tag not in INLINE and density[k] < 0.1 and points[k] > 0:
+        close = score[k] >= max(3.0, SHARE * score[best])
+        # Beside an article or main element, and for one, only points count.
+        loose = tag in HEADINGS or tag == "p" and density[k] < 0.25 or tag not in INLINE and density[k] < 0.1 and points[k] > 0
+        if close or loose and not whole and tag != "article":
             kept.add(k)
-    return kept
+    if tree.tag[root] == "article":
+        return kept, set()
+    teasers = {k for k, t in enumerate(tree.tag) if t == "article" and k not in kept and score[k] < SHARE * score[best]}
+    return kept, teasers
 
 
 def extract(html: Column) -> Column:

@@ -209,6 +209,25 @@ def test_main_text():
     assert len(html_text.main_text("<p>" + "word, " * 200_000)) == 6 * 200_000 - 1
 
 
+def test_article_elements_do_not_decide_alone():
+    body = [f"Sentence {k} of the body, which is long enough, goes on for a while and then, at last, it ends." for k in range(6)]
+    divs = "".join(f"<div><p>{x}</p></div>" for x in body)
+    teaser = "<article><h3>Read on</h3><p>A short card, with <a href=x>a link to it</a> here.</p></article>"
+    for page in (
+        f"<body><div class=content>{divs}</div>{teaser}</body>",
+        f"<body>{teaser}<div><div>{''.join(f'<p>{x}</p>' for x in body)}</div></div></body>",
+        f"<body><main><div class=content>{divs}</div>{teaser}</main></body>",
+        f"<body><div class=content>{divs}<div>{teaser}</div></div></body>",
+    ):
+        assert html_text.main_text(page) == " ".join(body), page
+    assert html_text.main_text("".join(f"<p>{x}</p>" for x in body) + teaser) == " ".join(body)
+    parts = [f"<article><p>{a}</p><p>{b}</p></article>" for a, b in zip(body[::2], body[1::2])]
+    for page in (f"<body><div>{''.join(parts)}</div></body>", f"<body>{''.join(parts[:2])}<div>{parts[2]}</div></body>"):
+        assert html_text.main_text(page).startswith(" ".join(body[:4])), page
+    assert html_text.main_text(f"<body><div>{''.join(parts)}{teaser}</div></body>") == " ".join(body)
+    assert html_text.main_text(f"<body><main>{''.join(parts)}</main></body>") == " ".join(body)
+
+
 def test_article_column(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>a"), (1, None, None)], "page_id long, url string, html string")
     got = pages.select(html_text.extract(F.col("html")).alias("t")).collect()
