@@ -9,10 +9,15 @@ six of them, and if the slots agree: within one place of the document, a value
 of the benchmark may stand for one value only. So a question with its numbers
 changed throughout is caught, and a chance likeness of tables of numbers is not.
 
-Everything runs as column expressions. Words that would be names: a capital
-after a small letter, digit, comma or semicolon. Items of less than eight words
-are one window of their own length; those of less than four words, and windows
-with less than four plain words, are no evidence.
+Everything runs as column expressions. There are two forms of each text. In the
+first, names are words with a capital after a small letter, digit, comma or
+semicolon; in the second, all words with a capital, so those that start a
+sentence too. A form is matched with itself, and either is enough. Characters of
+scripts without spaces are words of their own. Items of less than eight words
+are one window of their own length; windows with less than four plain words are
+no evidence. Items without a window in the second form are looked for whole,
+word by word with their values, if they have eight letters or digits, or four of
+scripts without spaces: shorter ones cannot be told from common words.
 
 Null texts have no words; null document ids are kept apart by their text, null
 item ids name one item. Repeated rows of a document give one result, repeated
@@ -35,6 +40,10 @@ SLOTS = 1 << 18
 # ASCII marks, Latin-1 signs, general and CJK punctuation.
 PUNCTUATION = r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2010-\u2027\u2030-\u205e\u3001-\u3003\u3008-\u3011"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+CAPITAL = "\u0004"  # a name in the second form only
+FORMS = (1, 2)
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+LETTERS, UNSPACED_LETTERS = 8, 4
 UNITS = (
     "kg|g|mg|t|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|l|ml|liters?|litres?|h|hours?|min|minutes?|s|seconds?|days?|weeks?|"
     "months?|years?|percent|dollars?|euros?|cents?|pounds?|degrees?|mph|kmh|w|kw|v|hz|mb|gb"
@@ -49,13 +58,24 @@ def marked(text: Column) -> Column:
     """
     x = F.coalesce(text.cast("string"), F.lit(""))
     x = F.regexp_replace(x, r"[\x00-\x1f]", " ")
+    x = F.when(x.rlike(f"[{UNSPACED}]"), F.regexp_replace(x, rf"([{UNSPACED}]\p{{M}}*)", " $1 ")).otherwise(x)
     x = F.regexp_replace(x, r" (?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", " " + NAME)
+    x = F.regexp_replace(F.concat(F.lit(" "), x), rf" (?=[{PUNCTUATION}]*\p{{Lu}})", " " + CAPITAL)
     numbers = F.regexp_replace(x, r"(?<![\p{L}\p{N}.,:/\x01])(?=\p{Sc}?[0-9])", NUMBER)
     numbers = F.regexp_replace(numbers, rf"(?<=\x02[^\s\x02]{{1,30}} )(?=(?:{UNITS}|%)(?![\p{{L}}\p{{N}}]))", UNIT)
     x = F.when(x.rlike("[0-9]"), numbers).otherwise(x)
     return F.lower(F.regexp_replace(x, f"[{PUNCTUATION}]", ""))
 
 
+def in_form(marked_text: Column, form: int) -> Column:
+    return F.translate(marked_text, CAPITAL, "" if form == 1 else NAME)
+
+
+def bare_words(marked_text: Column) -> Column:
+    """Words with the values of slots, without marks."""
+    return words_of(F.translate(marked_text, NAME + NUMBER + UNIT + CAPITAL, ""))
+
+
 def words_of(marked_text: Column) -> Column:
     """Words, slots with their values."""
     return F.array_remove(F.split(marked_text, " "), "")
@@ -67,8 +87,8 @@ def template_of(marked_text: Column) -> Column:
     return words_of(F.when(marked_text.rlike(r"[\x01-\x03]"), bare).otherwise(marked_text))
 
 
-def _window_hashes(word_hashes: Column, size: int, known: bytes | None) -> Column:
-    """(size, at, hash) of the windows of so many words whose slot in ``known`` is taken; of all without it."""
+def _window_hashes(word_hashes: Column, size: int, known: bytes | None, form: int = 1) -> Column:
+    """(form, size, at, hash) of the windows of so many words whose slot in ``known`` is taken; of all without it."""
     starts = F.when(F.size(word_hashes) >= size, F.sequence(F.lit(1), F.size(word_hashes) - size + 1))
     starts = F.coalesce(starts, F.array().cast("array<int>"))
 
@@ -80,7 +100,9 @@ def _window_hashes(word_hashes: Column, size: int, known: bytes | None) -> Colum
         starts = F.filter(
             starts, lambda i: F.substring(slot, F.pmod(hash_at(i), F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
         )
-    return F.transform(starts, lambda i: F.struct(F.lit(size).alias("d_size"), i.alias("d_at"), hash_at(i).alias("d_hash")))
+    return F.transform(starts, lambda i: F.struct(
+        F.lit(form).alias("d_form"), F.lit(size).alias("d_size"), i.alias("d_at"), hash_at(i).alias("d_hash")
+    ))
 
 
 def _taken_slots(windows: DataFrame) -> bytes | None:
@@ -103,25 +125,68 @@ def _slots(template: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item, size, at, hash, i_template, i_words, item_windows) of every window that is evidence."""
+    """(form, item, size, at, hash, i_template, i_words, item_windows) of every window that is evidence."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item"), marked(F.col("text")).alias("m"))
-    rows = rows.select("item", words_of(F.col("m")).alias("w"), template_of(F.col("m")).alias("t")).distinct()
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), in_form(F.col("m"), f).alias("m"),
+                                (in_form(F.col("m"), 1) if f == 1 else F.col("m")).alias("r")) for f in FORMS])
+    rows = rows.select("item", F.explode(forms).alias("f")).select("item", "f.*")
+    rows = rows.select("form", "item", words_of(F.col("r")).alias("w"), template_of(F.col("m")).alias("t")).distinct()
     rows = rows.filter(F.size("t") >= PLAIN).withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("at"))
     cut = rows.select(
-        "item", "size", "at", F.slice("t", F.col("at"), F.col("size")).alias("i_template"),
+        "form", "item", "size", "at", F.slice("t", F.col("at"), F.col("size")).alias("i_template"),
         F.slice("w", F.col("at"), F.col("size")).alias("i_words"),
     )
     cut = cut.filter(F.size("i_template") - F.size(_slots(F.col("i_template"))) >= PLAIN)
-    cut = cut.withColumn("hash", F.xxhash64(_word_hashes(F.col("i_template")))).dropDuplicates(["item", "size", "at", "hash"])
-    n = cut.groupBy("item").agg(F.count("*").alias("item_windows"))
-    return cut.join(n, cut.item.eqNullSafe(n.item)).drop(n.item)
+    cut = cut.withColumn("hash", F.xxhash64(_word_hashes(F.col("i_template"))))
+    cut = cut.dropDuplicates(["form", "item", "size", "at", "hash"])
+    n = cut.groupBy("form", "item").agg(F.count("*").alias("item_windows"))
+    return cut.join(n, cut.item.eqNullSafe(n.item) & (cut.form == n.form)).drop(n.item).drop(n.form)
+
+
+def whole_items(benchmark: DataFrame, windows: DataFrame) -> DataFrame:
+    """(item, i_whole, size, hash) of the items to be looked for whole, with the hash of their first words."""
+    known = windows.filter(F.col("form") == 2).select(F.col("item").alias("known")).distinct()
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item"), marked(F.col("text")).alias("m"))
+    rows = rows.join(known, F.col("item").eqNullSafe(F.col("known")), "left_anti")
+    rows = rows.select("item", bare_words(F.col("m")).alias("i_whole")).distinct()
+    text = F.array_join("i_whole", "")
+    enough = (F.length(text) >= LETTERS) | (F.length(F.regexp_replace(text, f"[^{UNSPACED}]", "")) >= UNSPACED_LETTERS)
+    rows = rows.filter(enough).withColumn("size", F.least(F.size("i_whole"), F.lit(WINDOW)))
+    return rows.withColumn("hash", F.xxhash64(_word_hashes(F.slice("i_whole", F.lit(1), F.col("size")))))
+
+
+def _whole_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The rows of ``leaks`` for items that stand in a document word by word, None if there are no such items."""
+    items = saved(items, "whole-items")
+    sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # at most eight
+    if not sizes:
+        return None
+    taken = _taken_slots(items)
+    if items.limit(SMALL_BENCHMARK + 1).count() <= SMALL_BENCHMARK:
+        items = F.broadcast(items)
+    hashed = docs.select("d", "h", _word_hashes(bare_words(F.col("m"))).alias("wh"))
+    hashes = F.concat(*[_window_hashes(F.col("wh"), s, taken) for s in sizes])
+    each = hashed.select("d", "h", F.explode_outer(hashes).alias("x")).select("d", "h", "x.*")
+    met = each.join(items, (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
+    met = saved(met.select("d", "h", "item", "i_whole", "d_at"), "whole-matches")
+    matched = met.select(F.col("d").alias("md"), F.col("h").alias("mh")).distinct()
+    words = docs.join(matched, F.col("d").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh")), "left_semi").dropDuplicates(["d", "h"])
+    words = words.select(F.col("d").alias("wd"), F.col("h").alias("wh"), bare_words(F.col("m")).alias("w"))
+    met = met.join(words, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh")))
+    met = met.filter(F.slice("w", F.col("d_at"), F.size("i_whole")) == F.col("i_whole"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    return met.select("d", "h", "item").distinct().select(
+        F.col("d").alias("doc_id"), F.col("item").alias("item_id"), one.alias("matched_windows"), one.alias("item_windows"),
+        zero.alias("slots"), zero.alias("changed_slots"), F.lit(1.0).alias("agreement"), F.col("h").alias("_text_hash"),
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated (doc_id, item_id) pairs with their evidence, and ``_text_hash`` of the document."""
     windows = saved(benchmark_windows(benchmark), "benchmark-windows")
-    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # at most eight
+    whole = whole_items(benchmark, windows)
+    kinds = [tuple(r) for r in windows.select("form", "size").distinct().orderBy("form", "size").collect()]  # few
     taken = _taken_slots(windows)
     if windows.limit(SMALL_BENCHMARK + 1).count() <= SMALL_BENCHMARK:
         windows = F.broadcast(windows)
@@ -129,33 +194,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("d"), F.hash(F.col("text").cast("string")).alias("h"),
         marked(F.col("text")).alias("m"),
     )
-    sizes = sizes or [WINDOW]
-    hashed = keyed.select("d", "h", _word_hashes(template_of(F.col("m"))).alias("wh"))
-    hashes = F.concat(*[_window_hashes(F.col("wh"), s, taken) for s in sizes])
+    kinds = kinds or [(1, WINDOW)]
+    hashed = keyed.select("d", "h", *[in_form(F.col("m"), f).alias(f"m{f}") for f in FORMS])
+    hashed = hashed.select("d", "h", *[_word_hashes(template_of(F.col(f"m{f}"))).alias(f"wh{f}") for f in FORMS])
+    hashes = F.concat(*[_window_hashes(F.col(f"wh{f}"), s, taken, f) for f, s in kinds])
     # The outer form: for the plain one the windows are worked out a second time, to drop empty arrays first.
     each = hashed.select("d", "h", F.explode_outer(hashes).alias("x")).select("d", "h", "x.*")
-    met = each.join(windows, (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
-    met = saved(met.select("d", "h", "item", "at", "item_windows", "size", "d_at", "i_template", "i_words"), "window-matches")
+    same = (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")) & (F.col("d_form") == F.col("form"))
+    met = each.join(windows, same)
+    met = saved(met.select("d", "h", "form", "item", "at", "item_windows", "size", "d_at", "i_template", "i_words"), "window-matches")
     # Only the documents with a match are read again, for the words themselves.
     matched = met.select(F.col("d").alias("md"), F.col("h").alias("mh")).distinct()
     same = F.col("d").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh"))
     words = keyed.join(matched, same, "left_semi").dropDuplicates(["d", "h"])
-    words = words.select(F.col("d").alias("wd"), F.col("h").alias("wh"), words_of(F.col("m")).alias("w"), template_of(F.col("m")).alias("t"))
+    words = words.select(F.col("d").alias("wd"), F.col("h").alias("wh"), words_of(F.col("m")).alias("w"))
     met = met.join(words, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh"))).select(
-        "d", "h", "item", "at", "item_windows", "i_template", "i_words", (F.col("d_at") - F.col("at")).alias("place"),
-        F.slice("t", F.col("d_at"), F.col("size")).alias("d_template"),
-        F.slice("w", F.col("d_at"), F.col("size")).alias("d_words"),
+        "d", "h", "form", "item", "at", "item_windows", "i_template", "i_words", (F.col("d_at") - F.col("at")).alias("place"),
+        F.array_join(F.slice("w", F.col("d_at"), F.col("size")), " ").alias("cut"),
     )
+    first = F.col("form") == 1
+    met = met.withColumns({
+        "d_words": words_of(F.when(first, in_form(F.col("cut"), 1)).otherwise(F.col("cut"))),
+        "d_template": template_of(F.when(first, in_form(F.col("cut"), 1)).otherwise(in_form(F.col("cut"), 2))),
+    })
     met = met.filter(F.col("d_template") == F.col("i_template"))
+    def named(word):
+        return F.translate(word, CAPITAL, NAME)
+
     trio = F.transform(
         F.arrays_zip(F.col("i_template").alias("t"), F.col("i_words").alias("i"), F.col("d_words").alias("d")),
         lambda x: F.when(
-            x["t"].isin(NAME, NUMBER, UNIT),
-            F.struct(F.col("place").alias("place"), x["i"].alias("i"), x["d"].alias("d")),
+            # The same word with a capital, as at the start of a sentence, tells nothing about values.
+            x["t"].isin(NAME, NUMBER, UNIT) & ~(x["i"].startswith(CAPITAL) & (named(x["i"]) == named(x["d"]))),
+            F.struct(F.col("place").alias("place"), named(x["i"]).alias("i"), named(x["d"]).alias("d")),
         ),
     )
     met = met.withColumn("slots", F.filter(trio, lambda s: s.isNotNull()))
-    found = met.groupBy("d", "h", "item").agg(
+    found = met.groupBy("d", "h", "form", "item").agg(
         F.size(F.collect_set("at")).alias("matched_windows"),
         F.max("item_windows").alias("item_windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
@@ -169,8 +244,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.when(F.size("slots") > 0, values / F.size("slots")).otherwise(F.lit(1.0)).alias("agreement"),
         F.col("h").alias("_text_hash"),
     )
+    key = ("doc_id", "item_id", "_text_hash")
     enough = F.least(F.lit(ENOUGH), F.ceil(F.col("item_windows") / 2))
-    return found.filter((F.col("matched_windows") >= enough) & (F.col("agreement") >= AGREE))
+    found = found.filter((F.col("matched_windows") >= enough) & (F.col("agreement") >= AGREE))
+    exact = _whole_leaks(keyed, whole)
+    if exact is not None:
+        found = found.union(exact)
+    # One row for each pair: the form with more of the item.
+    most = F.struct(F.col("matched_windows") / F.col("item_windows"), *[c for c in found.columns if c not in key])
+    best = found.groupBy(*key).agg(F.max(most).alias("x"))
+    return best.select(*[c if c in key else F.col(f"x.{c}").alias(c) for c in found.columns])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -396,6 +396,26 @@ def test_templates(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_items_with_few_plain_words_and_sentence_names(spark):
+    tom = "{0} has {1} red apples and buys {2} more at the market. {3} eats {4} of them every day after lunch."
+    items = {
+        1: "2 + 2 * 17 = 36 and 5 + 9 = 14", 2: "The capitals are Paris, London, Rome, Madrid, Berlin and Vienna.",
+        3: "北京是中国的首都和最大城市之一", 4: tom.format("Tom", 12, 5, "Mary", 3), 5: "Open sesame", 6: "Yes",
+    }
+    rows = [
+        (1, "so 2 + 2 * 17 = 36 and 5 + 9 = 14, as told"), (2, f"Look. {items[2]} Yes, all of them."), (3, f"他说{items[3]}。"),
+        (4, "Here it is. " + tom.format("Anna", 7, 9, "Paul", 2)), (5, "then open Sesame, he said"), (6, "Yes, so it is"),
+        (7, "so 2 + 2 * 17 = 36 and 5 + 9 = 15, as told"), (8, "The capitals are Oslo, Rome, Bern and Prague."),
+        (9, "北京的天气很好"), (None, items[1]),
+    ]
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, rows), b)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (None, 1)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(docs(spark, rows), b).collect()} == {6, 7, 8, 9}
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_whole_items_are_found(spark, sf, tables):
     got = {(r["doc_id"], r["item_id"]) for r in entry.queries()["op9_template_decontamination"](spark, sf).collect()}
     items = tables["benchmark"].collect()
