@@ -2,9 +2,12 @@
 
 Every record is a gzip member of its own with digests of its block and payload.
 The reader checks each record (member checksum, version line, header, length,
-closing lines, block digest). Where a check fails it looks for the next member
-or version line from which a whole record can be read, goes on there, and
-reports the bytes in between as a quarantined gap with the reason.
+closing lines, block digest if its algorithm is known). Where a check fails it
+looks for the next member or version line from which a whole record can be read,
+goes on there, and reports the bytes in between as a quarantined gap with the
+reason. The same is done inside a member of many records; of a damaged member
+the whole records before the damage are kept, if it is not just cut off only
+those whose digest was checked.
 
 Nulls: a null payload is empty, a null url or id is left out of the header and
 comes back null. Equal payloads of at least ``revisit_bytes`` bytes are stored
@@ -14,6 +17,8 @@ without an id are revisits of it. Empty tables give no archive and no rows.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -28,6 +33,9 @@ ARCHIVE_BYTES = 32_000_000
 REVISIT_BYTES = 100
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
+DIGESTS = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512",
+           "md5": "md5"}
+CUT_OFF = "gzip member is cut off"
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 
 READ_SCHEMA = (
@@ -119,6 +127,20 @@ class Broken(ValueError):
     """A check of a record failed."""
 
 
+def _digest_holds(stated: str, block: bytes) -> bool | None:
+    """Whether a digest (hexadecimal or base32) is that of the block; None if its algorithm is not known."""
+    name, _, value = stated.partition(":")
+    if name.strip().lower() not in DIGESTS:
+        return None
+    own, value = hashlib.new(DIGESTS[name.strip().lower()], block).digest(), value.strip()
+    if len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    try:
+        return base64.b32decode(value.rstrip("=") + "=" * (-len(value.rstrip("=")) % 8), casefold=True) == own
+    except (binascii.Error, ValueError):
+        return False
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     """(fields, end) of the record that starts at ``at``; raises Broken."""
     if not data.startswith(VERSIONS, at):
@@ -130,12 +152,17 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
         header = data[at:end].decode()
     except UnicodeDecodeError:
         raise Broken("header is not text") from None
-    fields = {}
+    fields, name = {}, None
     for line in header.split("\r\n")[1:]:
-        name, colon, value = line.partition(": ")
+        if line[:1] in (" ", "\t") and name is not None:  # a folded line goes on with the value before it
+            fields[name] += " " + line.strip(" \t")
+            continue
+        name, colon, value = line.partition(":")
         if not colon:
             raise Broken("header line without a value")
-        fields[name.lower()] = value
+        name = name.strip(" \t").lower()
+        # Addresses are written as they are, after one space.
+        fields[name] = value.removeprefix(" ") if name == "warc-target-uri" else value.strip(" \t")
     size = fields.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise Broken("no length")
@@ -144,25 +171,72 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
         raise Broken("length does not lead to the end of a record")
     block = data[first:last]
     stated = fields.get("warc-block-digest")
-    if stated is not None and stated != "sha256:" + hashlib.sha256(block).hexdigest():
+    holds = None if stated is None else _digest_holds(stated, block)
+    if holds is False:
         raise Broken("block digest differs")
-    fields["block"] = block
+    fields["block"], fields["checked"] = block, holds is True
     return fields, last + 4
 
 
-def _member_records(data: bytes, at: int) -> tuple[list[dict], int]:
+def _decoded(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(bytes, end, damage) of the gzip member that starts at ``at``; the bytes before the damage, if there is any."""
     unpacker = zlib.decompressobj(31)
     try:
         out = unpacker.decompress(memoryview(data)[at:])
+        return out, len(data) - len(unpacker.unused_data), "" if unpacker.eof else CUT_OFF
     except zlib.error:
-        raise Broken("gzip member is damaged") from None
-    if not unpacker.eof:
-        raise Broken("gzip member is cut off")
-    records, place = [], 0
-    while place < len(out):
-        record, place = parse_record(out, place)
-        records.append(record)
-    return records, len(data) - len(unpacker.unused_data)
+        pass
+    unpacker, parts, step = zlib.decompressobj(31), [], 1 << 14
+    while at < len(data):
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(data[at : at + step]))
+            at += step
+        except zlib.error:
+            if step == 1:
+                break
+            unpacker, step = before, max(1, step // 16)
+    return b"".join(parts), len(data), "gzip member is damaged"
+
+
+def _plain_records(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """Records and gaps of bytes that are not zipped."""
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        try:
+            record, end = parse_record(data, at)
+        except Broken as e:
+            if gap is None:
+                gap, why = at, str(e)
+            at = min((f for f in (data.find(v, at + 1) for v in VERSIONS) if f >= 0), default=len(data))
+            continue
+        if gap is not None:
+            yield "gap", gap, at, why
+            gap = None
+        yield "record", at, end, record
+        at = end
+    if gap is not None:
+        yield "gap", gap, len(data), why
+
+
+def _member_records(data: bytes, at: int) -> tuple[list[tuple[str, object]], int, str]:
+    """Records and gaps of a member, its end, and its damage; raises Broken if no record of it is sound."""
+    out, end, damage = _decoded(data, at)
+    found = []
+    for kind, first, last, what in _plain_records(out):
+        if kind == "gap":
+            found.append((kind, what if damage else f"{what} (bytes {first} to {last} of the member)"))
+        elif damage in ("", CUT_OFF) or what["checked"]:
+            found.append((kind, what))
+        else:
+            found.append(("gap", damage))
+    if found and not any(kind == "record" for kind, _ in found):
+        raise Broken(damage or found[0][1].partition(" (bytes")[0])
+    if damage:
+        if not found:
+            raise Broken(damage)
+        found = [f for f in found if f[0] == "record"]  # the damage is reported with its bytes
+    return found, end, damage
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -172,15 +246,20 @@ def _next_start(data: bytes, at: int) -> int:
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, fields) and ("gap", start, end, reason), covering all bytes in order."""
+    """("record", start, end, fields) and ("gap", start, end, reason), covering all bytes in order.
+
+    What a member holds has the bytes of the member. A damaged one with sound
+    records gives these and then the gap, from the same byte.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
+        damage = ""
         try:
             if data.startswith(MEMBER, at):
-                records, end = _member_records(data, at)
+                found, end, damage = _member_records(data, at)
             else:
                 record, end = parse_record(data, at)
-                records = [record]
+                found = [("record", record)]
         except Broken as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -189,8 +268,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         if gap is not None:
             yield "gap", gap, at, why
             gap = None
-        for record in records:
-            yield "record", at, end, record
+        if damage:
+            gap, why, end = at, damage, _next_start(data, at + 1)
+        for kind, what in found:
+            yield kind, at, end, what
         at = end
     if gap is not None:
         yield "gap", gap, len(data), why

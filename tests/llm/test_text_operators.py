@@ -1,5 +1,6 @@
 """Every text operator against brute force on small tables with nulls, ties, repeated rows, long and empty texts."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -278,6 +279,47 @@ def test_salvage(zipped):
     assert list(warc.salvage(b"")) == [] and [f[0] for f in warc.salvage(b"nothing")] == ["gap"]
 
 
+def foreign_record(n, digest, fold=False):
+    block = b"block %d " % n + b"".join(hashlib.sha256(b"%d %d" % (n, k)).digest() for k in range(40))
+    lines = ["WARC/1.0", "WARC-Type:response", f"WARC-Record-ID:<urn:page:{n}>", "Content-Length:  %d " % len(block)]
+    stated = digest(block)
+    lines += ["WARC-Block-Digest: " + stated] if stated else []
+    lines += ["X-Long: one", "\ttwo"] if fold else []
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def sha1_base32(block):
+    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
+def ids_and_gaps(data):
+    found = list(warc.salvage(data))
+    return [warc._page(x["warc-record-id"]) for kind, _, _, x in found if kind == "record"], [x for kind, _, _, x in found if kind == "gap"]
+
+
+def test_sound_records_of_other_writers():
+    digests = [sha1_base32, lambda b: "SHA1:" + hashlib.sha1(b).hexdigest(), lambda b: "md5:" + hashlib.md5(b).hexdigest(),
+               lambda b: "blake9:abc", lambda b: None]
+    data = b"".join(foreign_record(n, d, n % 2) for n, d in enumerate(digests))
+    assert ids_and_gaps(data) == ([0, 1, 2, 3, 4], [])
+    assert ids_and_gaps(foreign_record(1, lambda b: sha1_base32(b + b"x"))) == ([], ["block digest differs"])
+
+
+def test_members_of_many_records():
+    records = [foreign_record(n, sha1_base32) for n in range(12)]
+    broken = records.copy()
+    broken[4] = broken[4].replace(b"block 4", b"block 5")
+    ids, gaps = ids_and_gaps(warc.member(b"".join(broken)) + warc.member(records[0]))
+    assert ids == [0, 1, 2, 3, *range(5, 12), 0] and len(gaps) == 1 and "block digest" in gaps[0]
+    whole = warc.member(b"".join(records))
+    ids, gaps = ids_and_gaps(whole[: len(whole) // 2])
+    assert ids == list(range(len(ids))) and 4 <= len(ids) <= 6 and gaps == ["gzip member is cut off"]
+    damaged = bytearray(whole)
+    damaged[len(whole) // 2 : len(whole) // 2 + 40] = b"\xff" * 40
+    ids, gaps = ids_and_gaps(bytes(damaged) + warc.member(records[0]))
+    assert ids[:4] == [0, 1, 2, 3] and ids[-1] == 0 and gaps and 6 not in ids[:-1]
+
+
 # ---- top-k
 
 
