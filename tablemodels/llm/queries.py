@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemodels.llm import decontaminate, html_text, packing, quality, simhash, substring, token_files, topk, url_filter, warc
+from tablemodels.llm import (
+    decontaminate, html_text, multi_index, packing, quality, shared_search, simhash, substring, token_files, token_pairs, topk,
+    url_filter, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +40,35 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER.format('text')}, '{TERM}') AS t FROM documents
+), held AS (
+    SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0
+), corpus AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM held
+), tf AS (
+    SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM held) GROUP BY r, term
+), w AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), corpus
+), item AS (
+    SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all({LOWER.format('text')}, '{TERM}')) AS t FROM benchmark
+), wanted AS (
+    SELECT i, item_id, unnest(t) AS term FROM item
+), scored AS (
+    SELECT i, item_id, r, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms)))))::BIGINT AS score
+    FROM wanted JOIN w USING (term) JOIN tf USING (term) JOIN held USING (r), corpus
+    GROUP BY i, item_id, r, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def query(name: str, sql: str | None = None):
     def register(fn):
@@ -128,3 +160,23 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("_text_hash")
+
+
+@query("op11_shared_term_search", OP11_SQL)
+def _(spark, sf_dir):
+    return shared_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
+@query("op12_pair_bitmap_alignment")
+def _(spark, sf_dir):
+    return token_pairs.align(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+@query("op13_inverted_multi_index")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), multi_index.usable(F.col("embedding")).alias("v")
+    )
+    rows = rows.filter("id IS NOT NULL AND v IS NOT NULL")
+    found = multi_index.nearest(rows.filter("id % 100 = 0"), rows, k=10)
+    return found.withColumnRenamed("id", "vec_id")
