@@ -15,8 +15,8 @@ multiplicity to its documents. A pair has one row per shard however often it is
 linked, so no pair can hold more than its share of the rows.
 
 Neither tokenizer joins text across a space that follows a non-space and comes
-before one, so a text falls apart there and each piece is aligned once per
-worker while it is remembered; long pieces are aligned as they come.
+before one, so long texts are taken in slices that begin there. The slices of
+many documents are aligned together, as arrays: their ends are cuts anyway.
 
 Nulls: null and empty texts, and texts that either tokenizer does not spell
 byte by byte, have no tokens: zeros and an empty hash. Null and repeated
@@ -27,9 +27,10 @@ columns are ignored. Texts are read whole, in slices.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +38,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemodels.llm.common import partition_id, per_worker, saved
-from tablemodels.llm.tokens import WordEncoder, public_path
+from tablemodels.llm.tokens import RankEncoder, public_path
 
-LONGEST_KEPT = 64
-ENTRIES = 60_000
 CHUNK_CHARS = 1_000_000
 SHARD_DOCS = 4096
 SHARD_POSTINGS = 3_000_000
+# Links of one group that are written out; larger groups are counted by id first.
+WIDE_LINKS = 10_000
+# A link's key: place of its document in the chunk, id a, id b.
+ID_BITS = 21
 
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
-_SPACES = re.compile(r"  | (?!\S)")
 
 DOC_FIELDS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def slices(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
+def slices(text: str, most: int | None = None) -> Iterator[str]:
     """The text in parts of about ``most`` characters that no token crosses; all but the first have lost a space."""
-    start = 0
+    start, most = 0, most or CHUNK_CHARS
     while len(text) - start > most:
         found = _CUT.search(text, start + most)
         if not found:
@@ -63,85 +65,95 @@ def slices(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def pieces(part: str) -> list[str]:
-    """Pieces without the space in front of each."""
-    if not _SPACES.search(part) and not part.startswith(" "):
-        return part.split(" ")
-    first, *rest = _CUT.split(" " + part)
-    return [first[1:], *rest]
+@dataclass
+class Aligned:
+    """Texts of a chunk: per text sums, printed groups (None if not spelt byte by byte), and distinct links."""
 
-
-def printed_bytes() -> dict[str, int]:
-    """What byte-level vocabularies print for each byte: itself if visible, else the next character from U+0100 on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+    sums: np.ndarray  # texts by (tokens a, tokens b, groups, links)
+    printed: list[str | None]
+    text: np.ndarray  # of each distinct link: place of its text
+    keys: np.ndarray  # a << 32 | b
+    times: np.ndarray
 
 
 class PairAligner:
-    """Aligned pieces: (tokens a, tokens b, groups, links, printed groups, pair keys, multiplicities), None if not spelt."""
-
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = WordEncoder(path_a)
+        self.a = RankEncoder(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        printed = printed_bytes()
-        vocabulary = self.a.tokenizer.get_vocab()
-        self.bytes_a = {i: bytes(printed[c] for c in s) for s, i in vocabulary.items() if all(c in printed for c in s)}
-        self.bytes_b = {
-            i: bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        }
-        self.new, self.old = {}, {}
-
-    def align(self, piece: str, ids_b: list[int]):
-        whole = b" " + piece.encode()
-        ids_a = np.frombuffer(self.a._word(piece), "<u4").tolist()
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        printed, pairs, n_links = [], Counter(), 0
-        i = j = end_a = end_b = from_a = from_b = 0
-        while i < len(ids_a) or j < len(ids_b):
-            if end_a <= end_b and i < len(ids_a):
-                end_a += len(parts_a[i])
-                i += 1
-            else:
-                end_b += len(parts_b[j])
-                j += 1
-            if end_a == end_b:
-                group_a, group_b = ids_a[from_a:i], ids_b[from_b:j]
-                printed.append(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
-                n_links += len(group_a) * len(group_b)
-                if len(group_a) == len(group_b) == 1:
-                    pairs[group_a[0] << 32 | group_b[0]] += 1
-                else:
-                    count_b = Counter(group_b).items()
-                    for x, n in Counter(group_a).items():
-                        for y, m in count_b:
-                            pairs[x << 32 | y] += n * m
-                from_a, from_b = i, j
-        keys, counts = np.array([*pairs], "<i8").tobytes(), np.array([*pairs.values()], "<i8").tobytes()
-        return len(ids_a), len(ids_b), len(printed), n_links, ";".join(printed), keys, counts
-
-    def entries(self, words: set[str]) -> dict[str, tuple | None]:
-        """The aligned pieces of a chunk; what is not remembered goes to the second tokenizer in one call."""
-        out, missing = {}, []
-        for w in words:
-            if w in self.new:
-                out[w] = self.new[w]
-            elif w in self.old:
-                out[w] = self.new[w] = self.old[w]
-            else:
-                missing.append(w)
-        for w, ids in zip(missing, self.b.encode(missing, num_threads=1)):
-            out[w] = entry = self.align(w, ids)
-            if len(w) <= LONGEST_KEPT:
-                self.new[w] = entry
-        if len(self.new) > ENTRIES:
-            self.old, self.new = self.new, {}
-        return out
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_a = [self.a.bytes.get(i, b"") for i in range(max(self.a.bytes) + 1)]
+        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if max(len(self.bytes_a), len(self.bytes_b)) > 1 << ID_BITS:
+            raise ValueError("vocabularies are too large")
+        self.sizes = [np.array([len(b) for b in known]) for known in (self.bytes_a, self.bytes_b)]
+        # What is printed for an id, by whether it ends its side of a group.
+        self.print_a = np.array([f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"], object)
+        self.print_b = np.array([f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"], object)
+
+    def align(self, texts: list[str]) -> Aligned:
+        """Each text is read with a space in front of it."""
+        ids = [], []
+        sound = []
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, whole = self.a.ids(" " + text), b" " + text.encode()
+            sound.append(b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b]))
+            ids[0].append(a if sound[-1] else [])
+            ids[1].append(b if sound[-1] else [])
+        n_a, n_b = (np.array([len(i) for i in side], np.int64) for side in ids)
+        a, b = (np.fromiter(itertools.chain.from_iterable(side), np.int64, n.sum()) for side, n in zip(ids, (n_a, n_b)))
+        end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        # A token closes a group if the other side has a token that ends there as well.
+        total = int(end_a[-1]) if len(a) else 0
+        ends = np.zeros((2, total + 1), bool)
+        ends[0, end_a], ends[1, end_b] = True, True
+        last_a, last_b = ends[1, end_a], ends[0, end_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        n_groups = int(last_a.sum())
+        size_a, size_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+        start_b = np.cumsum(size_b) - size_b
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        text_a = np.repeat(np.arange(len(texts)), n_a)
+        text_of_group = text_a[last_a]
+        sums = np.stack([
+            n_a, n_b, np.bincount(text_of_group, minlength=len(texts)),
+            np.bincount(text_of_group, weights=(size_a * size_b).astype(float), minlength=len(texts)).astype(np.int64),
+        ], axis=1)
+        # Printed in the order of groups, side a first.
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + start_b[group_a]] = self.print_a[2 * a + last_a]
+        out[np.arange(len(b)) + np.cumsum(size_a)[group_b]] = self.print_b[2 * b + last_b]
+        places = list(zip((first_a + first_b).tolist(), (n_a + n_b).tolist()))
+        printed = ["".join(out[s : s + n].tolist())[:-1] if ok else None for ok, (s, n) in zip(sound, places)]
+        keys, times = self._links(a, b, text_a, group_a, size_a, size_b, start_b)
+        text = keys >> 2 * ID_BITS
+        pair = (keys >> ID_BITS & (1 << ID_BITS) - 1) << 32 | keys & (1 << ID_BITS) - 1
+        return Aligned(sums, printed, text, pair, times)
+
+    @staticmethod
+    def _links(a, b, text_a, group_a, size_a, size_b, start_b) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct links of each text and how often each stands there."""
+        wide = (size_a * size_b > WIDE_LINKS)[group_a]
+        some = np.flatnonzero(~wide)
+        n = size_b[group_a[some]]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start_b[group_a[some]], n)
+        lead = text_a[some] << 2 * ID_BITS | a[some] << ID_BITS
+        keys, times = np.unique(np.repeat(lead, n) | b[at], return_counts=True)
+        if not wide.any():
+            return keys, times
+        keys, times = [keys], [times]
+        for g in np.unique(group_a[wide]):
+            mine = np.flatnonzero(group_a == g)
+            ids_a, count_a = np.unique(a[mine], return_counts=True)
+            ids_b, count_b = np.unique(b[start_b[g] : start_b[g] + size_b[g]], return_counts=True)
+            keys.append((int(text_a[mine[0]]) << 2 * ID_BITS | ids_a[:, None] << ID_BITS | ids_b).reshape(-1))
+            times.append((count_a[:, None] * count_b).reshape(-1))
+        keys, times = np.concatenate(keys), np.concatenate(times)
+        distinct, where = np.unique(keys, return_inverse=True)
+        out = np.zeros(len(distinct), np.int64)
+        np.add.at(out, where, times)
+        return distinct, out
 
 
 def pack_places(places: np.ndarray) -> bytes:
@@ -182,18 +194,12 @@ class _Shard:
         self.docs: list[tuple] = []
         self.keys, self.places, self.times, self.size = [], [], [], 0
 
-    def add_links(self, entries: list[tuple], counts: list[int]):
-        """Pairs of the pieces of one document, each piece met ``counts`` times."""
-        keys = np.frombuffer(b"".join([e[5] for e in entries]), "<i8")
-        times = np.frombuffer(b"".join([e[6] for e in entries]), "<i8")
-        times = times * np.repeat(np.array(counts, np.int64), [len(e[5]) // 8 for e in entries])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        self.keys.append(keys[starts])
-        self.times.append(np.add.reduceat(times[order], starts))
-        self.places.append(np.full(len(starts), len(self.docs), np.int64))
-        self.size += len(starts)
+    def add_links(self, keys: np.ndarray, times: np.ndarray):
+        """Distinct links of one slice of the document that comes next."""
+        self.keys.append(keys)
+        self.times.append(times)
+        self.places.append(np.full(len(keys), len(self.docs), np.int64))
+        self.size += len(keys)
 
     def mark(self) -> int:
         return len(self.keys)
@@ -237,14 +243,14 @@ class _Shard:
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """(doc_id, pieces, last) in runs of about ``CHUNK_CHARS`` characters."""
+    """(doc_id, slice, last) in runs of about ``CHUNK_CHARS`` characters."""
     run, size = [], 0
     for name, text in rows:
         parts = slices(text or "")
         part = next(parts)
         while part is not None:
             following = next(parts, None)
-            run.append((name, pieces(part) if text else [], following is None))
+            run.append((name, part, following is None))
             size += len(part) + 100
             if size >= CHUNK_CHARS:
                 yield run
@@ -254,6 +260,25 @@ def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield run
 
 
+class _Document:
+    """What the slices of a document add up to."""
+
+    def __init__(self, mark: int):
+        self.sums, self.sound, self.digest, self.mark = np.zeros(4, np.int64), True, hashlib.sha256(), mark
+
+    def add(self, sums: np.ndarray, printed: str | None):
+        if printed is None:
+            self.sound = False
+        else:
+            self.digest.update((";" if self.sums[2] else "").encode() + printed.encode())
+            self.sums += sums
+
+    def row(self, name) -> tuple:
+        if not self.sound or not self.sums[0]:
+            return (name, 0, 0, 0, 0, 0, 0, "")
+        return (name, *self.sums.tolist(), 0, 0, self.digest.hexdigest())
+
+
 def _inverted(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, shard_docs: int, shard_postings: int) -> DataFrame:
     """Documents (place set) and postings (a set) of all shards in one written table."""
 
@@ -263,32 +288,25 @@ def _inverted(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, shard_docs: i
         )
         part, number, shard = partition_id(), 0, _Shard()
         rows = ((i.as_py(), t.as_py()) for batch in batches for i, t in zip(batch.column(0), batch.column(1)))
-        sums, sound, digest, mark = [0, 0, 0, 0], True, hashlib.sha256(), 0
+        document = _Document(0)
         for chunk in _chunks(rows):
-            known = aligner.entries({w for _, words, _ in chunk for w in words})
-            for name, words, last in chunk:
-                if words:
-                    counts = Counter(words)
-                    entries = [known[w] for w in counts]
-                    sound = sound and None not in entries
-                    if sound:
-                        times = list(counts.values())
-                        if sums[2]:  # groups of an earlier slice
-                            digest.update(b";")
-                        for at in range(4):
-                            sums[at] += sum(e[at] * n for e, n in zip(entries, times))
-                        digest.update(";".join([known[w][4] for w in words]).encode())
-                        shard.add_links(entries, times)
+            found = aligner.align([text for _, text, _ in chunk if text])
+            bounds = np.searchsorted(found.text, np.arange(len(found.printed) + 1))
+            at = 0
+            for name, text, last in chunk:
+                if text:
+                    document.add(found.sums[at], found.printed[at])
+                    links = slice(bounds[at], bounds[at + 1])
+                    shard.add_links(found.keys[links], found.times[links])
+                    at += 1
                 if last:
-                    if not sound:
-                        shard.drop(mark)
-                        sums = [0, 0, 0, 0]
-                    shard.docs.append((name, *sums, 0, 0, digest.hexdigest() if sums[0] else ""))
-                    sums, sound, digest = [0, 0, 0, 0], True, hashlib.sha256()
+                    if not document.sound:
+                        shard.drop(document.mark)
+                    shard.docs.append(document.row(name))
                     if len(shard.docs) >= shard_docs or shard.size >= shard_postings:
                         yield from shard.batches(part << 32 | number)
                         number, shard = number + 1, _Shard()
-                    mark = shard.mark()
+                    document = _Document(shard.mark())
         if shard.docs:
             yield from shard.batches(part << 32 | number)
 

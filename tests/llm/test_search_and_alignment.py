@@ -168,21 +168,49 @@ def random_texts(seed, n, parts=PARTS):
     return ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(n)]
 
 
-def test_pieces_are_aligned_as_whole_texts_are(both):
+def printed(groups):
+    return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+
+
+@pytest.mark.parametrize("wide", [10_000, 2])
+def test_slices_are_aligned_as_whole_texts_are(both, monkeypatch, wide):
+    monkeypatch.setattr(token_pairs, "WIDE_LINKS", wide)
     aligner = token_pairs.PairAligner(*map(tokens.public_path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
     parts = [p for p in PARTS if p not in ("▁",)]
-    sound = 0
-    for text in random_texts(1, 1500, parts) + random_texts(2, 500):
-        _, _, groups = both(text)
-        want = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        words = [w for part in token_pairs.slices(text, 20) for w in token_pairs.pieces(part)] if text else []
-        known = aligner.entries(set(words))
-        got = "" if any(known[w] is None for w in words) else ";".join(known[w][4] for w in words)
-        assert got == want, repr(text)
-        sound += bool(want)
+    texts = [t for t in random_texts(1, 1200, parts) + random_texts(2, 400) if t]
+    cut = [list(token_pairs.slices(t, 20)) for t in texts]
+    found = aligner.align([p for c in cut for p in c])
+    at = sound = 0
+    for text, c in zip(texts, cut):
+        mine = range(at, at + len(c))
+        at += len(c)
+        a, b, groups = both(text)
+        whole = all(found.printed[i] is not None for i in mine)
+        assert (";".join(found.printed[i] for i in mine) if whole else "") == printed(groups), repr(text)
+        if whole:
+            sound += 1
+            assert found.sums[mine].sum(axis=0).tolist() == [len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups)]
+            links = Counter(x << 32 | y for ga, gb in groups for x in ga for y in gb)
+            got = Counter()
+            for i in np.flatnonzero((found.text >= mine[0]) & (found.text <= mine[-1])):
+                got[int(found.keys[i])] += int(found.times[i])
+            assert got == links
     assert sound > 1000
 
 
+def test_merges_by_rank_give_the_tokenizer_s_ids():
+    from tokenizers import Tokenizer
+
+    direct = Tokenizer.from_file(tokens.public_path("byte_bpe_50k.json"))
+    direct.encode_special_tokens = True
+    fast, r = tokens.RankEncoder(tokens.public_path("byte_bpe_50k.json")), random.Random(4)
+    parts = PARTS + ["'s", "'", "'ll", "²", "Ⅷ", "\u0301", "\u200b", "\u2028", "\x85", "ǅ", "_", "İ", "\U00010400", " 's", "x's", "٣"]
+    texts = ["", "x" * 300, " " * 50, "a" * 50_000, " " * 50_000] + ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    texts += ["".join(chr(r.choice([r.randrange(0x250), r.randrange(0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(40)) for _ in range(2000)]
+    for text in texts:
+        assert fast.ids(text) == direct.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_bitmaps_and_planes_round_trip():
     rng = np.random.default_rng(0)
     for size in (1, 2, 50, 3000, 65_536):
