@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import posixpath
 import struct
 import zlib
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import functions as F
 
-from checks.base import SQL_POINTS, long_vector, points, query, read, rnd, sql_long, sql_rnd
+from checks.base import SQL_POINTS, long_vector, points, query, read, rnd, sql_long, sql_rnd, sql_uniform
+from checks.networks import SqlTraining, rounded, sql_histories, sql_one_hot, sql_split
 from tablemodels.functions import vectors as V
 from tablemodels.operators import align, features, groups, images, mlp, order, style
 from tablemodels.operators.blocks import gram
 from tablemodels.session import scratch_dir
-from tablemodels.sources import readers
+from tablemodels.sources import files, readers
 
 SQL_P = f"({SQL_POINTS})"
 CELL = "range(1, 65) t(pos)"
@@ -36,8 +34,8 @@ def png_bytes(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def write_image_folder(df, root: str, height: int, width: int, channels: int) -> None:
-    """(vec_id, label, pixels in 0..255) as ``class=<label>/<vec_id>.png``, written by the tasks.
+def write_image_folder(df, root: str, height: int, width: int, channels: int, prefix: str = "class=") -> None:
+    """(vec_id, label, pixels in 0..255) as ``<prefix><label>/<vec_id>.png``, written by the tasks.
 
     A file's name and content depend on its row alone, so a repeated task writes the same file.
     """
@@ -46,11 +44,7 @@ def write_image_folder(df, root: str, height: int, width: int, channels: int) ->
         for batch in batches:
             for key, label, px in zip(*(batch.column(i) for i in range(3))):
                 image = np.array(px.values, dtype=np.uint8).reshape((height, width) if channels == 1 else (height, width, channels))
-                folder = f"{root}/class={label.as_py()}"
-                files, path = pa.fs.FileSystem.from_uri(folder if urlparse(folder).scheme else f"file://{folder}")
-                files.create_dir(path, recursive=True)
-                with files.open_output_stream(posixpath.join(path, f"{key.as_py()}.png")) as out:
-                    out.write(png_bytes(image))
+                files.write_file(f"{root}/{prefix}{label.as_py()}", f"{key.as_py()}.png", png_bytes(image))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     df.select("vec_id", "label", "pixels").mapInArrow(write, "n bigint").agg(F.sum("n")).first()
@@ -64,28 +58,47 @@ def byte_pixels():
 SQL_BYTE = "floor(x[{i}] * 127.0::DOUBLE + 128.0::DOUBLE)"
 
 
-def grey_folder(spark, sf):
+def grey_folder(spark, sf, prefix="class="):
     root = scratch_dir(spark, "images")
-    write_image_folder(points(spark, sf).withColumn("pixels", byte_pixels()), root, 8, 8, 1)
+    write_image_folder(points(spark, sf).withColumn("pixels", byte_pixels()), root, 8, 8, 1, prefix)
     return root
 
 
-@query(
-    "s7_labelled_image_folder",
+SQL_FOLDER = (
     f"SELECT vec_id, label::VARCHAR AS class, label::INTEGER AS label, 8::INTEGER AS height, (pos - 1)::INTEGER AS pos, {SQL_BYTE.format(i='pos')} AS value "
-    f"FROM {SQL_P}, {CELL}",
+    f"FROM {SQL_P}, {CELL}"
 )
-def _(spark, sf):
-    rows = readers.read_image_folder(spark, grey_folder(spark, sf))
+
+
+def folder_cells(spark, root):
+    rows = readers.read_image_folder(spark, root)
     key = F.regexp_extract("origin", r"/(\d+)\.png", 1).cast("bigint").alias("vec_id")
     return rows.select(key, "class", "label", "height", F.posexplode_outer("pixels").alias("pos", "value"))
 
 
-@query("s8_files_per_class", "SELECT label::VARCHAR AS class, count(*)::BIGINT AS n FROM embeddings GROUP BY 1")
+@query("s7_labelled_image_folder", SQL_FOLDER)
+def _(spark, sf):
+    return folder_cells(spark, grey_folder(spark, sf))
+
+
+@query("s7_plain_class_folders", SQL_FOLDER)
+def _(spark, sf):
+    return folder_cells(spark, grey_folder(spark, sf, ""))
+
+
+SQL_FILES = "SELECT label::VARCHAR AS class, count(*)::BIGINT AS n FROM embeddings GROUP BY 1"
+
+
+@query("s8_files_per_class", SQL_FILES)
 def _(spark, sf):
     return readers.class_file_counts(spark, grey_folder(spark, sf))
 
 
+@query("s8_files_per_plain_folder", SQL_FILES)
+def _(spark, sf):
+    return readers.class_file_counts(spark, grey_folder(spark, sf, ""), "*.png")
+
+
 @query("i1_rescale_pixels", f"SELECT vec_id, (pos - 1)::INTEGER AS pos, {sql_rnd(SQL_BYTE.format(i='pos') + ' / 255')} AS value FROM {SQL_P}, {CELL}")
 def _(spark, sf):
     bytes_ = points(spark, sf).select("vec_id", byte_pixels().alias("px"))
@@ -108,18 +121,22 @@ def _(spark, sf):
     return part.select("p_partkey", images.width_for_height(F.col("p_retailprice"), F.col("p_size")).alias("width"))
 
 
-# The first 63 cells as a 3 × 7 colour image.
-SQL_COLOUR = f"(SELECT vec_id, list_transform(x[1:63], lambda v: floor(v * 127.0::DOUBLE + 128.0::DOUBLE)) AS px FROM {SQL_P})"
+# Every cell as a colour pixel: as it is, turned round, and halved.
+SQL_COLOUR = (
+    "(SELECT vec_id, flatten(list_transform(x, lambda v: [floor(v * 127.0::DOUBLE + 128.0::DOUBLE), floor(v * -127.0::DOUBLE + 128.0::DOUBLE), "
+    f"floor(v * 63.5::DOUBLE + 128.0::DOUBLE)])) AS px FROM {SQL_P})"
+)
 
 
 def colour(spark, sf):
-    return points(spark, sf).select("vec_id", F.slice(byte_pixels(), 1, 63).alias("px"))
+    pixel = F.transform("x", lambda v: F.array(*[F.floor(v * k + 128.0).cast("double") for k in (127.0, -127.0, 63.5)]))
+    return points(spark, sf).select("vec_id", F.flatten(pixel).alias("px"))
 
 
 @query(
     "i4_centre_channels",
     f"SELECT vec_id, pos::INTEGER AS pos, {sql_rnd('px[pos + 3 - (pos % 3) * 2] - [103.939, 116.779, 123.68][pos % 3 + 1]')} AS value "
-    f"FROM {SQL_COLOUR}, range(63) t(pos)",
+    f"FROM {SQL_COLOUR}, range(192) t(pos)",
 )
 def _(spark, sf):
     return long_vector(colour(spark, sf).withColumn("px", images.centre_channels(F.col("px"))), "px", "vec_id")
@@ -128,7 +145,7 @@ def _(spark, sf):
 @query(
     "i4_restore_channels",
     "SELECT vec_id, pos::INTEGER AS pos, trunc(greatest(0.0::DOUBLE, least(255.0::DOUBLE, px[pos + 3 - (pos % 3) * 2] * 2 - 200 + "
-    f"([103.939, 116.779, 123.68]::DOUBLE[])[3 - pos % 3])))::INTEGER AS value FROM {SQL_COLOUR}, range(63) t(pos)",
+    f"([103.939, 116.779, 123.68]::DOUBLE[])[3 - pos % 3])))::INTEGER AS value FROM {SQL_COLOUR}, range(192) t(pos)",
 )
 def _(spark, sf):
     stretched = colour(spark, sf).withColumn("px", F.transform("px", lambda v: v * 2 - 200))
@@ -141,15 +158,51 @@ def _(spark, sf):
     return points(spark, sf).select("vec_id", F.posexplode_outer(flipped).alias("pos", "value"))
 
 
-@query("i5_augmented_copies")
+def sql_spread(what: str, reach: float, middle: float = 0.0) -> str:
+    return f"(({sql_uniform(f"'4|{what}|' || vec_id || '|' || copy")} * 2 - 1) * {reach!r}::DOUBLE + {middle!r}::DOUBLE)"
+
+
+# turn · slant · zoom · (cell - middle) + turn · shift + middle, then four neighbours and the nearest edge.
+SQL_WARP = (
+    f"w AS (SELECT vec_id, x, copy, radians({sql_spread('rotation', 40.0)}) AS a, {sql_spread('down', 0.2)} * 8 AS down, "
+    f"{sql_spread('right', 0.2)} * 8 AS across, radians({sql_spread('shear', 0.2)}) AS s, {sql_spread('zoom_y', 0.2, 1.0)} AS zy, "
+    f"{sql_spread('zoom_x', 0.2, 1.0)} AS zx, {sql_uniform("'4|flip|' || vec_id || '|' || copy")} < 0.5 AS flip FROM {SQL_P}, range(2) t(copy)), "
+    "g AS (SELECT *, i - 3.5::DOUBLE AS u, (CASE WHEN flip THEN 7 - j ELSE j END) - 3.5::DOUBLE AS v FROM w, range(8) r(i), range(8) c(j)), "
+    "t AS (SELECT *, zy * u - sin(s) * zx * v AS p, cos(s) * zx * v AS q FROM g), "
+    "spot AS (SELECT *, greatest(0.0::DOUBLE, least(7.0::DOUBLE, cos(a) * p - sin(a) * q + cos(a) * down - sin(a) * across + 3.5)) AS y, "
+    "greatest(0.0::DOUBLE, least(7.0::DOUBLE, sin(a) * p + cos(a) * q + sin(a) * down + cos(a) * across + 3.5)) AS z FROM t), "
+    "n AS (SELECT *, floor(y)::INTEGER AS y0, floor(z)::INTEGER AS z0 FROM spot), "
+    "m AS (SELECT *, least(y0 + 1, 7) AS y1, least(z0 + 1, 7) AS z1, y - y0 AS fy, z - z0 AS fz FROM n) "
+)
+SQL_WARPED = (
+    "(x[y0 * 8 + z0 + 1] * (1 - fz) + x[y0 * 8 + z1 + 1] * fz) * (1 - fy) + (x[y1 * 8 + z0 + 1] * (1 - fz) + x[y1 * 8 + z1 + 1] * fz) * fy"
+)
+
+
+@query(
+    "i5_augmented_copies",
+    f"WITH {SQL_WARP} SELECT vec_id, copy::INTEGER AS copy, (i * 8 + j)::INTEGER AS pos, {sql_rnd(SQL_WARPED)} AS value FROM m",
+)
 def _(spark, sf):
     copies = points(spark, sf).withColumn("copy", F.explode(F.lit([0, 1])))
     warp = images.augment_parameters(F.col("vec_id"), F.col("copy"), seed=4)
     out = copies.withColumn("warp", warp).withColumn("px", images.augment(F.col("x"), F.col("warp"), 8, 8, channels=1))
-    return out.groupBy("label", "copy").agg(F.count("*").alias("n"), F.avg(F.element_at("px", 28)).alias("middle"))
+    return long_vector(out, "px", "vec_id", "copy")
 
 
-@query("i6_folder_classifier")
+IMAGE_NET = mlp.new_network([36, 16, 10], "cross_entropy", seed=1)
+IMAGE_SPEC = mlp.TrainSpec(epochs=3, steps=4, rate=1e-3)
+SQL_SMALL = (
+    "SELECT vec_id AS id, list_transform(range(36), lambda p: "
+    + SQL_BYTE.format(i="floor((p // 6 + 0.5::DOUBLE) * 8 / 6)::INTEGER * 8 + floor((p % 6 + 0.5::DOUBLE) * 8 / 6)::INTEGER + 1")
+    + f" / 255) AS x0, {sql_one_hot('label', 10)} AS y FROM {SQL_P}"
+)
+
+
+@query(
+    "i6_folder_classifier",
+    sql_histories({"model": SqlTraining("t", sql_split(SQL_SMALL, True), IMAGE_NET, IMAGE_SPEC, sql_split(SQL_SMALL, False))}),
+)
 def _(spark, sf):
     rows = readers.read_image_folder(spark, grey_folder(spark, sf))
     key = F.regexp_extract("origin", r"/(\d+)\.png", 1).cast("bigint").alias("id")
@@ -157,10 +210,8 @@ def _(spark, sf):
     ready = rows.select(key, "label", images.rescale_pixels(sized).alias("x"))
     ready = features.one_hot_class(ready, "label", "y", 10).persist()
     train, test = order.prefix_split(ready, "id")
-    net = mlp.new_network([36, 32, 10], "cross_entropy", seed=1)
-    spec = mlp.TrainSpec(epochs=3, batch=20, rate=1e-3)
     try:
-        return mlp.train(train, "id", "x", "y", net, spec, workers=2, validation=test)[1].table(spark)
+        return rounded(mlp.train(train, "id", "x", "y", IMAGE_NET, IMAGE_SPEC, validation=test)[1].table(spark))
     finally:
         ready.unpersist()
 

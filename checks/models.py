@@ -6,14 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from checks.base import SQL_PLANE, SQL_POINTS, long_vector, plane, points, query, read, rnd, sql_long, sql_rnd, sql_uniform
-from checks.profiles import customers, sql_draws
+from checks.profiles import sql_draws, sql_normal
 from checks.tables import GRID_SQL, WEIGHTS, sql_list
 from tablemodels.functions import vectors as V
-from tablemodels.functions.clean import bucket_by_cuts
-from tablemodels.operators import basis, cluster, features, fusion, generative, groups, mlp, order, perceptron, regions
+from tablemodels.operators import basis, cluster, generative, groups, perceptron, regions
 from tablemodels.operators import softmax as sm
-from tablemodels.operators.align import pair_modalities
-from tablemodels.plans.preparation import feature_rows
 from tablemodels.session import scratch_dir, small_table
 from tablemodels.sources import readers, writers
 
@@ -61,10 +58,22 @@ def _(spark, sf):
     return long_vector(lloyd(spark, sf)[1].centre_table(spark), "centre", "cluster")
 
 
-@query("m2_kmeans_normal_start")
+SQL_NORMAL_START = SQL_START.split(", c0 AS")[0] + (
+    f", c0 AS MATERIALIZED (SELECT k, list(z ORDER BY j) AS c FROM (SELECT k, j, {sql_normal(3, 'k', 'j')} AS z FROM range(10) t(k), range(64) u(j)) GROUP BY k)"
+)
+
+
+@query(
+    "m2_kmeans_normal_start",
+    sql_lloyd(ROUNDS).replace(SQL_START, SQL_NORMAL_START) + " " + " UNION ALL ".join(
+        f"SELECT {2 * i - 2}::INTEGER AS step, {sql_rnd('sum(d)')} AS objective FROM a{i} UNION ALL "
+        f"SELECT {2 * i - 1}::INTEGER, {sql_rnd('sum(pow(list_distance(x, c), 2))')} FROM a{i} JOIN c{i} USING (k)" for i in range(1, ROUNDS + 1)
+    ),
+)
 def _(spark, sf):
     df = points(spark, sf)
-    return cluster.kmeans_fit(df, "vec_id", "x", 10, rounds=5, seed=3).history_table(spark)
+    history = cluster.kmeans_fit(df, "vec_id", "x", 10, rounds=ROUNDS, seed=3).history_table(spark)
+    return history.withColumn("objective", rnd("objective"))
 
 
 SEED = 9
@@ -463,7 +472,7 @@ def _(spark, sf):
 
 # ---- perceptrons
 
-DRAWS, PSEED = 60, 21
+DRAWS, ROUND, PSEED = 60, 16, 21
 
 
 def signed_points(spark, sf):
@@ -471,31 +480,47 @@ def signed_points(spark, sf):
 
 
 SQL_SIGNED = "(SELECT vec_id, embedding::DOUBLE[] AS x, (CASE WHEN label < 5 THEN 1 ELSE -1 END) AS y FROM embeddings)"
-SQL_PERCEPTRON = (
-    f"WITH RECURSIVE d AS MATERIALIZED (SELECT * FROM {sql_draws(SQL_SIGNED, 'vec_id', ', x, y', DRAWS, str(PSEED))}), "
-    "st AS (SELECT 0 AS t, list_transform(range(64), lambda i: 0.0::DOUBLE) AS w, []::BIGINT[] AS s UNION ALL SELECT st.t + 1, "
-    "CASE WHEN hit THEN list_transform(range(1, 65), lambda i: w[i] + y * x[i]) ELSE w END, CASE WHEN hit THEN list_append(s, vec_id) ELSE s END "
-    "FROM (SELECT st.t, w, s, x, y, vec_id, y * list_dot_product(w, x) <= 0 AND NOT list_contains(s, vec_id) AS hit FROM st JOIN d ON d.t = st.t) st), "
-    f"last AS (SELECT w, s FROM st WHERE t = {DRAWS})"
+# One state per round or removal: the support after it. Removals come first, then the next round's mistakes join.
+SQL_WORST = (
+    "list_sort(list_transform(s, lambda i: {'v': -i.a * (coalesce(list_sum(list_transform(s, lambda j: j.a * list_dot_product(j.x, i.x))), 0) "
+    "- i.a * list_dot_product(i.x, i.x)), 'id': i.id}))[1].id"
 )
 
 
+def sql_perceptron(budget: int) -> str:
+    return (
+        f"WITH RECURSIVE d AS MATERIALIZED (SELECT t // {ROUND} AS r, list(DISTINCT {{'id': vec_id, 'a': y, 'x': x}}) AS l "
+        f"FROM {sql_draws(SQL_SIGNED, 'vec_id', ', x, y', DRAWS, str(PSEED))} GROUP BY r), "
+        "st AS (SELECT -1 AS r, 0 AS step, []::STRUCT(id BIGINT, a INTEGER, x DOUBLE[])[] AS s UNION ALL "
+        f"SELECT CASE WHEN len(s) > {budget} THEN st.r ELSE st.r + 1 END, step + 1, CASE WHEN len(s) > {budget} "
+        f"THEN list_filter(s, lambda e: e.id <> {SQL_WORST}) ELSE list_concat(s, list_filter(d.l, lambda n: "
+        "n.a * coalesce(list_sum(list_transform(s, lambda e: e.a * list_dot_product(e.x, n.x))), 0) <= 0 "
+        "AND NOT list_contains(list_transform(s, lambda e: e.id), n.id))) END "
+        f"FROM st LEFT JOIN d ON d.r = st.r + 1 WHERE len(s) > {budget} OR d.r IS NOT NULL), "
+        "last AS (SELECT arg_max(s, step) AS s FROM st)"
+    )
+
+
+SQL_PERCEPTRON = sql_perceptron(10**9)
+SQL_DECISION = "coalesce(list_sum(list_transform(s, lambda e: e.a * list_dot_product(e.x, x))), 0)"
+
+
 def support(spark, sf, **kw):
-    return perceptron.perceptron_fit(signed_points(spark, sf), "vec_id", "x", "y", DRAWS, PSEED, block=16, **kw)
+    return perceptron.perceptron_fit(signed_points(spark, sf), "vec_id", "x", "y", DRAWS, PSEED, block=ROUND, **kw)
 
 
-@query("m15_kernel_perceptron", SQL_PERCEPTRON + " SELECT unnest(s) AS id FROM last")
+@query("m15_kernel_perceptron", SQL_PERCEPTRON + " SELECT unnest(list_transform(s, lambda e: e.id)) AS id FROM last")
 def _(spark, sf):
     return support(spark, sf).table(spark).select("id")
 
 
-@query("m17_kernel_predict", SQL_PERCEPTRON + f" SELECT vec_id, (list_dot_product(w, x) > 0)::INTEGER AS prediction FROM {SQL_SIGNED}, last")
+@query("m17_kernel_predict", SQL_PERCEPTRON + f" SELECT vec_id, ({SQL_DECISION} > 0)::INTEGER AS prediction FROM {SQL_SIGNED}, last")
 def _(spark, sf):
     df = signed_points(spark, sf)
     return perceptron.perceptron_predict(df, "x", support(spark, sf)).select("vec_id", "prediction")
 
 
-@query("j3_kernel_sums", SQL_PERCEPTRON + f" SELECT vec_id, {sql_rnd('list_dot_product(w, x)')} AS collapsed, {sql_rnd('list_dot_product(w, x)')} AS pairwise FROM {SQL_SIGNED}, last")
+@query("j3_kernel_sums", SQL_PERCEPTRON + f" SELECT vec_id, {sql_rnd(SQL_DECISION)} AS collapsed, {sql_rnd(SQL_DECISION)} AS pairwise FROM {SQL_SIGNED}, last")
 def _(spark, sf):
     model = support(spark, sf)
     one, all_pairs = (perceptron.decision(F.col("x"), model, collapse=c) for c in (True, False))
@@ -503,15 +528,7 @@ def _(spark, sf):
 
 
 BUDGET = 5
-SQL_BUDGET = (
-    f"WITH RECURSIVE d AS MATERIALIZED (SELECT * FROM {sql_draws(SQL_SIGNED, 'vec_id', ', x, y', DRAWS, str(PSEED))}), "
-    "st AS (SELECT 0 AS t, []::STRUCT(id BIGINT, a INTEGER, x DOUBLE[])[] AS s UNION ALL SELECT t + 1, "
-    f"CASE WHEN len(s2) <= {BUDGET} THEN s2 ELSE list_filter(s2, lambda e: e.id <> list_sort(list_transform(s2, lambda i: "
-    "{'v': -i.a * (coalesce(list_sum(list_transform(s2, lambda j: j.a * list_dot_product(j.x, i.x))), 0) - i.a * list_dot_product(i.x, i.x)), 'id': i.id}))[1].id) END "
-    "FROM (SELECT st.t, CASE WHEN y * coalesce(list_sum(list_transform(s, lambda e: e.a * list_dot_product(e.x, x))), 0) <= 0 "
-    "AND NOT list_contains(list_transform(s, lambda e: e.id), vec_id) THEN list_append(s, {'id': vec_id, 'a': y, 'x': x}) ELSE s END AS s2 "
-    f"FROM st JOIN d ON d.t = st.t)), last AS (SELECT s FROM st WHERE t = {DRAWS})"
-)
+SQL_BUDGET = sql_perceptron(BUDGET)
 
 
 @query("m16_budget_perceptron", SQL_BUDGET + " SELECT unnest(list_transform(s, lambda e: e.id)) AS id, unnest(list_transform(s, lambda e: e.a))::INTEGER AS a FROM last")
@@ -528,135 +545,3 @@ def _(spark, sf):
 def _(spark, sf):
     out = perceptron.worst_supports(support(spark, sf, budget=BUDGET), spark)
     return out.select("id", rnd("score").alias("score"), "worst")
-
-
-# ---- dense networks
-
-
-def price_rows(spark, sf):
-    """(o_orderkey, x, y): price from date and status, all near unit scale."""
-    orders = read(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
-    year = (F.year("o_orderdate") - 1995) / 3.0
-    open_ = F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.0)
-    return orders.select("o_orderkey", V.assemble(year, open_).alias("x"), F.array(F.col("o_totalprice") / 500_000).alias("y"))
-
-
-def label_rows(spark, sf):
-    return features.one_hot_class(points(spark, sf), "label", "y", 10)
-
-
-@query("m19_mlp_regression")
-def _(spark, sf):
-    net = mlp.new_network([2, 64, 64, 1], "mse", seed=1)
-    _, history = mlp.train(price_rows(spark, sf), "o_orderkey", "x", "y", net, mlp.TrainSpec(), workers=4)
-    return history.table(spark)
-
-
-@query("m20_mlp_classifier")
-def _(spark, sf):
-    train, test = order.prefix_split(label_rows(spark, sf), "vec_id")
-    net = mlp.new_network([64, 64, 64, 10], "cross_entropy", seed=1)
-    _, history = mlp.train(train, "vec_id", "x", "y", net, mlp.TrainSpec(epochs=3, optimizer="adam"), workers=2, validation=test)
-    return history.table(spark)
-
-
-def customer_rows(spark, sf):
-    """Customer features with the balance quartile class as a four-way target."""
-    base = customers(spark, sf)
-    wide = feature_rows(base, "c_custkey", ["c_nationkey"], ["c_mktsegment", "n_name"])
-    cuts = order.percentiles(base, "c_acctbal", (0.25, 0.5, 0.75))
-    target = V.one_hot(bucket_by_cuts(F.col("c_acctbal"), cuts, "right") - 1, 4)
-    return pair_modalities(wide, base.select("c_custkey", target.alias("y")), "c_custkey")
-
-
-VARIANTS = {
-    "original": ([16, 16], mlp.TrainSpec(epochs=2, batch=512)),
-    "smaller": ([4, 4], mlp.TrainSpec(epochs=2, batch=512)),
-    "bigger": ([512, 512], mlp.TrainSpec(epochs=2, batch=512)),
-    "l2": ([16, 16], mlp.TrainSpec(epochs=2, batch=512, l2=0.001)),
-    "dropout": ([16, 16], mlp.TrainSpec(epochs=2, batch=512, dropout=0.5)),
-}
-
-
-def swept(spark, sf, *names):
-    train, test = order.prefix_split(customer_rows(spark, sf), "c_custkey")
-    chosen = {n: VARIANTS[n] for n in names}
-    return mlp.sweep(train, "c_custkey", "features", "y", "cross_entropy", chosen, workers=2, validation=test)
-
-
-@query("m21_capacity_sweep")
-def _(spark, sf):
-    return swept(spark, sf, "smaller", "original", "bigger")
-
-
-@query("m22_l2_penalty")
-def _(spark, sf):
-    return swept(spark, sf, "original", "l2")
-
-
-@query("m23_dropout")
-def _(spark, sf):
-    return swept(spark, sf, "original", "dropout")
-
-
-@query("m24_model_comparison")
-def _(spark, sf):
-    return mlp.compare_models(swept(spark, sf, "original", "l2", "dropout"), "val_loss", ["original", "l2", "dropout"])
-
-
-@query("m25_trained_weights")
-def _(spark, sf):
-    net = mlp.new_network([64, 16, 10], "cross_entropy", seed=2)
-    net, history = mlp.train(label_rows(spark, sf), "vec_id", "x", "y", net, mlp.TrainSpec(), workers=2)
-    return net.table(spark).withColumn("seconds", F.lit(history.seconds))
-
-
-@query("m26_two_branch_head")
-def _(spark, sf):
-    rows = label_rows(spark, sf)
-    left, right = (rows.select("vec_id", V.slice_vector(F.col("x"), s, 32).alias("h"), "y") for s in (0, 32))
-    spec = mlp.TrainSpec(epochs=2)
-    nets = [mlp.train(r, "vec_id", "h", "y", mlp.new_network([32, 16, 10], "cross_entropy", i), spec)[0] for i, r in enumerate((left, right))]
-    fused = fusion.fuse(left, "h", nets[0], right, "h", nets[1], "vec_id")
-    train, test = order.prefix_split(fused, "vec_id")
-    return fusion.train_head(train, "vec_id", "y", 10, 20, spec, validation=test)[1].table(spark)
-
-
-def fixed_network() -> mlp.Network:
-    kernel1, kernel2 = np.array(WEIGHTS).T, np.array([row[:3] for row in WEIGHTS])
-    return mlp.Network([64, 3, 3], "cross_entropy", np.concatenate([kernel1.ravel(), [0.1, -0.2, 0.3], kernel2.ravel(), [0.0, 0.5, -0.5]]))
-
-
-SQL_HIDDEN = ", ".join(f"greatest(0.0::DOUBLE, list_dot_product(x, {sql_list(w)}) + {b})" for w, b in zip(WEIGHTS, (0.1, -0.2, 0.3)))
-SQL_OUT = ", ".join(f"list_dot_product(h, {sql_list([row[j] for row in WEIGHTS])}) + {b}" for j, b in enumerate((0.0, 0.5, -0.5)))
-
-
-SQL_FORWARD = (
-    f"WITH a AS (SELECT vec_id, [{SQL_HIDDEN}] AS h FROM ({SQL_POINTS})), z AS (SELECT vec_id, [{SQL_OUT}] AS z FROM a), "
-    "e AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z), "
-    "f AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS v FROM e) " + sql_long("vec_id", "v", "f")
-)
-
-
-@query("m28_forward_pass", SQL_FORWARD)
-def _(spark, sf):
-    out = mlp.forward(F.col("x"), fixed_network())
-    return long_vector(points(spark, sf).select("vec_id", out.alias("v")), "v", "vec_id")
-
-
-@query("k2_model_save_load", SQL_FORWARD)
-def _(spark, sf):
-    path = scratch_dir(spark, "model")
-    writers.save_model({"weights": fixed_network().table(spark)}, path)
-    again = mlp.network_from_table(writers.load_model(spark, path, "weights")["weights"], "cross_entropy")
-    return long_vector(points(spark, sf).select("vec_id", mlp.forward(F.col("x"), again).alias("v")), "v", "vec_id")
-
-
-@query("k2_trained_model_save_load")
-def _(spark, sf):
-    net = mlp.new_network([64, 16, 10], "cross_entropy", seed=2)
-    net, _ = mlp.train(label_rows(spark, sf), "vec_id", "x", "y", net, mlp.TrainSpec(), workers=2)
-    path = scratch_dir(spark, "model")
-    writers.save_model({"weights": net.table(spark)}, path)
-    again = mlp.network_from_table(writers.load_model(spark, path, "weights")["weights"], "cross_entropy")
-    return mlp.evaluate(label_rows(spark, sf), "x", "y", again)

@@ -19,7 +19,7 @@ def _(spark, sf):
     return profile.row_count(read(spark, sf, "lineitem"))
 
 
-COUNTED = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+COUNTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 SQL_COUNTED = ", ".join(f"count(DISTINCT {c})::BIGINT AS {c}" for c in COUNTED)
 
 
@@ -141,6 +141,23 @@ def _(spark, sf):
     return out.select("l_returnflag", "n", *[rnd(F.col("cov")[i][j], 4).alias(k) for k, (i, j) in cell.items()])
 
 
+@query(
+    "a11_wide_covariances_of_many_groups",
+    "WITH g AS (SELECT vec_id % 120 AS k, x FROM (" + SQL_POINTS + ")), c AS (SELECT k, a, b, covar_samp(x[a], x[b]) AS v "
+    "FROM g, range(1, 65) t(a), range(1, 65) u(b) GROUP BY k, a, b) "
+    f"SELECT k, {sql_rnd('sum(v) FILTER (a = b)')} AS trace, {sql_rnd('sum(abs(v))')} AS total, {sql_rnd('sum(v * a / b)')} AS mixed FROM c GROUP BY k",
+)
+def _(spark, sf):
+    rows = points(spark, sf).select((F.col("vec_id") % 120).alias("k"), "x")
+    cells = groups.group_covariances(rows, "k", "x").select("k", F.posexplode_outer("cov").alias("a", "row")).select(
+        "k", "a", F.posexplode_outer("row").alias("b", "v")
+    )
+    return cells.groupBy("k").agg(
+        rnd(F.sum(F.when(F.col("a") == F.col("b"), F.col("v")))).alias("trace"), rnd(F.sum(F.abs("v"))).alias("total"),
+        rnd(F.sum(F.col("v") * (F.col("a") + 1) / (F.col("b") + 1))).alias("mixed"),
+    )
+
+
 @query(
     "a11_wide_covariances",
     f"SELECT label, (a - 1)::INTEGER AS i, (b - 1)::INTEGER AS j, {sql_rnd('v')} AS value FROM (SELECT label, a, b, "
@@ -229,6 +246,72 @@ def _(spark, sf):
     return order.row_slice(orders, "o_orderkey", n // 4, n - n // 4)
 
 
+# Keys as they come: words of unlike length that share their beginnings, and microseconds.
+SQL_WORD = "('order/' || (o_orderkey % 7) || '/' || o_orderkey)"
+SQL_MOMENT = "make_timestamp(o_orderkey * 1000003)"
+
+
+def keyed_orders(spark, sf):
+    word = F.concat(F.lit("order/"), (F.col("o_orderkey") % 7).cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"))
+    moment = F.timestamp_micros(F.col("o_orderkey") * 1000003)
+    return read(spark, sf, "orders", "o_orderkey").select("o_orderkey", word.alias("word"), moment.alias("moment"))
+
+
+def sql_parts(key: str) -> str:
+    return (
+        "SELECT o_orderkey, (CASE WHEN rn <= round_even(0.7 * n, 0) THEN 'train' ELSE 'test' END) AS part FROM "
+        f"(SELECT o_orderkey, row_number() OVER (ORDER BY {key}) AS rn, count(*) OVER () AS n FROM orders)"
+    )
+
+
+def split_by(spark, sf, key):
+    train, test = order.prefix_split(keyed_orders(spark, sf), key, 0.7)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.select("o_orderkey", "part")
+
+
+@query("w6_prefix_split_by_word", sql_parts(SQL_WORD))
+def _(spark, sf):
+    return split_by(spark, sf, "word")
+
+
+@query("w6_prefix_split_by_timestamp", sql_parts(SQL_MOMENT))
+def _(spark, sf):
+    return split_by(spark, sf, "moment")
+
+
+@query(
+    "w7_row_slice_by_word",
+    f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {SQL_WORD}) AS rn FROM orders) WHERE rn BETWEEN 101 AND 1100",
+)
+def _(spark, sf):
+    return order.row_slice(keyed_orders(spark, sf), "word", 100, 1100).select("o_orderkey")
+
+
+@query(
+    "x9_hold_out_tail_by_timestamp",
+    "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY k) AS rn, count(*) OVER () AS n FROM "
+    "(SELECT event_id, make_timestamp(event_id * 777) AS k FROM events)) WHERE rn > round_even(0.9 * n, 0)",
+)
+def _(spark, sf):
+    events = read(spark, sf, "events", "event_id").withColumn("k", F.timestamp_micros(F.col("event_id") * 777))
+    return order.prefix_split(events, "k", 0.9)[1].select("event_id")
+
+
+SQL_HOLES = "(SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'nan'::DOUBLE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_extendedprice END AS v FROM lineitem)"
+
+
+@query(
+    "a8_percentiles_without_nan",
+    "SELECT prob, value FROM (SELECT unnest([0.1, 0.5, 0.99]::DOUBLE[]) AS prob, unnest(quantile_cont(v, [0.1, 0.5, 0.99])) AS value "
+    f"FROM {SQL_HOLES} WHERE NOT isnan(v))".replace("SELECT prob, value", f"SELECT prob, {sql_rnd('value')} AS value"),
+)
+def _(spark, sf):
+    price = F.when(F.col("l_orderkey") % 5 == 0, F.lit(float("nan"))).when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice"))
+    out = profile.percentile_table(read(spark, sf, "lineitem").select(price.alias("v")), "v", (0.1, 0.5, 0.99), small_rows=0)
+    return out.withColumn("value", rnd("value"))
+
+
 @query("w8_first_rows", "SELECT * FROM (SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 10)")
 def _(spark, sf):
     return order.head(read(spark, sf, "events", "event_id", "event_type"), 10, "event_id")
@@ -298,11 +381,11 @@ def _(spark, sf):
 
 
 def sql_draws(table: str, id_col: str, cols: str, n: int, seed: str) -> str:
-    """The n drawn rows: hash-bucket numbering, then a uniform row number per draw."""
+    """The n drawn rows: rows numbered by hash, then a uniform row number per draw."""
     return (
         f"(SELECT t.t::INTEGER AS t, {id_col}{cols} FROM (SELECT i AS t, floor({sql_uniform(f"'{seed}|' || i")} * "
         f"(SELECT count(*) FROM {table})) AS place FROM range({n}) r(i)) t JOIN (SELECT *, row_number() OVER (ORDER BY "
-        f"('0x' || substr(md5({id_col}::VARCHAR), 1, 4))::INTEGER, {id_col}) - 1 AS place FROM {table}) d ON d.place = t.place)"
+        f"('0x' || substr(md5({id_col}::VARCHAR), 1, 15))::BIGINT, {id_col}) - 1 AS place FROM {table}) d ON d.place = t.place)"
     )
 
 
@@ -311,20 +394,34 @@ def _(spark, sf):
     return sampling.draw_with_replacement(read(spark, sf, "orders"), "o_orderkey", 5000, 11, "o_totalprice")
 
 
-@query("x7_normal_start")
+@query("x6_draws_by_deeper_bits", f"SELECT * FROM {sql_draws('events', 'event_id', ', event_type', 300, '12')}")
 def _(spark, sf):
-    from tablemodels.operators.blocks import vector_width
-    from tablemodels.operators.cluster import KMeansModel
+    events = read(spark, sf, "events", "event_id", "event_type")
+    return sampling.draw_with_replacement(events, "event_id", 300, 12, "event_type", handful=4, first_bits=6)
+
+
+def sql_normal(seed, key: str, place: str) -> str:
+    radius, angle = (sql_uniform(f"'{seed}|{part}|' || {key} || '|' || {place}") for part in "ra")
+    return f"sqrt(-2.0::DOUBLE * ln({radius})) * cos(2.0::DOUBLE * pi() * {angle})"
 
-    start = sampling.normal_start(10, vector_width(points(spark, sf), "x"), seed=5)
-    return KMeansModel(start).centre_table(spark)
 
+@query(
+    "x7_normal_start",
+    f"SELECT vec_id, j::INTEGER AS pos, {sql_rnd('x[j + 1] + 0.1::DOUBLE * ' + sql_normal(5, 'vec_id', 'j'))} AS value FROM ({SQL_POINTS}), range(64) t(j)",
+)
+def _(spark, sf):
+    """Every vector with its own normal draws added to it."""
+    draws = sampling.normal_vector(5, F.col("vec_id"), 64)
+    noisy = points(spark, sf).select("vec_id", F.zip_with("x", draws, lambda v, z: v + 0.1 * z).alias("v"))
+    return long_vector(noisy, "v", "vec_id")
 
-@query("x8_mini_batches", "SELECT count(*)::BIGINT AS n_rows, 64::BIGINT AS largest FROM orders")
+
+@query(
+    "x8_mini_batches",
+    f"SELECT o_orderkey, (row_number() OVER (ORDER BY {sql_uniform("'3|' || o_orderkey")}, o_orderkey) - 1) // 64 AS batch FROM orders",
+)
 def _(spark, sf):
-    rows = sampling.mini_batches(read(spark, sf, "orders", "o_orderkey"), 64)
-    sizes = rows.groupBy("batch").agg(F.count("*").alias("n"))
-    return sizes.agg(F.sum("n").alias("n_rows"), F.max("n").alias("largest"))
+    return sampling.mini_batches(read(spark, sf, "orders", "o_orderkey"), "o_orderkey", 64, 3)
 
 
 @query(
@@ -429,11 +526,11 @@ def _(spark, sf):
 
 @query(
     "f7_fixed_range_rescale",
-    "SELECT doc_id, n_chars / 250.0::DOUBLE AS scaled FROM documents",
+    f"SELECT doc_id, {sql_rnd('n_chars / 250.0::DOUBLE', 9)} AS scaled FROM documents",
 )
 def _(spark, sf):
     x = V.rescale(V.assemble("n_chars"), 0.0, 1.0, 0.0, 250.0)
-    return read(spark, sf, "documents").select("doc_id", F.try_divide(F.round(x[0] * 250.0), F.lit(250.0)).alias("scaled"))
+    return read(spark, sf, "documents").select("doc_id", rnd(x[0], 9).alias("scaled"))
 
 
 SQL_PREPARED = (

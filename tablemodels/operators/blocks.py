@@ -7,6 +7,8 @@ partial rows up.  What is shuffled is (tasks × model size), never the data.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +57,20 @@ def vector_width(df: DataFrame, vector: str) -> int:
     return row[0]
 
 
+# Up to this width a test of all cells is a chain of plain conditions, which stays inside code generation.
+NARROW_CELLS = 16
+
+
 def usable_rows(df: DataFrame, vector: str, width: int, what: str = "vector") -> DataFrame:
     """Rows whose vector is not null and holds no null; one of another length than ``width`` fails the job."""
-    whole = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull())
+    v = F.col(vector)
+    if width <= NARROW_CELLS:
+        whole = reduce(and_, [F.get(v, F.lit(i)).isNotNull() for i in range(width)], F.lit(True))
+    else:
+        whole = F.forall(v, lambda c: c.isNotNull())
     message = F.concat(F.lit(f"expected a {what} of {width} cells, got "), F.size(vector).cast("string"))
-    sized = F.when(F.size(vector) == width, F.col(vector)).otherwise(F.raise_error(message))
-    return df.filter(whole).withColumn(vector, sized)
+    sized = F.when(F.array_size(v) != width, F.raise_error(message).cast("boolean")).otherwise(whole)
+    return df.filter(v.isNotNull() & sized)
 
 
 def collect_vectors(df: DataFrame, vector: str) -> np.ndarray:

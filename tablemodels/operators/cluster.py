@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 
 from tablemodels.operators.blocks import fold, matrix_of, squared_distances, sum_vectors, vector_width
 from tablemodels.operators.sampling import normal_start, uniform_draw, weighted_draw
-from tablemodels.session import check_model_size, small_table
+from tablemodels.session import check_model_size, scratch_dir, small_table
+
+# Rounds of a ++ start after which the running distances are written, so that no lineage grows.
+CUT_ROUNDS = 16
+# Groups of tasks whose closest points are ranked first, per centre.
+RANK_SALT = 32
 
 
 @dataclass
@@ -104,18 +109,36 @@ def plus_plus_start(
 ) -> np.ndarray:
     """K-means++ centres.  The weight is the squared distance squared; ``'d2'`` takes it plain.
 
-    When every point coincides with a centre the first centre fills the rest.
+    Each row keeps its distance to the nearest centre so far, so a round looks
+    at the newest centre only.  When every point coincides with a centre the
+    first centre fills the rest.
     """
     if weight not in ("d4", "d2"):
         raise ValueError("weight is 'd4' or 'd2'")
-    first = uniform_draw(df, id_col, f"{seed}|0", vector).first()
-    centres = [np.array(first[vector], dtype=np.float64)]
-    for i in range(1, k):
-        near = df.withColumn("_d", nearest(F.col(vector), np.array(centres))["dist"])
-        w = F.col("_d") * F.col("_d") if weight == "d4" else F.col("_d")
-        row = weighted_draw(near, id_col, w, f"{seed}|{i}", vector).first()
-        drawn = centres[0] if row is None else np.array(row[vector], dtype=np.float64)
-        centres.append(drawn)
+    rows = df.select(id_col, vector)
+    first = uniform_draw(rows, id_col, f"{seed}|0", vector).first()
+    centres, near = [np.array(first[vector], dtype=np.float64)], rows.withColumn("_d", F.lit(float("inf")))
+    held = []
+    try:
+        for i in range(1, k):
+            newest = nearest(F.col(vector), centres[-1][None])["dist"]
+            near = near.withColumn("_d", F.least("_d", newest))
+            if i % CUT_ROUNDS == 0:
+                path = scratch_dir(df.sparkSession, "start-distances")
+                near.write.parquet(path)
+                near = df.sparkSession.read.schema(near.schema).parquet(path)
+            else:
+                near = near.persist(StorageLevel.MEMORY_AND_DISK)
+            w = F.col("_d") * F.col("_d") if weight == "d4" else F.col("_d")
+            row = weighted_draw(near, id_col, w, f"{seed}|{i}", vector).first()
+            while held:
+                held.pop().unpersist()
+            held = [near]
+            drawn = centres[0] if row is None else np.array(row[vector], dtype=np.float64)
+            centres.append(drawn)
+    finally:
+        for frame in held:
+            frame.unpersist()
     return np.array(centres)
 
 
@@ -206,5 +229,8 @@ def representatives(df: DataFrame, id_col: str, vector: str, centres: np.ndarray
             )
 
     few = df.select(id_col, vector).mapInArrow(per_task, f"cluster int, `{id_col}` {kind}, dist double")
-    order = Window.partitionBy("cluster").orderBy("dist", id_col)
-    return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    few = few.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(RANK_SALT)))
+    for keys in (["cluster", "_salt"], ["cluster"]):  # so that no task sees more than salt × top rows of a centre
+        order = Window.partitionBy(*keys).orderBy("dist", id_col)
+        few = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return few.drop("_salt")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
 from tablemodels.operators.blocks import matrix_of, vector_array
+from tablemodels.operators.order import number_rows
 from tablemodels.session import MAX_LOOKUP_ROWS, collect_bounded
 
 # Vector width up to which scaling is a plain expression.
@@ -48,11 +49,8 @@ def frequency_index_table(df: DataFrame, col: str) -> DataFrame:
 
     Join it on the value to index the column.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    ranked = counts.orderBy(F.desc("n"), F.asc(col)).select(col)
-    numbered = ranked.rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    kind = df.schema[col].dataType.simpleString()
-    return df.sparkSession.createDataFrame(numbered, f"value {kind}, index bigint")
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    return number_rows(counts, "index", F.desc("n"), F.asc("value")).select("value", "index")
 
 
 def one_hot_sparse(df: DataFrame, index: str, output: str, drop_last: bool = True) -> DataFrame:

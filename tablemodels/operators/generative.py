@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import matrix_of, vector_array
+from tablemodels.operators.blocks import matrix_of, vector_array, vector_width
 from tablemodels.operators.groups import group_covariances
-from tablemodels.session import MAX_LOOKUP_ROWS, check_model_size, collect_bounded, small_table
+from tablemodels.session import MAX_LOOKUP_ROWS, MAX_MODEL_CELLS, check_model_size, collect_bounded, small_table
 
 # Class × width² terms up to which the score is a plain column expression.
 EXPRESSION_TERMS = 64
@@ -37,7 +37,9 @@ class GaussianModel:
 
 def gaussian_fit(df: DataFrame, vector: str, label: str, shared: bool = False) -> GaussianModel:
     """Means, covariances and log priors of classes 0..max in one grouped aggregate (two when wide)."""
-    rows = collect_bounded(group_covariances(df, label, vector), MAX_LOOKUP_ROWS, "classes")
+    width = vector_width(df, vector)
+    most = min(MAX_LOOKUP_ROWS, MAX_MODEL_CELLS // (width * width))  # the model travels to every task
+    rows = collect_bounded(group_covariances(df, label, vector, width), most, "class table")
     by_class = {int(r[label]): r for r in rows}
     missing = set(range(max(by_class) + 1)) - set(by_class)
     if missing:

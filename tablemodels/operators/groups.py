@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import (
-    collect_vectors, fold, gram, group_codes, matrix_of, sum_vectors, usable_rows, vector_width,
-)
-from tablemodels.session import MAX_LOOKUP_ROWS, check_model_size, collect_bounded, small_table
+from tablemodels.operators.blocks import collect_vectors, gram, usable_rows, vector_width
+from tablemodels.session import MAX_LOOKUP_ROWS, check_model_size, collect_bounded, scratch_dir, small_table
 
 # Up to this width all pairs of columns are plain aggregates in one pass.
 NARROW = 8
+# Above so many groups rows are brought together by group before their products are taken.
+FEW_GROUPS = 64
+# Rows of a group that go to one task then.
+PART_ROWS = 100_000
 
 
 def group_means(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -51,32 +53,25 @@ def _narrow_covariances(df: DataFrame, key: str, vector: str, width: int) -> Dat
 
 
 def _wide_covariances(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    """Means first, then one pass of centred products."""
-    means = group_means(df, key, vector)
-    rows = collect_bounded(means, MAX_LOOKUP_ROWS, "groups of a wide covariance")
-    check_model_size(len(rows) * width * width, "covariance table")
-    centre = {r[key]: np.array(r["mean"]) for r in rows}
-    code = {k: i for i, k in enumerate(centre)}
-
-    def step(state, labels, x):
-        state = state or {}
-        x = matrix_of(x)
-        distinct, codes = group_codes(labels)
-        for i, value in enumerate(distinct.to_pylist()):
-            diff = x[codes == i] - centre[value]
-            state[code[value]] = state.get(code[value], 0.0) + diff.T @ diff
-        return state
-
-    partials = fold(
-        df.select(key, vector), step,
-        lambda state: ((int(g), p.reshape(-1)) for g, p in state.items()), "g int, prod array<double>",
+    """Means first, then sums of centred products; neither the groups nor the rows of one are bounded.
+
+    With few groups each task adds up products of its own rows.  With many a
+    group has too few rows in a task for that, so rows are brought together by
+    group, large groups in several parts.
+    """
+    path = scratch_dir(df.sparkSession, "group-means")
+    group_means(df, key, vector).withColumnRenamed(key, "_key").write.parquet(path)
+    means = df.sparkSession.read.parquet(path)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    centred = df.join(means, same).select(
+        key, F.zip_with(vector, "mean", lambda v, m: v.cast("double") - m).alias(vector),
+        F.pmod(F.xxhash64(vector), F.ceil(F.col("n") / PART_ROWS)).alias("_part"),
     )
-    key_type = df.schema[key].dataType.simpleString()
-    table = [(r[key], code[r[key]], r["n"], r["mean"]) for r in rows]
-    groups = small_table(df.sparkSession, table, f"`{key}` {key_type}, g int, n bigint, mean array<double>")
-    joined = sum_vectors(partials, ["g"], "prod", salt=32).join(F.broadcast(groups), "g")
-    scaled = V.scale(F.col("prod"), 1.0 / (F.col("n") - 1.0))
-    return joined.select(key, "n", "mean", V.reshape(scaled, width, width).alias("cov"))
+    if means.count() > FEW_GROUPS:
+        centred = centred.repartition(key, "_part").sortWithinPartitions(key)
+    products = gram(centred.drop("_part"), vector, key).drop("n").join(means, same)
+    scaled = V.scale(F.col("gram"), 1.0 / (F.col("n") - 1.0))
+    return products.select(key, "n", "mean", V.reshape(scaled, width, width).alias("cov"))
 
 
 def shared_covariance(covariances: DataFrame) -> DataFrame:

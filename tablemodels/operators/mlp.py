@@ -1,24 +1,32 @@
-"""Small dense networks trained by local mini-batch steps and weight averaging.
+"""Small dense networks trained by synchronous steps on hash-drawn batches.
 
-An epoch is one job: each worker runs mini-batch steps over its own rows from
-the same starting weights, and the row-weighted average of the results starts
-the next epoch.  With one worker this is plain sequential training.
+A step is one job: every task adds up the gradients of its rows of the step's
+batch, the sums meet in a tree of partial sums, and one optimizer step on the
+driver gives the weights that leave with the next job.  Rows are dealt to the
+batches of an epoch by a hash of (seed, id), so the result does not depend on
+partitions, tasks or lost executors; the order of the batches changes with the
+epoch.  Only sums and weights travel.
+
+Rows with a null vector, target or cell take no part; any other length than
+the network's fails.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import matrix_of, sum_vectors, vector_array, vector_width
+from tablemodels.operators.blocks import matrix_of, sum_vectors, usable_rows, vector_array, vector_width
 from tablemodels.session import check_model_size, hash_uniform, small_table
 
 # The usual optimizer constants.
@@ -26,6 +34,13 @@ RMSPROP_DECAY = 0.9
 ADAM_DECAYS = (0.9, 0.999)
 EPSILON = 1e-7
 
+# A job a step: more batches an epoch than this are refused.
+MAX_STEPS = 10_000
+# Above so many tasks the partial gradients are added up in two levels.
+TREE_TASKS = 16
+# Modulus of the hash that draws dropped units; its square fits 63 bits.
+DROP_MODULUS = 2**31 - 1
+
 
 @dataclass
 class Network:
@@ -35,8 +50,40 @@ class Network:
     loss: str
     params: np.ndarray  # all layers flat: kernel row-major, then bias
 
-    def layers(self, params: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        flat, out, at = self.params if params is None else params, [], 0
+    @property
+    def n_in(self) -> list[int]:
+        """Width of each input vector."""
+        return self.widths[:1]
+
+    @property
+    def n_out(self) -> int:
+        return self.widths[-1]
+
+    @property
+    def dropped(self) -> list[int]:
+        """Widths of the layers that dropout works on."""
+        return self.widths[1:-1]
+
+    def with_params(self, params: np.ndarray) -> Network:
+        return replace(self, params=params)
+
+    def penalised(self) -> np.ndarray:
+        """1 at kernel cells, 0 at biases."""
+        sizes = [(a * b, b) for a, b in zip(self.widths, self.widths[1:])]
+        return np.concatenate([part for k, b in sizes for part in (np.ones(k), np.zeros(b))])
+
+    def output(self, inputs: Sequence[np.ndarray]) -> np.ndarray:
+        return _forward(self.layers(), self.loss, inputs[0])[-1]
+
+    def gradient_sums(self, inputs: Sequence[np.ndarray], y: np.ndarray, masks=None) -> tuple[float, int, np.ndarray]:
+        """Summed row losses, right answers and summed gradient, without the penalty."""
+        layers = self.layers()
+        acts = _forward(layers, self.loss, inputs[0], masks)
+        loss, right, delta = _outcome(self.loss, acts[-1], y)
+        return loss, right, _backward(layers, acts, delta, masks)[0]
+
+    def layers(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        flat, out, at = self.params, [], 0
         for n_in, n_out in zip(self.widths, self.widths[1:]):
             kernel = flat[at : at + n_in * n_out].reshape(n_in, n_out)
             at += n_in * n_out
@@ -120,23 +167,83 @@ def _row_losses(loss: str, out: np.ndarray, y: np.ndarray) -> np.ndarray:
     return -(y * np.log(np.clip(out, EPSILON, 1 - EPSILON))).sum(axis=1)
 
 
-def _gradient(net: Network, params: np.ndarray, x, y, l2: float, masks):
-    """Mean loss of a batch, the number of right answers, and the gradient by back-propagation."""
-    layers = net.layers(params)
-    acts = _forward(layers, net.loss, x, masks)
-    out, n = acts[-1], len(x)
-    value = _row_losses(net.loss, out, y).mean() + l2 * sum((k**2).sum() for k, _ in layers)
-    right = (out.argmax(axis=1) == y.argmax(axis=1)).sum() if net.loss == "cross_entropy" else 0
-    delta = 2.0 * (out - y) / (n * y.shape[1]) if net.loss == "mse" else (out - y) / n
+def _outcome(loss: str, out: np.ndarray, y: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """Summed row losses, right answers, and the loss's derivative by the last layer's sums."""
+    value = float(_row_losses(loss, out, y).sum())
+    if loss == "mse":
+        return value, 0, 2.0 * (out - y) / y.shape[1]
+    return value, int((out.argmax(axis=1) == y.argmax(axis=1)).sum()), out - y
+
+
+def _backward(layers, acts, delta: np.ndarray, masks=None) -> tuple[np.ndarray, np.ndarray]:
+    """Summed gradient of all layers, flat, and the derivative by the input."""
     grads = []
     for k in range(len(layers) - 1, -1, -1):
-        kernel, _ = layers[k]
-        grads += [delta.sum(axis=0), (acts[k].T @ delta + 2 * l2 * kernel).reshape(-1)]
+        grads += [delta.sum(axis=0), (acts[k].T @ delta).reshape(-1)]
+        delta = delta @ layers[k][0].T
         if k:
-            delta = delta @ kernel.T * (acts[k] > 0)
+            delta = delta * (acts[k] > 0)
             if masks is not None:
                 delta = delta * masks[k - 1]
-    return value, right, np.concatenate(grads[::-1])
+    return np.concatenate(grads[::-1]), delta
+
+
+@dataclass
+class Branches:
+    """Networks side by side, one input vector each, under a head that reads their outputs; all are trained."""
+
+    parts: list[Network]
+    head: Network
+
+    def __post_init__(self):
+        if self.head.widths[0] != sum(p.n_out for p in self.parts):
+            raise ValueError("the head must be as wide as its branches' outputs together")
+
+    @property
+    def loss(self) -> str:
+        return self.head.loss
+
+    @property
+    def params(self) -> np.ndarray:
+        return np.concatenate([*(p.params for p in self.parts), self.head.params])
+
+    @property
+    def n_in(self) -> list[int]:
+        return [p.widths[0] for p in self.parts]
+
+    @property
+    def n_out(self) -> int:
+        return self.head.n_out
+
+    @property
+    def dropped(self) -> list[int]:
+        return self.head.dropped
+
+    def with_params(self, params: np.ndarray) -> Branches:
+        ends = np.cumsum([n.params.size for n in [*self.parts, self.head]])
+        *parts, head = (n.with_params(params[e - n.params.size : e]) for n, e in zip([*self.parts, self.head], ends))
+        return Branches(parts, head)
+
+    def penalised(self) -> np.ndarray:
+        return np.concatenate([n.penalised() for n in [*self.parts, self.head]])
+
+    def output(self, inputs: Sequence[np.ndarray]) -> np.ndarray:
+        return self.head.output([np.hstack([p.output([x]) for p, x in zip(self.parts, inputs)])])
+
+    def gradient_sums(self, inputs: Sequence[np.ndarray], y: np.ndarray, masks=None) -> tuple[float, int, np.ndarray]:
+        layers = [p.layers() for p in self.parts]
+        acts = [_forward(own, p.loss, x) for own, p, x in zip(layers, self.parts, inputs)]
+        top, out = self.head.layers(), np.hstack([a[-1] for a in acts])
+        top_acts = _forward(top, self.head.loss, out, masks)
+        loss, right, delta = _outcome(self.head.loss, top_acts[-1], y)
+        top_grad, delta = _backward(top, top_acts, delta, masks)
+        grads, at = [], 0
+        for p, own, a in zip(self.parts, layers, acts):
+            d, at = delta[:, at : at + p.n_out], at + p.n_out
+            if p.loss == "cross_entropy":  # through the branch's softmax
+                d = a[-1] * (d - (d * a[-1]).sum(axis=1, keepdims=True))
+            grads.append(_backward(own, a, d)[0])
+        return loss, right, np.concatenate([*grads, top_grad])
 
 
 def _update(optimizer: str, rate: float, params, grad, slots: np.ndarray, step: int) -> np.ndarray:
@@ -153,8 +260,11 @@ def _update(optimizer: str, rate: float, params, grad, slots: np.ndarray, step:
 
 @dataclass
 class TrainSpec:
+    """``steps`` batches an epoch, or as many as make ``batch`` rows each on average."""
+
     epochs: int = 1
-    batch: int = 64
+    steps: int = 8
+    batch: int | None = None
     optimizer: str = "rmsprop"  # or 'adam'
     rate: float = 0.001
     l2: float = 0.0
@@ -164,96 +274,123 @@ class TrainSpec:
     def __post_init__(self):
         if self.optimizer not in ("rmsprop", "adam"):
             raise ValueError("optimizer is 'rmsprop' or 'adam'")
+        if not 0 <= self.dropout < 1:
+            raise ValueError("dropout is a share below 1")
 
+    def steps_for(self, rows: int) -> int:
+        steps = self.steps if self.batch is None else max(1, math.ceil(rows / self.batch))
+        if not 0 < steps <= MAX_STEPS:
+            raise ValueError(f"{steps} steps an epoch, one job each: choose at most {MAX_STEPS}")
+        return steps
 
-def _epoch_job(df: DataFrame, net: Network, spec: TrainSpec, slots: np.ndarray, steps: int, epoch: int) -> DataFrame:
-    """One partial row per worker: weights and slots times rows, rows, loss, right answers, steps."""
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, own, step = net.params.copy(), slots.copy(), steps
-        rng, n, loss, right = None, 0, 0.0, 0
+def batch_of(id_col: Column, seed: int, steps: int) -> Column:
+    """Batch 0..steps-1 of a row."""
+    return F.floor(hash_uniform(f"{seed}|batch", id_col) * steps).cast("int")
 
-        def learn(x, y):
-            nonlocal params, step, n, loss, right
-            masks = None
-            if spec.dropout:
-                keep = 1.0 - spec.dropout
-                masks = [(rng.random((len(x), w)) < keep) / keep for w in net.widths[1:-1]]
-            step += 1
-            value, hits, grad = _gradient(net, params, x, y, spec.l2, masks)
-            params = _update(spec.optimizer, spec.rate, params, grad, own, step)
-            n, loss, right = n + len(x), loss + value * len(x), right + int(hits)
-
-        kept_x = kept_y = None
+
+def batch_order(seed: int, epoch: int, steps: int) -> list[int]:
+    """Order of the batches in an epoch."""
+    return sorted(range(steps), key=lambda s: md5(f"{seed}|{epoch}|{s}".encode()).hexdigest())
+
+
+def drop_key(id_col: Column, seed: int, step: int) -> Column:
+    """28 bits of hash of (seed, step, id), from which a row's dropped units follow."""
+    text = F.concat_ws("|", F.lit(f"{seed}|drop|{step}"), id_col.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint")
+
+
+def drop_masks(keys: np.ndarray, widths: Sequence[int], dropout: float) -> list[np.ndarray]:
+    """Per layer: 1 / keep for kept units, 0 for dropped ones."""
+    keep, out = 1.0 - dropout, []
+    for layer, width in enumerate(widths):
+        unit = (layer + 1) * 40_503 + np.arange(1, width + 1, dtype=np.int64) * 1_327_217 % DROP_MODULUS
+        h = (keys[:, None] + unit) * 48_271 % DROP_MODULUS
+        h = (h * h + 12_345) % DROP_MODULUS * 16_807 % DROP_MODULUS
+        out.append((h < keep * DROP_MODULUS) / keep)
+    return out
+
+
+def _gradient_job(rows: DataFrame, inputs: Sequence[str], target: str, net, dropout: float, key: Column) -> DataFrame:
+    """One row: summed gradient, rows, summed loss and right answers of the given rows."""
+    chosen = rows.select(*inputs, target, *([key.alias("_key")] if dropout else []))
+    width = len(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, right, grad = 0, 0.0, 0, 0.0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = matrix_of(batch.column(0)), matrix_of(batch.column(1))
-            if rng is None:
-                rng = np.random.default_rng([spec.seed, epoch, batch.column(2)[0].as_py()])
-            if kept_x is not None:
-                x, y = np.vstack([kept_x, x]), np.vstack([kept_y, y])
-            full = len(x) // spec.batch * spec.batch
-            for i in range(0, full, spec.batch):
-                learn(x[i : i + spec.batch], y[i : i + spec.batch])
-            kept_x, kept_y = (x[full:], y[full:]) if full < len(x) else (None, None)
-        if kept_x is not None:
-            learn(kept_x, kept_y)
-        if n:
-            state = np.concatenate([params, own.reshape(-1)]) * n
+            x, y = [matrix_of(c) for c in batch.columns[:width]], matrix_of(batch.column(width))
+            masks = None
+            if dropout:
+                masks = drop_masks(batch.column(width + 1).to_numpy(), net.dropped, dropout)
+            value, hits, sums = net.gradient_sums(x, y, masks)
+            n, loss, right, grad = n + len(y), loss + value, right + hits, grad + sums
+        if n or not TaskContext.get().partitionId():  # a batch without rows still has a sum
+            grad = grad if n else np.zeros(net.params.size)
             yield pa.RecordBatch.from_arrays(
-                [vector_array(state[None]), pa.array([n]), pa.array([loss]), pa.array([right]), pa.array([step * n])],
-                names=["state", "n", "loss", "right", "steps"],
+                [vector_array(grad[None]), pa.array([n]), pa.array([loss]), pa.array([right])], names=["grad", "n", "loss", "right"]
             )
 
-    return df.mapInArrow(train, "state array<double>, n bigint, loss double, right bigint, steps bigint")
+    return chosen.mapInArrow(run, "grad array<double>, n bigint, loss double, right bigint")
+
+
+def _tree(partials: DataFrame) -> DataFrame:
+    tasks = partials.sparkSession.sparkContext.defaultParallelism
+    return sum_vectors(partials, [], "grad", ["n", "loss", "right"], math.isqrt(tasks) if tasks > TREE_TASKS else 0)
 
 
 def train(
     df: DataFrame,
     id_col: str,
-    vector: str,
+    vector: str | Sequence[str],
     target: str,
-    net: Network,
+    net: Network | Branches,
     spec: TrainSpec,
-    workers: int | None = None,
     validation: DataFrame | None = None,
     name: str = "model",
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
-) -> tuple[Network, History]:
-    """Train on (vector, target) rows; the result depends on ids, seed and workers only.
+) -> tuple[Network | Branches, History]:
+    """Train on (vector, target) rows; the result depends on the rows, their ids and the seed only.
 
-    ``workers`` is the cluster's parallelism unless given; one worker gives the
-    order of a single trainer, and has to take every row.  Rows go to workers by id and are shuffled anew each epoch by a hash of
-    (seed, epoch, id), inside the worker.
+    ``vector`` names one column, or one per branch.  Rows are kept sorted by
+    batch, so that a step reads little more than its own.  A batch without rows
+    is no step.  History: loss and accuracy of an epoch are taken at the weights
+    each batch met, validation at the epoch's end.
     """
     began = time.monotonic()
-    workers = workers or df.sparkSession.sparkContext.defaultParallelism
-    rows = df.select(id_col, vector, target).repartition(workers, F.col(id_col)).persist(storage)
-    held_out = None if validation is None else validation.select(vector, target).persist(storage)
-    slots = np.zeros((1 if spec.optimizer == "rmsprop" else 2, net.params.size))
-    steps, history = 0, History()
+    inputs = [vector] if isinstance(vector, str) else list(vector)
+    whole = df.filter(F.col(target).isNotNull()).select(id_col, *inputs, target)
+    for column, width in [*zip(inputs, net.n_in), (target, net.n_out)]:
+        whole = usable_rows(whole, column, width, column)
+    steps = spec.steps_for(whole.count() if spec.batch is not None else 0)
+    rows = whole.withColumn("_batch", batch_of(F.col(id_col), spec.seed, steps)).sortWithinPartitions("_batch").persist(storage)
+    held_out = None if validation is None else validation.select(*inputs, target).persist(storage)
+    slots, penalised = np.zeros((1 if spec.optimizer == "rmsprop" else 2, net.params.size)), net.penalised()
+    history, done = History(), 0
     try:
+        if rows.isEmpty():
+            raise ValueError("no rows to train on")
         for epoch in range(1, spec.epochs + 1):
-            order = hash_uniform(f"{spec.seed}|{epoch}", F.col(id_col))
-            shuffled = rows.sortWithinPartitions(order, id_col)
-            mixed = shuffled.select(vector, target, F.spark_partition_id().alias("_worker"))
-            partials = _epoch_job(mixed, net, spec, slots, steps, epoch)
-            total = sum_vectors(partials, [], "state", ["n", "loss", "right", "steps"], salt=32 if workers > 64 else 0)
-            r = total.toArrow()  # one row
-            state = matrix_of(r.column("state").combine_chunks())
-            r = {c: r.column(c)[0].as_py() for c in ("n", "loss", "right", "steps")}
-            if not r["n"]:
-                raise ValueError("no rows to train on")
-            state = state[0] / r["n"]
-            net = Network(net.widths, net.loss, state[: net.params.size])
-            slots = state[net.params.size :].reshape(slots.shape)
-            steps = round(r["steps"] / r["n"])
+            n = loss = right = 0
+            for batch in batch_order(spec.seed, epoch, steps):
+                key = drop_key(F.col(id_col), spec.seed, done + 1)
+                partials = _gradient_job(rows.filter(F.col("_batch") == batch), inputs, target, net, spec.dropout, key)
+                got = _tree(partials).toArrow()  # one row
+                size = got.column("n")[0].as_py()
+                if not size:
+                    continue
+                done += 1
+                params = net.params
+                grad = matrix_of(got.column("grad").combine_chunks())[0] / size + 2 * spec.l2 * penalised * params
+                n, right = n + size, right + got.column("right")[0].as_py()
+                loss += got.column("loss")[0].as_py() + size * spec.l2 * float((penalised * params**2).sum())
+                net = net.with_params(_update(spec.optimizer, spec.rate, params, grad, slots, done))
             val = (None, None)
             if held_out is not None:
-                val = tuple(evaluate(held_out, vector, target, net, spec.l2).first())
-            accuracy = r["right"] / r["n"] if net.loss == "cross_entropy" else None
-            history.rows.append((name, epoch, r["loss"] / r["n"], accuracy, *val))
+                val = tuple(evaluate(held_out, inputs, target, net, spec.l2).first())
+            history.rows.append((name, epoch, loss / n, right / n if net.loss == "cross_entropy" else None, *val))
     finally:
         rows.unpersist()
         if held_out is not None:
@@ -262,22 +399,24 @@ def train(
     return net, history
 
 
-def forward(vector: Column, net: Network) -> Column:
-    """Network output for every row as a vector."""
-    layers, loss, width = net.layers(), net.loss, net.widths[-1]
+def forward(vector: Column | Sequence[Column], net: Network | Branches) -> Column:
+    """Network output for every row as a vector; one input column per branch."""
+    inputs, width = [vector] if isinstance(vector, Column) else list(vector), net.n_out
 
     @F.arrow_udf("array<double>")
-    def score(x: pa.Array) -> pa.Array:
-        x = matrix_of(x)
-        return vector_array(_forward(layers, loss, x)[-1] if len(x) else np.zeros((0, width)))
+    def score(*x: pa.Array) -> pa.Array:
+        return vector_array(net.output([matrix_of(c) for c in x]) if len(x[0]) else np.zeros((0, width)))
 
-    return score(vector)
+    return score(*inputs)
 
 
-def evaluate(df: DataFrame, vector: str, target: str, net: Network, l2: float = 0.0) -> DataFrame:
+def evaluate(
+    df: DataFrame, vector: str | Sequence[str], target: str, net: Network | Branches, l2: float = 0.0
+) -> DataFrame:
     """One row (loss, accuracy); accuracy is null for a regression."""
+    inputs = [vector] if isinstance(vector, str) else list(vector)
     out, y = F.col("_out"), F.col(target)
-    scored = df.select(forward(F.col(vector), net).alias("_out"), target)
+    scored = df.select(forward([F.col(c) for c in inputs], net).alias("_out"), target)
     if net.loss == "mse":
         row_loss = V.squared_distance(out, y) / F.size(y)
         accuracy = F.lit(None).cast("double")
@@ -285,13 +424,13 @@ def evaluate(df: DataFrame, vector: str, target: str, net: Network, l2: float =
         inside = F.transform(out, lambda p: F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), p)))
         row_loss = -V.dot(y, F.transform(inside, F.ln))
         accuracy = F.avg(F.when(V.first_argmax(out) == V.first_argmax(y), 1.0).otherwise(0.0))
-    penalty = l2 * float(sum((k**2).sum() for k, _ in net.layers()))
+    penalty = l2 * float((net.penalised() * net.params**2).sum())
     return scored.agg((F.avg(row_loss) + F.lit(penalty)).alias("loss"), accuracy.alias("accuracy"))
 
 
 def sweep(
     df: DataFrame, id_col: str, vector: str, target: str, loss: str, variants: dict[str, tuple[list[int], TrainSpec]],
-    workers: int | None = None, validation: DataFrame | None = None,
+    validation: DataFrame | None = None,
 ) -> DataFrame:
     """Train one network per variant (hidden widths, spec) on the same rows; one history table for all."""
     both = History()
@@ -300,7 +439,7 @@ def sweep(
         n_in, n_out = vector_width(shared[0], vector), vector_width(shared[0], target)
         for name, (hidden, spec) in variants.items():
             net = new_network([n_in, *hidden, n_out], loss, spec.seed)
-            _, history = train(shared[0], id_col, vector, target, net, spec, workers, shared[1], name)
+            _, history = train(shared[0], id_col, vector, target, net, spec, shared[1], name)
             both.rows += history.rows
     finally:
         for frame in shared:

@@ -1,9 +1,13 @@
-"""Kernel perceptron and its budget form.
+"""Kernel perceptron and its budget form, trained in rounds.
 
-Draws are taken from the whole table.  A block of draws is scored against the
-support set on Spark in one job; inside the block, later draws are corrected for
-the supports that earlier draws added or lost, so the outcome is that of
-handling one draw after the other.
+Draws are taken from the whole table with replacement.  A round scores its draws
+in the tasks against the support set sent along, and only rows that are
+mistakes come back; they join the support together.  A support above the budget
+then loses, one after the other, the elements that are best classified without
+themselves.  With one draw a round this is the plain order of one draw after
+the other; more draws a round mean fewer jobs.
+
+Rows with a null vector, cell, sign or id take no part.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemodels.operators.blocks import matrix_of
+from tablemodels.operators.blocks import matrix_of, usable_rows, vector_width
 from tablemodels.operators.sampling import draw_with_replacement
 from tablemodels.session import check_model_size, small_table
 
@@ -37,7 +41,7 @@ class PerceptronModel:
     signs: np.ndarray
     vectors: np.ndarray
     kernel: KernelMatrix = linear
-    updates: list[tuple[int, int]] = field(default_factory=list)  # (draw, support size after it)
+    updates: list[tuple[int, int]] = field(default_factory=list)  # (round, support size after it)
 
     def table(self, spark: SparkSession, id_type: str = "bigint") -> DataFrame:
         rows = [(i, int(a), x.tolist()) for i, a, x in zip(self.ids, self.signs, self.vectors)]
@@ -102,25 +106,35 @@ def perceptron_fit(
     beta: float = 0.0,
     kernel: KernelMatrix = linear,
     block: int = 512,
+    width: int | None = None,
 ) -> PerceptronModel:
-    """Mistake-driven training on ``draws`` rows drawn with replacement.
+    """Mistake-driven training on ``draws`` rows drawn with replacement, ``block`` of them a round.
 
     Without a budget a draw with y·ŷ <= 0 joins the support.  With a budget the
-    margin is ``beta`` and a support above the budget loses the element that is
-    best classified without itself.
+    margin is ``beta`` and the support is cut back to the budget after each
+    round.  A row that is in the support already, or drawn twice in a round, is
+    there once.
     """
     margin = beta if budget is not None else 0.0
-    drawn = draw_with_replacement(df, id_col, draws, seed, vector, sign).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = df.filter(F.col(id_col).isNotNull() & F.col(sign).isNotNull()).select(id_col, vector, sign)
+    whole = usable_rows(whole, vector, width or vector_width(df, vector))
+    number = F.floor(F.col("t") / block).cast("int")
+    drawn = draw_with_replacement(whole, id_col, draws, seed, vector, sign).withColumn("_round", number)
+    # Sorted by round, so that a round reads little more than its own draws.
+    drawn = drawn.sortWithinPartitions("_round").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         support: dict = {}  # id -> (sign, vector)
         updates: list[tuple[int, int]] = []
-        for start in range(0, draws, block):
+        for r in range(-(-draws // block)):
             model = _model(support, kernel, updates)
-            part = drawn.filter(F.col("t").between(start, start + block - 1))
-            scored = part.withColumn("_score", decision(F.col(vector), model)).orderBy("t")
-            rows = scored.select("t", id_col, vector, sign, "_score").collect()  # one block
-            _resolve(rows, support, updates, kernel, margin, budget)
+            scored = drawn.filter(F.col("_round") == r).withColumn("_score", decision(F.col(vector), model))
+            mistakes = scored.filter(F.col(sign) * F.col("_score") <= margin).select(id_col, vector, sign).dropDuplicates([id_col])
+            for row in mistakes.collect():  # at most one block, and nothing but mistakes
+                support.setdefault(row[id_col], (int(row[sign]), np.array(row[vector], dtype=np.float64)))
+            if budget is not None:
+                _evict(support, kernel, budget)
             check_model_size(sum(len(x) for _, x in support.values()), "support set")
+            updates.append((r, len(support)))
         return _model(support, kernel, updates)
     finally:
         drawn.unpersist()
@@ -133,26 +147,22 @@ def _model(support: dict, kernel: KernelMatrix, updates: list) -> PerceptronMode
     return PerceptronModel(ids, signs, vectors, kernel, list(updates))
 
 
-def _resolve(rows: list, support: dict, updates: list, kernel: KernelMatrix, margin: float, budget: int | None):
-    """Walk one scored block in draw order, correcting scores by what changed since it was scored."""
-    if not rows:
+def _evict(support: dict, kernel: KernelMatrix, budget: int):
+    """Cut the support back to the budget; the kernel matrix is worked out once for all removals."""
+    ids = sorted(support)
+    gone = len(ids) - budget
+    if gone <= 0:
         return
-    x = np.array([np.array(r[2], dtype=np.float64) for r in rows])
-    score = np.array([r[4] for r in rows], dtype=np.float64)
-    for p, (t, row_id, _, y, _) in enumerate(rows):
-        if y * score[p] > margin:
-            continue
-        if row_id not in support:
-            support[row_id] = (int(y), x[p])
-            score += y * kernel(x, x[p : p + 1])[:, 0]
-            if budget is not None and len(support) > budget:
-                ids = sorted(support)
-                signs = np.array([support[i][0] for i in ids], dtype=np.float64)
-                vectors = np.array([support[i][1] for i in ids])
-                gone = _worst(ids, support_scores(ids, signs, vectors, kernel))
-                sign, vector = support.pop(gone)
-                score -= sign * kernel(x, vector[None])[:, 0]
-        updates.append((t, len(support)))
+    signs = np.array([support[i][0] for i in ids], dtype=np.float64)
+    vectors = np.array([support[i][1] for i in ids])
+    k = np.array(kernel(vectors, vectors), dtype=np.float64)
+    np.fill_diagonal(k, 0.0)
+    left = np.arange(len(ids))
+    for _ in range(gone):
+        values = signs[left] * (k[np.ix_(left, left)] @ signs[left])
+        worst = int(np.argmax(values))  # the lowest id on ties
+        del support[ids[left[worst]]]
+        left = np.delete(left, worst)
 
 
 def perceptron_predict(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
-from tablemodels.operators.order import percentiles
+from tablemodels.operators.order import percentiles, percentiles_of
 from tablemodels.session import small_table
 
 
@@ -16,9 +18,19 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Distinct non-null values of every column in one row."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(*[count(F.col(c)).alias(c) for c in cols or df.columns])
+    """Distinct non-null values of every column in one row.
+
+    Exact counts take each column by itself, so that values meet in a shuffle of
+    that column alone; one aggregate would shuffle every row once per column.
+    """
+    cols = list(cols or df.columns)
+    if approx:
+        return df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols])
+    each = [
+        df.select(F.col(c).alias("v")).filter("v IS NOT NULL").distinct().agg(F.count("*").alias("n")).select(F.lit(i).alias("c"), "n")
+        for i, c in enumerate(cols)
+    ]
+    return reduce(DataFrame.unionByName, each).agg(*[F.max(F.when(F.col("c") == i, F.col("n"))).alias(c) for i, c in enumerate(cols)])
 
 
 def group_sizes(df: DataFrame, *keys: str) -> DataFrame:
@@ -65,15 +77,21 @@ def percentile_table(df: DataFrame, col: str, probs: Sequence[float] = (0.25, 0.
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long table (column, stat, value): count, mean, sample std, min, exact quartiles, max."""
+    """Long table (column, stat, value): count, mean, sample std, min, exact quartiles, max; NaN and null left out.
+
+    One pass of aggregates for all columns, then as many counting passes as the deepest column needs.
+    """
     aggs = []
     for c in cols:
-        aggs += [F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)]
+        x = F.when(~F.isnan(c), F.col(c)) if isinstance(df.schema[c].dataType, (FloatType, DoubleType)) else F.col(c)
+        aggs += [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)]
     flat = df.agg(*aggs).first()
+    of = {c: flat[5 * i : 5 * i + 5] for i, c in enumerate(cols)}
+    plain = all(isinstance(df.schema[c].dataType, (IntegralType, FloatType, DoubleType)) for c in cols)
+    quartiles = percentiles_of(df, cols, (0.25, 0.5, 0.75), bounds={c: (v[0], *v[3:]) for c, v in of.items()} if plain else None)
     rows = []
-    for i, c in enumerate(cols):
-        n, mean, std, lo, hi = flat[5 * i : 5 * i + 5]
-        q1, q2, q3 = percentiles(df, c, (0.25, 0.5, 0.75), bounds=(n, lo, hi))
+    for c, (n, mean, std, lo, hi) in of.items():
+        q1, q2, q3 = quartiles[c]
         stats = {"count": n, "mean": mean, "std": std, "min": lo, "25%": q1, "50%": q2, "75%": q3, "max": hi}
         rows += [(c, k, None if v is None else float(v)) for k, v in stats.items()]
     return small_table(df.sparkSession, rows, "column string, stat string, value double")

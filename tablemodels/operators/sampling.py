@@ -11,11 +11,13 @@ from contextlib import contextmanager
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemodels.session import MAX_LOOKUP_ROWS, hash_uniform, small_table
+from tablemodels.operators.order import number_rows
+from tablemodels.session import MAX_LOOKUP_ROWS, hash_uniform, scratch_dir
 
 
 def hash_split(
@@ -50,8 +52,22 @@ def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
         held.unpersist()
 
 
-def normal_start(k: int, width: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((k, width))
+def normal_vector(seed: int | str, id_col: Column, width: int) -> Column:
+    """Standard normal draws as a vector: place j is a function of (seed, id, j) alone."""
+
+    def draw(j: Column) -> Column:
+        radius = F.sqrt(-2.0 * F.ln(hash_uniform(f"{seed}|r", id_col, j)))
+        return radius * F.cos(2.0 * np.pi * hash_uniform(f"{seed}|a", id_col, j))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), draw)
+
+
+def normal_start(k: int, width: int, seed: int | str) -> np.ndarray:
+    """The vectors of :func:`normal_vector` for ids 0..k-1, taken on the driver."""
+    radius, angle = (
+        np.array([_driver_uniforms(f"{seed}|{part}|{c}", width) for c in range(k)]) for part in ("r", "a")
+    )
+    return np.sqrt(-2.0 * np.log(radius)) * np.cos(2.0 * np.pi * angle)
 
 
 def _earliest(df: DataFrame, id_col: str, clock: Column, payload: Sequence[str]) -> DataFrame:
@@ -81,36 +97,81 @@ def weighted_draw(df: DataFrame, id_col: str, weight: Column, seed: int | str, *
     return _earliest(df, id_col, clock, payload)
 
 
-def draw_with_replacement(df: DataFrame, id_col: str, n: int, seed: int | str, *payload: str) -> DataFrame:
+# Draws descend by so many bits of hash at first, then by so many a level, until a bucket holds about a handful of rows.
+FIRST_BITS, LEVEL_BITS, HASH_BITS = 16, 12, 60
+HANDFUL = 16
+
+
+def _hash_bits(id_col: Column) -> Column:
+    return F.conv(F.substring(F.md5(id_col.cast("string")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def _first_places(draws: DataFrame, sizes: np.ndarray) -> DataFrame:
+    """(t, b, place): the bucket of each drawn row number, and the place inside it."""
+    ends = np.cumsum(sizes)
+
+    @F.arrow_udf("struct<b:bigint,place:bigint>")
+    def find(p: pa.Array) -> pa.Array:
+        p = p.to_numpy()
+        b = np.searchsorted(ends, p, side="right")
+        return pa.StructArray.from_arrays([pa.array(b), pa.array(p - (ends - sizes)[b])], names=["b", "place"])
+
+    return draws.withColumn("at", find("p")).select("t", "at.b", "at.place")
+
+
+def _descend(rows: DataFrame, draws: DataFrame, bits: int, deeper: int) -> DataFrame:
+    """Draws with their bucket of ``deeper`` bits: only buckets that were drawn from are counted."""
+    nodes = draws.select("b").distinct()
+    child = F.shiftright("h", HASH_BITS - deeper)
+    held = rows.select(F.shiftright("h", HASH_BITS - bits).alias("b"), child.alias("child")).join(nodes, "b", "left_semi")
+    sizes = held.groupBy("b", "child").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("b").orderBy("child").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place"), "child", F.lit(None).cast("long").alias("t"))
+    both = starts.unionByName(draws.select("b", "place", F.lit(None).cast("bigint").alias("child"), "t"))
+    # A draw belongs to the last child that starts at or before it.
+    near = Window.partitionBy("b").orderBy("place", F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select(
+        "t", "place", F.last("child", ignorenulls=True).over(near).alias("child"),
+        F.last(F.when(F.col("t").isNull(), F.col("place")), ignorenulls=True).over(near).alias("start"),
+    )
+    return found.filter("t IS NOT NULL").select("t", F.col("child").alias("b"), (F.col("place") - F.col("start")).alias("place"))
+
+
+def draw_with_replacement(
+    df: DataFrame, id_col: str, n: int, seed: int | str, *payload: str, handful: int = HANDFUL, first_bits: int = FIRST_BITS
+) -> DataFrame:
     """n uniform draws with replacement as (t, id, payload...), t = 0..n-1.
 
-    Rows are numbered by (hash bucket, id), with 65 536 buckets.  Bucket counts turn each drawn
-    number into a place inside one bucket, and only buckets that were drawn
-    from are ranked.
+    Rows are numbered by (hash of the id, id).  Counts of hash buckets turn each
+    drawn number into a place inside one bucket; buckets that are still large
+    are counted by further bits, and only those that were drawn from.  At the
+    end a bucket holds about a handful of rows, and only these are ranked: their
+    number goes with the draws, not with the table.  Rows without an id are
+    never drawn.
     """
     spark = df.sparkSession
-    if n > MAX_LOOKUP_ROWS:
-        raise ValueError(f"more than {MAX_LOOKUP_ROWS} draws")
-    bucket = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int")
-    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).toArrow().sort_by("b")  # one row per bucket
-    buckets, sizes = counts["b"].to_numpy(), counts["n"].to_numpy()
-    ends = np.cumsum(sizes)
-    if not len(ends):
+    rows = df.filter(F.col(id_col).isNotNull()).select(id_col, *payload, _hash_bits(F.col(id_col)).alias("h"))
+    bucket = F.shiftright("h", HASH_BITS - first_bits)
+    counts = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).toArrow()  # one row per first bucket
+    sizes = np.zeros(1 << first_bits, np.int64)
+    sizes[counts["b"].to_numpy()] = counts["n"].to_numpy()
+    total = int(sizes.sum())
+    if not total:
         raise ValueError("no rows to draw from")
-    numbers = [int(u * int(ends[-1])) for u in _driver_uniforms(seed, n)]
-    slots = np.searchsorted(ends, numbers, side="right")
-    starts = ends - sizes
-    rows = [(t, int(buckets[s]), int(p - starts[s]) + 1) for t, (p, s) in enumerate(zip(numbers, slots))]
-    wanted = F.broadcast(small_table(spark, rows, "t int, b int, place int"))
-
-    inside = df.select(id_col, bucket.alias("b")).join(F.broadcast(wanted.select("b").distinct()), "b")
-    ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(id_col)))
-    found = ranked.join(wanted, ["b", "place"]).select("t", id_col)
-    if not payload:
-        return found
-    # n rows by construction, fetched first so that the ranking is no part of a broadcast
-    drawn = small_table(spark, found.collect(), f"t int, `{id_col}` {df.schema[id_col].dataType.simpleString()}")
-    return df.select(id_col, *payload).join(F.broadcast(drawn), id_col).select("t", id_col, *payload)
+    number = F.floor(hash_uniform(seed, F.col("id")) * F.lit(float(total)))
+    draws = _first_places(spark.range(n).select(F.col("id").alias("t"), number.alias("p")), sizes)
+    bits = first_bits
+    while total / 2**bits > handful and bits < HASH_BITS:
+        deeper = min(bits + LEVEL_BITS, HASH_BITS)
+        path = scratch_dir(spark, "draws")
+        _descend(rows, draws, bits, deeper).write.parquet(path)
+        draws, bits = spark.read.schema("t long, b long, place long").parquet(path), deeper
+    leaf = rows.withColumn("b", F.shiftright("h", HASH_BITS - bits))
+    leaves = draws.select("b").distinct()
+    inside = leaf.join(F.broadcast(leaves) if n <= MAX_LOOKUP_ROWS else leaves, "b", "left_semi")
+    ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("h", id_col)).cast("long") - 1)
+    found = ranked.join(F.broadcast(draws) if n <= MAX_LOOKUP_ROWS else draws, ["b", "place"])
+    return found.select(F.col("t").cast("int" if n < 2**31 else "long").alias("t"), id_col, *payload)
 
 
 def _driver_uniforms(seed: int | str, n: int) -> list[float]:
@@ -119,9 +180,7 @@ def _driver_uniforms(seed: int | str, n: int) -> list[float]:
     return [(b + 0.5) / 2.0**48 for b in bits]
 
 
-def mini_batches(df: DataFrame, size: int, name: str = "batch") -> DataFrame:
-    """Adds a batch number; a batch is ``size`` consecutive rows of one partition, the last one shorter."""
-    numbered = F.monotonically_increasing_id()
-    part = F.shiftright(numbered, 33)
-    row = numbered.bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(name, F.shiftleft(part, 33) + F.floor(row / size))
+def mini_batches(df: DataFrame, id_col: str, size: int, seed: int | str = 0, name: str = "batch") -> DataFrame:
+    """Adds a batch number: rows in an order drawn from (seed, unique id), ``size`` a batch, only the last one shorter."""
+    place = number_rows(df, name, hash_uniform(seed, F.col(id_col)), F.col(id_col))
+    return place.withColumn(name, F.floor(F.col(name) / size))

@@ -7,13 +7,17 @@ from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.session import MAX_LOOKUP_ROWS, collect_bounded
+from tablemodels.sources.files import open_file
 
 # Pixels that a task decodes at once (32 MB as doubles).
 DECODED_CELLS = 4_000_000
+# Bytes of a tensor file that one task reads, and tasks at most.
+RANGE_BYTES = 32_000_000
+MAX_RANGES = 100_000
 
 
 def read_parquet(spark: SparkSession, path: str, *cols: str) -> DataFrame:
@@ -50,36 +54,84 @@ def read_labelled_points(spark: SparkSession, path: str, schema: str, label: str
     )
 
 
+NPY_ROWS = "origin string, idx bigint, height int, width int, pixels array<double>"
+
+
+def _image_batches(origin: str, first: int, tensor: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Images of an n × h × w tensor, a bounded number of cells at a time."""
+    n, h, w = tensor.shape
+    step = max(1, DECODED_CELLS // max(h * w, 1))
+    for at in range(0, n, step):
+        part = np.ascontiguousarray(tensor[at : at + step], dtype=np.float64)
+        m = len(part)
+        offsets = pa.array(np.arange(m + 1, dtype=np.int32) * (h * w))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([origin] * m, pa.string()),
+                pa.array(np.arange(first + at, first + at + m, dtype=np.int64)),
+                pa.array(np.full(m, h, np.int32)),
+                pa.array(np.full(m, w, np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1))),
+            ],
+            names=["origin", "idx", "height", "width", "pixels"],
+        )
+
+
 def decode_npy(df: DataFrame, content: str = "content", origin: str = "path") -> DataFrame:
-    """Binary ``.npy`` shards (N × h × w each) to one row per image: origin, index, height, width, pixels."""
+    """A column of ``.npy`` bytes (N × h × w each) to one row per image: origin, index, height, width, pixels."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tensor = np.load(BytesIO(blob.as_buffer()), allow_pickle=False)
-                n, h, w = tensor.shape
-                flat = pa.array(np.ascontiguousarray(tensor, dtype=np.float64).reshape(-1))
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (h * w))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * n, pa.string()),
-                        pa.array(np.arange(n, dtype=np.int64)),
-                        pa.array(np.full(n, h, np.int32)),
-                        pa.array(np.full(n, w, np.int32)),
-                        pa.ListArray.from_arrays(offsets, flat),
-                    ],
-                    names=["origin", "idx", "height", "width", "pixels"],
-                )
+                yield from _image_batches(name, 0, np.load(BytesIO(blob.as_buffer()), allow_pickle=False))
+
+    return df.select(origin, content).mapInArrow(decode, NPY_ROWS)
 
-    return df.select(origin, content).mapInArrow(
-        decode, "origin string, idx bigint, height int, width int, pixels array<double>"
-    )
 
+def _npy_header(file) -> tuple[tuple, np.dtype, int]:
+    """Shape, cell type and the byte at which the cells start."""
+    version = np.lib.format.read_magic(file)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, kind = read(file)
+    if fortran or len(shape) != 3 or kind.hasobject:
+        raise ValueError(f"expected an N × h × w array of numbers in row order, got {shape} of {kind}")
+    return shape, kind, file.tell()
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of ``.npy`` tensor shards; one file is one task, so large tensors should be sharded."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    return decode_npy(files)
+
+def read_npy(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A folder of ``.npy`` tensors: one row per image, a file of any size spread over tasks by ranges of its bytes.
+
+    Only names and sizes are listed at first; tasks read the headers, then the
+    ranges of whole images that start in their part of the file.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "length")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                with open_file(name) as file:
+                    (n, h, w), kind, _ = _npy_header(file)
+                step = max(1, range_bytes // max(h * w * kind.itemsize, 1))
+                rows += [(name, at, min(step, n - at)) for at in range(0, n, step)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))],
+                names=["path", "first", "n"],
+            )
+
+    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+                with open_file(name) as file:
+                    (_, h, w), kind, start = _npy_header(file)
+                    file.seek(start + first * h * w * kind.itemsize)
+                    cells = np.frombuffer(file.read(n * h * w * kind.itemsize), kind)
+                yield from _image_batches(name, first, cells.reshape(n, h, w))
+
+    size = files.agg(F.sum("length")).first()[0] or 0
+    parts = min(MAX_RANGES, max(spark.sparkContext.defaultParallelism, -(-size // range_bytes)))
+    listed = files.select("path").mapInArrow(ranges, "path string, first bigint, n bigint")
+    return listed.repartition(parts).mapInArrow(images, NPY_ROWS)
 
 
 def image_rows(df: DataFrame) -> DataFrame:
@@ -108,11 +160,19 @@ def image_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def class_of(path: Column) -> Column:
+    """The folder a file lies in, ``<name>`` or ``class=<name>``."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^class=", "")
+
+
 def read_image_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Images under ``class=<name>/`` folders with their class and its index in sorted name order."""
-    images = spark.read.format("image").load(root)
-    rows = image_rows(images)
-    named = rows.withColumn("class", F.regexp_extract("origin", r"class=([^/]+)/", 1))
+    """Images in one folder per class (``1/…`` or ``class=1/…``) with their class and its index in sorted name order.
+
+    Files that are no images are left out; a folder without images is a class all the same.
+    """
+    images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root)
+    plain = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))  # an image's origin is written as a URI
+    named = image_rows(images).withColumn("class", class_of(plain))
     folders = class_file_counts(spark, root).select("class")
     names = sorted(r[0] for r in collect_bounded(folders, MAX_LOOKUP_ROWS, "class folders"))
     index = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)])
@@ -120,10 +180,9 @@ def read_image_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def class_file_counts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Files per ``class=<name>/`` folder; file contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root).select("path")
-    named = files.select(F.regexp_extract("path", r"class=([^/]+)/", 1).alias("class"))
-    return named.groupBy("class").agg(F.count("*").alias("n"))
+    """Files per class folder, ``<name>`` or ``class=<name>``; file contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    return files.select(class_of(F.col("path")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
 def linspace(spark: SparkSession, lo: float, hi: float, n: int, name: str = "x") -> DataFrame:

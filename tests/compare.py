@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL in DuckDB: ``python tests/compare.py [sf_dir] [name prefix ...]``."""
+"""Compare registered queries with their SQL in DuckDB: ``tests/compare.py [sf_dir] [name prefix ...]``."""
 
 from __future__ import annotations
 

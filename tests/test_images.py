@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.images import png_bytes, write_image_folder
 from tablemodels.operators import align, images, style
-from tablemodels.sources import readers, writers
+from tablemodels.sources import files, readers, writers
 
 
 def one(spark, pixels):
@@ -31,6 +31,54 @@ def test_colour_folder_in_sorted_class_order(spark, tmp_path):
     assert {tuple(r) for r in counts.collect()} == {("a", 2), ("b", 2), ("c", 2)}
 
 
+def test_plain_class_folders_below_a_root(spark, tmp_path):
+    for name in ("2", "10", "1 a"):
+        (tmp_path / "train" / name).mkdir(parents=True)
+        for i in range(3):
+            (tmp_path / "train" / name / f"{i}.png").write_bytes(png_bytes(np.full((2, 2), i, np.uint8)))
+    (tmp_path / "train" / "2" / "notes.txt").write_text("no image")
+    rows = readers.read_image_folder(spark, str(tmp_path / "train")).filter("height > 0").collect()
+    names = {r["class"] for r in rows}
+    assert len(rows) == 9 and names == {"2", "10", "1 a"}
+    assert {(r["class"], r["label"]) for r in rows} == {(n, i) for i, n in enumerate(sorted(names))}
+    counts = readers.class_file_counts(spark, str(tmp_path / "train"), "*.png").collect()
+    assert {r["class"]: r["n"] for r in counts} == dict.fromkeys(names, 3)
+
+
+@pytest.mark.parametrize("kind", ["<f8", "<f4", ">i2", "u1"])
+def test_tensor_files_are_read_by_ranges(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(readers, "DECODED_CELLS", 50)
+    rng = np.random.default_rng(1)
+    made = {n: rng.integers(0, 200, (n, 3, 4)).astype(kind) for n in (1, 17, 40)}
+    for n, tensor in made.items():
+        np.save(tmp_path / f"{n}.npy", tensor)
+    np.save(tmp_path / "0.npy", np.zeros((0, 3, 4), kind))
+    images = readers.read_npy(spark, str(tmp_path), range_bytes=12 * made[1].itemsize * 5)
+    rows = images.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 58 and len({r["task"] for r in rows}) > 3
+    for r in rows:
+        n = int(r["origin"].rsplit("/", 1)[1][:-4])
+        assert (r["height"], r["width"]) == (3, 4) and r["pixels"] == made[n][r["idx"]].ravel().tolist()
+    assert len({(r["origin"], r["idx"]) for r in rows}) == 58
+    held = spark.read.format("binaryFile").load(str(tmp_path))
+    assert sorted(readers.decode_npy(held).collect()) == sorted(images.collect())
+
+
+def test_other_tensors_are_refused(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.asfortranarray(np.zeros((2, 3, 4))))
+    with pytest.raises(Exception, match="in row order"):
+        readers.read_npy(spark, str(tmp_path)).collect()
+
+
+def test_names_of_files_in_tasks(tmp_path):
+    files.write_file(f"file:{tmp_path}/a b", "x.bin", b"one")
+    files.write_file(f"{tmp_path}/a b", "x.bin", b"two")
+    for name in (f"file:{tmp_path}/a%20b/x.bin", f"file://{tmp_path}/a%20b/x.bin", f"{tmp_path}/a b/x.bin"):
+        with files.open_file(name) as file:
+            assert file.read() == b"two"
+    assert [p.name for p in (tmp_path / "a b").iterdir()] == ["x.bin"]
+
+
 def test_written_folder_reads_back(spark, tmp_path):
     df = spark.range(12).select(
         F.col("id").alias("vec_id"), (F.col("id") % 2).alias("label"),
@@ -54,8 +102,10 @@ def test_tensor_shards(spark, tmp_path):
 
 def test_pickled_tensors_are_refused(spark, tmp_path):
     np.save(tmp_path / "bad.npy", np.array([{}], dtype=object), allow_pickle=True)
-    with pytest.raises(Exception, match="allow_pickle"):
+    with pytest.raises(Exception, match="array of numbers"):
         readers.read_npy(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="allow_pickle"):
+        readers.decode_npy(spark.read.format("binaryFile").load(str(tmp_path))).collect()
 
 
 def test_matrix_file_has_no_header(spark, tmp_path):

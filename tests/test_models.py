@@ -230,42 +230,57 @@ def test_gram_of_a_hot_key_equals_numpy(points):
 # ---- perceptrons
 
 
-def sequential(ids, x, y, draws, budget=None, beta=0.0, kernel=lambda a, b: a @ b):
-    """One draw after the other, recomputing every score."""
+def in_rounds(ids, x, y, draws, block, budget=None, beta=0.0, kernel=lambda a, b: a @ b):
+    """Mistakes of a round join together, then the support is cut back, recomputing every score."""
     support = {}
-    for t in draws:
-        score = sum(a * kernel(x[i], x[t]) for i, a in support.items())
-        if y[t] * score <= (beta if budget else 0.0):
-            support[t] = y[t]
-            if budget and len(support) > budget:
-                def value(i):
-                    return support[i] * sum(a * kernel(x[j], x[i]) for j, a in support.items() if j != i)
-
-                del support[max(sorted(support), key=value)]
+    for start in range(0, len(draws), block):
+        held = dict(support)
+        for t in draws[start : start + block]:
+            score = sum(a * kernel(x[i], x[t]) for i, a in held.items())
+            if y[t] * score <= (beta if budget else 0.0):
+                support[t] = y[t]
+        while budget and len(support) > budget:
+            def value(i):
+                return support[i] * sum(a * kernel(x[j], x[i]) for j, a in support.items() if j != i)
+
+            del support[max(sorted(support), key=value)]
     return {int(ids[t]): int(a) for t, a in support.items()}
 
 
+def signed_points(points):
+    return points.withColumn("y", F.when(F.col("label") < 5, 1).otherwise(-1))
+
+
 @pytest.mark.parametrize("budget,beta", [(None, 0.0), (6, 0.0), (1, 0.05)])
-def test_blocks_equal_one_by_one_training(points, budget, beta):
+def test_rounds_equal_plain_training(points, budget, beta):
     from tablemodels.operators.sampling import draw_with_replacement
 
-    signed = points.withColumn("y", F.when(F.col("label") < 5, 1).otherwise(-1))
+    signed = signed_points(points)
     ids, x = matrix(signed)
     y = np.array([r[1] for r in sorted(signed.select("vec_id", "y").collect())])
     place = {v: i for i, v in enumerate(ids)}
-    draws = [place[r[1]] for r in sorted(draw_with_replacement(points, "vec_id", 150, 8).collect())]
-    want = sequential(ids, x, y, draws, budget, beta)
-    for block in (7, 64):
-        model = perceptron.perceptron_fit(signed, "vec_id", "x", "y", 150, 8, budget, beta, block=block)
-        assert dict(zip(model.ids, model.signs.tolist())) == want
+    draws = [place[r[1]] for r in sorted(draw_with_replacement(points, "vec_id", 40, 8).collect())]
+    for block in (1, 7, 64):  # one draw a round is the order of a single trainer
+        model = perceptron.perceptron_fit(signed, "vec_id", "x", "y", 40, 8, budget, beta, block=block)
+        assert dict(zip(model.ids, model.signs.tolist())) == in_rounds(ids, x, y, draws, block, budget, beta)
         assert budget is None or len(model.ids) <= budget
+        assert [r for r, _ in model.updates] == list(range(-(-40 // block)))
+
+
+def test_rows_without_values_are_never_drawn(spark, points):
+    signed = signed_points(points)
+    holes = signed.select("vec_id", "x", "y").unionByName(spark.createDataFrame(
+        [(None, [0.0] * 64, 1), (10**6, None, 1), (10**6 + 1, [0.0] * 64, None), (10**6 + 2, [None] + [0.0] * 63, -1)],
+        "vec_id bigint, x array<double>, y int"))
+    one, other = (perceptron.perceptron_fit(d, "vec_id", "x", "y", 60, 3, block=20, width=64) for d in (signed, holes))
+    assert one.ids == other.ids
 
 
 def test_other_kernels_train_and_predict(points):
     def quadratic(a, b):
         return (a @ b.T + 1.0) ** 2
 
-    signed = points.withColumn("y", F.when(F.col("label") < 5, 1).otherwise(-1))
+    signed = signed_points(points)
     model = perceptron.perceptron_fit(signed, "vec_id", "x", "y", 60, 1, kernel=quadratic)
     out = perceptron.perceptron_predict(signed, "x", model, signed=True)
     assert {r[0] for r in out.select("prediction").distinct().collect()} <= {-1, 1}
@@ -280,62 +295,97 @@ def rows_of(points):
     return points.withColumn("y", V.one_hot(F.col("label"), 10))
 
 
-def hash_order(ids, seed, epoch):
+def batches_of(ids, seed, steps):
+    """Batch of each id, recomputed without Spark."""
     from hashlib import md5
 
-    def key(i):
-        return (int(md5(f"{seed}|{epoch}|{i}".encode()).hexdigest()[:12], 16), i)
+    bits = [int(md5(f"{seed}|batch|{i}".encode()).hexdigest()[:12], 16) for i in ids]
+    return np.array([int((b + 0.5) / 2.0**48 * steps) for b in bits])
 
-    return sorted(range(len(ids)), key=lambda p: key(ids[p]))
 
+def two_branches(seed=1, hidden=(5, 4)):
+    parts = [mlp.new_network([3, 4, 2], "cross_entropy", seed), mlp.new_network([2, 3], "mse", seed + 1)]
+    return fusion.branched(parts, 3, hidden, seed + 2)
 
-def test_gradient_equals_finite_differences():
+
+@pytest.mark.parametrize("net", [mlp.new_network([3, 5, 4, 3], "mse", 1), mlp.new_network([3, 5, 4, 3], "cross_entropy", 1), two_branches()])
+@pytest.mark.parametrize("dropout", [0.0, 0.5])
+def test_gradient_equals_finite_differences(net, dropout):
     rng = np.random.default_rng(0)
-    for loss in ("mse", "cross_entropy"):
-        net = mlp.new_network([3, 5, 4, 2], loss, 1)
-        x = rng.normal(size=(6, 3))
-        y = np.eye(2)[rng.integers(0, 2, 6)]
-        _, _, grad = mlp._gradient(net, net.params, x, y, 0.01, None)
-        for k in range(0, net.params.size, 7):
-            step = np.zeros_like(net.params)
-            step[k] = 1e-6
-            up, down = (mlp._gradient(net, net.params + s, x, y, 0.01, None)[0] for s in (step, -step))
-            assert grad[k] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    x = [rng.normal(size=(6, w)) for w in net.n_in]
+    y = np.eye(3)[rng.integers(0, 3, 6)]
+    net = net.with_params(net.params + rng.normal(size=net.params.size) / 10)  # no sum at the kink of a unit
+    masks = mlp.drop_masks(rng.integers(0, 2**28, 6), net.dropped, dropout) if dropout else None
+    _, _, grad = net.gradient_sums(x, y, masks)
+    for k in range(0, net.params.size, 5):
+        step = np.zeros_like(net.params)
+        step[k] = 1e-6
+        up, down = (net.with_params(net.params + s).gradient_sums(x, y, masks)[0] for s in (step, -step))
+        assert grad[k] == pytest.approx((up - down) / 2e-6, abs=1e-4)
 
 
 @pytest.mark.parametrize("optimizer", ["rmsprop", "adam"])
-def test_one_worker_equals_plain_training(points, optimizer):
+@pytest.mark.parametrize("dropout", [0.0, 0.4])
+def test_training_equals_plain_steps(points, optimizer, dropout):
+    from hashlib import md5
+
     rows = rows_of(points)
     ids, x = matrix(rows)
     _, y = matrix(rows, "y")
-    spec = mlp.TrainSpec(epochs=2, batch=64, optimizer=optimizer, l2=0.001, seed=5)
+    spec = mlp.TrainSpec(epochs=2, steps=3, optimizer=optimizer, l2=0.001, dropout=dropout, seed=5)
     start = mlp.new_network([64, 8, 10], "cross_entropy", seed=3)
-    net, history = mlp.train(rows, "vec_id", "x", "y", start, spec, workers=1)
-    params, slots, step = start.params.copy(), np.zeros((2, start.params.size)), 0
+    net, history = mlp.train(rows, "vec_id", "x", "y", start, spec)
+    plain, slots, step, batch = start, np.zeros((2, start.params.size)), 0, batches_of(ids, 5, 3)
+    losses = []
     for epoch in (1, 2):
-        at = hash_order(ids, 5, epoch)
-        for i in range(0, len(at), 64):
-            pick = at[i : i + 64]
-            step += 1
-            _, _, grad = mlp._gradient(start, params, x[pick], y[pick], 0.001, None)
-            params = mlp._update(optimizer, 0.001, params, grad, slots, step)
-    assert np.allclose(net.params, params, atol=1e-9)
+        losses.append(0.0)
+        for b in sorted(range(3), key=lambda s: md5(f"5|{epoch}|{s}".encode()).hexdigest()):
+            pick, step = batch == b, step + 1
+            keys = np.array([int(md5(f"5|drop|{step}|{i}".encode()).hexdigest()[:7], 16) for i in ids[pick]])
+            loss, _, grad = plain.gradient_sums([x[pick]], y[pick], mlp.drop_masks(keys, [8], dropout) if dropout else None)
+            penalty = plain.penalised()
+            losses[-1] += loss + pick.sum() * 0.001 * (penalty * plain.params**2).sum()
+            grad = grad / pick.sum() + 0.002 * penalty * plain.params
+            plain = plain.with_params(mlp._update(optimizer, 0.001, plain.params, grad, slots, step))
+    assert np.allclose(net.params, plain.params, atol=1e-9)
     assert [r[1] for r in history.rows] == [1, 2] and history.seconds > 0
+    assert np.allclose([r[2] for r in history.rows], np.array(losses) / len(ids))
 
 
-def test_training_ignores_input_partitions(points):
-    rows = rows_of(points)
-    spec = mlp.TrainSpec(epochs=1, dropout=0.5, seed=4)
+def test_training_ignores_partitions_and_rows_without_values(spark, points):
+    rows = rows_of(points).select("vec_id", "x", "y")
+    holes = spark.createDataFrame(
+        [(7, None, [0.0] * 10), (8, [0.0] * 64, None), (9, [None] + [0.0] * 63, [0.0] * 10), (10, [0.0] * 64, [None] + [0.0] * 9)],
+        "vec_id bigint, x array<double>, y array<double>")
+    spec = mlp.TrainSpec(epochs=1, steps=2, dropout=0.5, seed=4)
     start = mlp.new_network([64, 8, 10], "cross_entropy", seed=3)
-    nets = [mlp.train(rows.repartition(p), "vec_id", "x", "y", start, spec, workers=3)[0] for p in (1, 5)]
-    assert np.allclose(nets[0].params, nets[1].params, atol=1e-9)
+    nets = [mlp.train(d, "vec_id", "x", "y", start, spec)[0] for d in (rows.repartition(1), rows.repartition(7), rows.unionByName(holes))]
+    assert all(np.allclose(nets[0].params, n.params, atol=1e-9) for n in nets)
     assert not np.allclose(nets[0].params, start.params)
+    with pytest.raises(Exception, match="expected a x of 64 cells"):
+        mlp.train(rows.withColumn("x", F.slice("x", 1, 63)), "vec_id", "x", "y", start, spec)
+
+
+def test_empty_batches_and_empty_tables(points):
+    few = rows_of(points).filter("vec_id < 3")
+    start = mlp.new_network([64, 4, 10], "cross_entropy", seed=3)
+    net, _ = mlp.train(few, "vec_id", "x", "y", start, mlp.TrainSpec(steps=50))
+    assert np.isfinite(net.params).all()
+    with pytest.raises(ValueError, match="no rows"):
+        mlp.train(few.limit(0), "vec_id", "x", "y", start, mlp.TrainSpec(steps=2))
+    with pytest.raises(ValueError, match="at most"):
+        mlp.train(few, "vec_id", "x", "y", start, mlp.TrainSpec(steps=10**6))
+
+
+def test_batch_size_sets_the_steps():
+    assert mlp.TrainSpec(batch=64).steps_for(1000) == 16
+    assert sorted(mlp.batch_order(3, 2, 9)) == list(range(9)) != mlp.batch_order(3, 2, 9)
 
 
 def test_loss_falls_and_weights_survive_saving(spark, points, tmp_path):
     rows = rows_of(points)
-    spec = mlp.TrainSpec(epochs=6, batch=32, optimizer="adam", rate=0.01)
-    net, history = mlp.train(rows, "vec_id", "x", "y", mlp.new_network([64, 16, 10], "cross_entropy", 1), spec, 2, rows)
+    spec = mlp.TrainSpec(epochs=6, batch=128, optimizer="adam", rate=0.01)
+    net, history = mlp.train(rows, "vec_id", "x", "y", mlp.new_network([64, 16, 10], "cross_entropy", 1), spec, rows)
     losses = [r[2] for r in history.rows]
     assert losses[-1] < losses[0] and history.rows[-1][4] < history.rows[0][4]
     writers.save_model({"weights": net.table(spark)}, str(tmp_path / "model"))
@@ -346,17 +396,17 @@ def test_loss_falls_and_weights_survive_saving(spark, points, tmp_path):
 def test_regression_learns_a_line(spark):
     df = spark.range(2000).select("id", F.array((F.col("id") % 100) / 100.0).alias("x"))
     df = df.withColumn("y", F.array(F.col("x")[0] * 2 - 1))
-    spec = mlp.TrainSpec(epochs=8, batch=32, rate=0.01)
-    _, history = mlp.train(df, "id", "x", "y", mlp.new_network([1, 16, 1], "mse", 1), spec, workers=2)
+    spec = mlp.TrainSpec(epochs=8, steps=6, rate=0.02)
+    _, history = mlp.train(df, "id", "x", "y", mlp.new_network([1, 16, 1], "mse", 1), spec)
     assert history.rows[-1][2] < 0.02 < history.rows[0][2] and history.rows[0][3] is None
 
 
 def test_sweep_and_comparison(points):
     rows = rows_of(points)
     train, test = order.prefix_split(rows, "vec_id")
-    spec = mlp.TrainSpec(epochs=2)
+    spec = mlp.TrainSpec(epochs=2, steps=2)
     table = mlp.sweep(
-        train, "vec_id", "x", "y", "cross_entropy", {"small": ([4], spec), "big": ([32], spec)}, validation=test
+        train, "vec_id", "x", "y", "cross_entropy", {"small": ([4], spec), "big": ([512, 512], spec)}, validation=test
     )
     wide = mlp.compare_models(table, "val_loss", ["small", "big"]).orderBy("epoch").collect()
     assert [r["epoch"] for r in wide] == [1, 2] and all(r["small"] > 0 and r["big"] > 0 for r in wide)
@@ -370,10 +420,24 @@ def test_fused_head_sees_both_branches(points):
     _, got = matrix(fused, "fused")
     sides = [matrix(h.withColumn("p", mlp.forward(F.col("h"), n)), "p")[1] for h, n in zip(half, nets)]
     assert np.allclose(got, np.hstack(sides))
-    head, history = fusion.train_head(fused, "vec_id", "y", 10, 20, mlp.TrainSpec(epochs=1))
+    head, history = fusion.train_head(fused, "vec_id", "y", 10, 20, mlp.TrainSpec(epochs=1, steps=2))
     assert head.widths == [20, 64, 64, 64, 10] and len(history.rows) == 1
 
 
+def test_training_reaches_the_branches_below_the_head(points):
+    rows = rows_of(points)
+    half = [rows.select("vec_id", F.slice("x", s, 32).alias("h"), "y") for s in (1, 33)]
+    both = fusion.join_blocks(*half, "vec_id", "h", "left", "right")
+    parts = [mlp.new_network([32, 8, 10], "cross_entropy", s) for s in (1, 2)]
+    start = fusion.branched(parts, 10, (16,), 3)
+    spec = mlp.TrainSpec(epochs=4, steps=3, optimizer="adam", rate=0.01)
+    net, history = mlp.train(both, "vec_id", ["left", "right"], "y", start, spec, both)
+    assert all(not np.allclose(a.params, b.params) for a, b in zip(net.parts, parts))
+    assert history.rows[-1][4] < history.rows[0][4]
+    _, out = matrix(both.withColumn("p", mlp.forward([F.col("left"), F.col("right")], net)), "p")
+    assert np.allclose(out.sum(axis=1), 1)
+
+
 # ---- regions
 
 

@@ -36,9 +36,9 @@ def test_split_by_rank_is_a_pushed_filter(spark, sf):
     assert "LessThanOrEqual(o_orderkey," in plan(train) and "Window" not in plan(train)
 
 
-def test_only_the_vector_goes_to_python(points):
+def test_only_the_vector_leaves_the_jvm(points):
     text = plan(points.select("vec_id", "label", cluster.nearest(F.col("x"), np.zeros((2, 64))).alias("n")))
-    assert "ArrowEvalPython [assign(x" in text
+    assert "ArrowEval" in text and "[assign(x" in text
 
 
 def test_group_aggregates_are_partial_before_the_shuffle(points):
@@ -46,9 +46,41 @@ def test_group_aggregates_are_partial_before_the_shuffle(points):
     assert text.count("ObjectHashAggregate") + text.count("SortAggregate") >= 2 and text.count("Exchange") == 1
 
 
-def test_representatives_rank_few_rows(points):
-    text = plan(cluster.representatives(points, "vec_id", "x", np.zeros((3, 64)), 2))
-    assert "WindowGroupLimit" in text and text.index("WindowGroupLimit") > text.index("Window [")
+def test_representatives_rank_few_rows(points, monkeypatch):
+    monkeypatch.setattr(cluster, "RANK_SALT", 2)
+    centres = np.array([[0.1 * k] * 64 for k in range(3)])
+    ranked = cluster.representatives(points.repartition(9), "vec_id", "x", centres, 2)
+    text = plan(ranked)
+    assert "WindowGroupLimit" in text and text.index("WindowGroupLimit") > text.index("Window [") and "_salt" in text
+    ids, x = matrix(points)
+    for k, c in enumerate(centres):
+        near = np.lexsort((ids, ((x - c) ** 2).sum(axis=1)))[:2]
+        assert [r["vec_id"] for r in sorted(ranked.filter(f"cluster = {k}").collect(), key=lambda r: r["rank"])] == ids[near].tolist()
+
+
+def test_start_looks_at_the_newest_centre_only(points, monkeypatch):
+    seen, real = [], cluster.nearest
+    monkeypatch.setattr(cluster, "nearest", lambda v, c: seen.append(len(c)) or real(v, c))
+    monkeypatch.setattr(cluster, "CUT_ROUNDS", 3)
+    start = cluster.plus_plus_start(points, "vec_id", "x", 8, 4)
+    assert seen == [1] * 7
+    monkeypatch.setattr(cluster, "CUT_ROUNDS", 100)
+    assert np.array_equal(start, cluster.plus_plus_start(points.repartition(3), "vec_id", "x", 8, 4))
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_covariances_of_many_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(groups, "FEW_GROUPS", few)
+    monkeypatch.setattr(groups, "PART_ROWS", 50)
+    x = F.array(*[F.sin(F.col("id") * (j + 1)) * 3 + 1000 for j in range(9)])
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 50 != 1, F.col("id") % 25)  # a third under one key, some under none
+    df = spark.range(1500).select(key.alias("k"), x.alias("x")).repartition(4)
+    rows = df.collect()
+    got = {r["k"]: r for r in groups.group_covariances(df, "k", "x", 9).collect()}
+    assert set(got) == {r["k"] for r in rows} and None in got
+    for k, r in got.items():
+        held = np.array([q["x"] for q in rows if q["k"] == k])
+        assert r["n"] == len(held) and np.allclose(r["mean"], held.mean(0)) and np.allclose(r["cov"], np.cov(held.T))
 
 
 def test_hot_label_gives_whole_results(points):
