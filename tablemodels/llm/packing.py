@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemodels.llm.common import partition_id, saved
-from tablemodels.llm.tokens import encoder, public_path
+from tablemodels.llm.tokens import public_path, rank_encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
 
@@ -176,14 +176,14 @@ def plan_slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
 
 def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """One row per piece with its length, its checksum and its number among the task's pieces of that length."""
-    end = struct.pack("<I", end_id)
 
     def run(batches):
-        words, part, seen = encoder(public_path(tokenizer)), partition_id(), {}
+        encoder, part, seen = rank_encoder(public_path(tokenizer)), partition_id(), {}
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(words.ids_bytes(text.as_py()) + end)
+                ids = [i for slice_ in slices(text.as_py() or "") for i in encoder.ids(slice_)]
+                ids = memoryview(struct.pack(f"<{len(ids) + 1}I", *ids, end_id))
                 n = len(ids) // 4
                 start, stop, piece = 0, (n - 1) % capacity + 1, 0
                 while start < n:
