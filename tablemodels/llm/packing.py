@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tablemodels.llm.common import partition_id, saved
 from tablemodels.llm.tokens import public_path, rank_encoder, slices
 
+# Copies of one length that the choice of a dominating set can tell apart: three beside the longest item.
+LOOKED_AT = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
 
 
@@ -119,8 +121,10 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
             found = _dominating(left, i, capacity)
             if not found:
                 break
-            # One copy at a time keeps the proof for sets of three; sets of one and two hold until one side runs out.
-            fix(found, left.times(found) if len(found) < 3 else 1)
+            # Sets of one and two hold until one side runs out. The proof for a set of three looks at no more than
+            # LOOKED_AT copies of a length, so it stays the same while all three have as many left.
+            spare = min((left.n[s] - LOOKED_AT) // found.count(s) for s in found)
+            fix(found, left.times(found) if len(found) < 3 else max(1, spare))
     return fixed, dict(left.n)
 
 
@@ -218,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) ->
     plan = spark.createDataFrame(slots, "s_length long, first long, last long, sequence long, place long")
     ranked = pieces.join(each.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("k"))
     fits = (F.col("length") == F.col("s_length")) & F.col("rank").between(F.col("first"), F.col("last"))
-    placed = ranked.join(F.broadcast(plan), fits)  # a few rows per length
+    placed = ranked.join(F.broadcast(plan), fits)  # a bounded number of rows per length
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("place").alias("offset"),
