@@ -6,7 +6,9 @@ reference, which no worker can hold, so it is cut by content: the smallest hash
 of the 12-word grams inside a window is the window's anchor, and equal windows
 have equal anchors. Consecutive windows with one anchor form a segment.
 
-1. Every segment gives one small row: place, anchor, hash of its words.
+1. Every segment gives one small row: place, anchor, digest of its words. The
+   digest is cryptographic, so segments with one digest are equal; anchors may
+   collide, which only brings unlike segments together.
 2. Anchors that occur once hold no repeated window. Where all segments of an
    anchor are equal, they are repeated as a whole. Both follow from counts that
    are added up before the shuffle, so a passage in a third of all documents
@@ -23,12 +25,15 @@ shard to every task would read the corpus once per shard.
 
 Words are runs without ASCII white space, taken as they are. A null text has no
 words; documents shorter than a window lose nothing; a null ``doc_id`` is kept;
-repeated rows repeat their windows. An empty table gives no rows. Other columns
-stay as they are, whatever their names.
+repeated rows repeat their windows. Rows with one id are told apart by 128 bits
+of hash of their text, and rows alike in both lose the same words. An empty
+table gives no rows. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +45,8 @@ from tablemodels.llm.common import chunks, per_worker, saved
 GRAM = 12
 CHUNK_BYTES = 1_500_000
 SHARD_WORDS = 100_000
+ROW = ["d", "h", "g"]  # what tells rows apart: id and two hashes of the text
+SEGMENT = ["anchor", "seg", "seg2"]
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -74,26 +81,26 @@ class Hasher:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def word_symbols(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word in the bytes, hash of the word)."""
+def word_symbols(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start and end of each word in the bytes, hash of the word)."""
     space = np.isin(buffer, np.frombuffer(SPACES, np.uint8))
     edge = np.diff(np.r_[True, space, True].astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     table = _mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
-    return start, Hasher(table[buffer]).of(start, end)
+    return start, end, Hasher(table[buffer]).of(start, end)
 
 
 def segments_of(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndarray]:
-    """Segments of several documents: row of the document, first word, windows, anchor, hash of the words."""
+    """Segments of several documents: row of the document, first word, windows, anchor, 128-bit digest of the words."""
     joined = b"\n".join(texts) + b"\n"
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-    start, symbol = word_symbols(np.frombuffer(joined, np.uint8))
+    start, end, symbol = word_symbols(np.frombuffer(joined, np.uint8))
     doc = np.searchsorted(offsets, start, side="right") - 1
     first_word = np.searchsorted(start, offsets[:-1])
     n = len(start) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return {"row": none, "start": none, "n": none, "anchor": none, "seg": none}
+        return {"row": none, "start": none, "n": none, "anchor": none, "seg": none, "seg2": none}
     words = Hasher(symbol)
     at = np.arange(len(start) - gram + 1)
     grams = words.of(at, at + gram)
@@ -108,32 +115,35 @@ def segments_of(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndar
     kept = place[first] >= 0
     first, last = first[kept], last[kept]
     row = doc[first]
+    plain, after = memoryview(b" ".join(joined.split())), np.cumsum(end - start + 1)  # the words one space apart
+    spans = zip((after[first] - (end - start)[first] - 1).tolist(), (after[last + window - 2] - 1).tolist())
+    digests = np.frombuffer(b"".join([blake2b(plain[s:e], digest_size=16).digest() for s, e in spans]), "<i8").reshape(-1, 2)
     return {
         "row": row,
         "start": first - first_word[row],
         "n": last - first,
         "anchor": grams[place[first]].view(np.int64),
-        "seg": words.of(first, last + window - 1).view(np.int64),
+        "seg": digests[:, 0],
+        "seg2": digests[:, 1],
     }
 
 
 def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            for run_ in chunks(rows, lambda r: len(r[2] or ""), CHUNK_BYTES):
-                found = segments_of([(r[2] or "").encode() for r in run_], window, gram)
-                ids = pa.array([r[0] for r in run_], pa.int64()).take(pa.array(found["row"]))
-                sums = pa.array([r[1] for r in run_], pa.int32()).take(pa.array(found["row"]))
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for run_ in chunks(rows, lambda r: len(r[3] or ""), CHUNK_BYTES):
+                found = segments_of([(r[3] or "").encode() for r in run_], window, gram)
+                keys = [pa.array([r[i] for r in run_], pa.int64()).take(pa.array(found["row"])) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids, sums, pa.array(found["start"], pa.int64()), pa.array(found["n"].astype(np.int32)),
-                        pa.array(found["anchor"]), pa.array(found["seg"]),
+                        *keys, pa.array(found["start"], pa.int64()), pa.array(found["n"].astype(np.int32)),
+                        *(pa.array(found[c]) for c in ("anchor", "seg", "seg2")),
                     ],
-                    ["d", "h", "start", "n", "anchor", "seg"],
+                    [*ROW, "start", "n", "anchor", "seg", "seg2"],
                 )
 
-    return docs.mapInArrow(run, "d long, h int, start long, n int, anchor long, seg long")
+    return docs.select(*ROW, "text").mapInArrow(run, "d long, h long, g long, start long, n int, anchor long, seg long, seg2 long")
 
 
 class SuffixAutomaton:
@@ -206,7 +216,7 @@ class SuffixAutomaton:
 
 
 def _repeated_in_shards(reference: DataFrame, window: int) -> DataFrame:
-    """Runs of repeated windows inside each distinct segment: (anchor, seg, places as start * 64 + windows)."""
+    """Runs of repeated windows inside each distinct segment: (anchor, seg, seg2, places as start * 64 + windows)."""
 
     def run(batches):
         held, size, last = [], 0, None
@@ -215,30 +225,29 @@ def _repeated_in_shards(reference: DataFrame, window: int) -> DataFrame:
                 if size >= SHARD_WORDS and row[0] != last:
                     yield shard(held)
                     held, size = [], 0
-                words = row[3].split(" ")
-                held.append((row[0], row[1], row[2], words))
+                words = row[4].split(" ")
+                held.append((row[:3], row[3], words))
                 size, last = size + len(words), row[0]
         if held:
             yield shard(held)
 
     def shard(rows):
         automaton = SuffixAutomaton()
-        for _, _, weight, words in rows:
+        for _, weight, words in rows:
             automaton.add(words, weight)
         automaton.finish()
         out = []
-        for anchor, seg, _, words in rows:
+        for key, _, words in rows:
             places = runs_of(automaton.repeated(words, window))
             if places:
-                out.append((anchor, seg, places))
-        columns = list(zip(*out)) if out else [(), (), ()]
+                out.append((*key, places))
+        columns = list(zip(*out)) if out else [()] * 4
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))],
-            ["anchor", "seg", "places"],
+            [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], [*SEGMENT, "places"]
         )
 
-    dealt = reference.repartition("anchor").sortWithinPartitions("anchor", "seg")
-    return dealt.mapInArrow(run, "anchor long, seg long, places array<long>")
+    dealt = reference.select(*SEGMENT, "weight", "text").repartition("anchor").sortWithinPartitions(*SEGMENT)
+    return dealt.mapInArrow(run, "anchor long, seg long, seg2 long, places array<long>")
 
 
 def runs_of(starts: list[int]) -> list[int]:
@@ -292,7 +301,7 @@ def _cut(window: int):
 
 
 def _texts_of_segments(requests: DataFrame, window: int) -> DataFrame:
-    """(anchor, seg, weight, text) from documents and the segments wanted of each."""
+    """(anchor, seg, seg2, weight, text) from documents and the segments wanted of each."""
 
     def run(batches):
         import zstandard
@@ -304,14 +313,18 @@ def _texts_of_segments(requests: DataFrame, window: int) -> DataFrame:
                 words = open_(data.as_py()).split()
                 for w in wanted.as_py():
                     text = b" ".join(words[w["start"] : w["start"] + w["n"] + window - 1])
-                    out.append((w["anchor"], w["seg"], w["weight"], text.decode()))
-            columns = list(zip(*out)) if out else [()] * 4
+                    out.append((*(w[c] for c in SEGMENT), w["weight"], text.decode()))
+            columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-                ["anchor", "seg", "weight", "text"],
+                [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], [*SEGMENT, "weight", "text"]
             )
 
-    return requests.select("z", "wanted").mapInArrow(run, "anchor long, seg long, weight long, text string")
+    return requests.select("z", "wanted").mapInArrow(run, "anchor long, seg long, seg2 long, weight long, text string")
+
+
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Join condition on ``ROW``; the right side's columns start with an underscore."""
+    return left.d.eqNullSafe(right["_d"]) & (left.h == right["_h"]) & (left.g == right["_g"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
@@ -319,39 +332,42 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataF
     joined by one space, and the text as it was if nothing was removed (else null)."""
     if not 1 <= gram <= window or window - gram + 1 > 63:
         raise ValueError("a gram must be at most as long as the window, and at most 62 words shorter")
-    keyed = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_h": F.hash(F.col("text").cast("string"))})
-    plain = keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    row = {"d": F.col("doc_id").cast("long"), "h": F.xxhash64(text), "g": F.xxhash64(F.lit("second"), text)}
+    plain = docs.select(*[c.alias(n) for n, c in row.items()], text.alias("text"))
     segments = saved(_segments(plain, window, gram), "segments")
-    anchors = segments.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
+    digest = F.struct("seg", "seg2")
+    anchors = segments.groupBy("anchor").agg(F.count("*").alias("c"), F.min(digest).alias("lo"), F.max(digest).alias("hi"))
     # Written, so that both sides of the join come from an exchange and a common anchor can be split.
     anchors = saved(anchors.filter("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchors")
     recurring = saved(segments.join(anchors, "anchor"), "recurring-segments")
 
     mixed = recurring.filter(~F.col("alike"))
-    place = F.struct(F.coalesce("d", F.lit(-1)).alias("o"), "d", "h", "start", "n")
-    distinct = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("weight"), F.min(place).alias("p"))
+    place = F.struct(F.coalesce("d", F.lit(-1)).alias("o"), *ROW, "start", "n")
+    distinct = mixed.groupBy(*SEGMENT).agg(F.count("*").alias("weight"), F.min(place).alias("p"))
     wanted = distinct.select(
-        F.col("p.d").alias("d"), F.col("p.h").alias("h"),
-        F.struct("anchor", "seg", "weight", F.col("p.start").alias("start"), F.col("p.n").alias("n")).alias("w"),
+        *[F.col(f"p.{c}").alias(c) for c in ROW],
+        F.struct(*SEGMENT, "weight", F.col("p.start").alias("start"), F.col("p.n").alias("n")).alias("w"),
     )
-    wanted = wanted.groupBy("d", "h").agg(F.collect_list("w").alias("wanted"))  # segments of one document
-    small = plain.select("d", "h", _squeezed(F.col("text")).alias("z"))
-    requests = small.join(wanted, small.d.eqNullSafe(wanted.d) & (small.h == wanted.h)).select("z", "wanted")
-    reference = _texts_of_segments(requests, window).groupBy("anchor", "seg").agg(
+    wanted = wanted.groupBy(*[F.col(c).alias(f"_{c}") for c in ROW]).agg(F.collect_list("w").alias("wanted"))  # of one document
+    small = plain.select(*ROW, _squeezed(F.col("text")).alias("z"))
+    requests = small.join(wanted, _same_row(small, wanted)).select("z", "wanted")
+    reference = _texts_of_segments(requests, window).groupBy(*SEGMENT).agg(
         F.first("weight").alias("weight"), F.first("text").alias("text")
     )
     inside = saved(_repeated_in_shards(reference, window), "repeated-windows")
 
     shifted = F.transform("places", lambda p: p + F.col("start") * 64)
-    of_mixed = mixed.join(inside, ["anchor", "seg"]).select("d", "h", shifted.alias("places"))
-    of_alike = recurring.filter("alike").select("d", "h", F.array(F.col("start") * 64 + F.col("n")).alias("places"))
-    found = of_mixed.union(of_alike).groupBy("d", "h").agg(F.flatten(F.collect_list("places")).alias("_places"))
-    found = found.select(F.col("d").alias("_fd"), F.col("h").alias("_fh"), "_places")
-
-    carried = keyed.withColumn("_z", _squeezed(F.col("text"))).drop("text")
-    joined = carried.join(found, F.col("_d").eqNullSafe(F.col("_fd")) & (F.col("_h") == F.col("_fh")), "left")
-    out = joined.withColumn("_repeats", _cut(window)("_z", "_places"))
-    return out.drop("_d", "_h", "_z", "_fd", "_fh", "_places")
+    of_mixed = mixed.join(inside, SEGMENT).select(*ROW, shifted.alias("places"))
+    of_alike = recurring.filter("alike").select(*ROW, F.array(F.col("start") * 64 + F.col("n")).alias("places"))
+    # A set, so that the copies of a repeated row do not add up.
+    found = of_mixed.union(of_alike).groupBy(*[F.col(c).alias(f"_{c}") for c in ROW]).agg(F.flatten(F.collect_set("places")).alias("_places"))
+
+    own = {f"_own_{n}": c for n, c in row.items()}
+    carried = docs.withColumns({**own, "_z": _squeezed(F.col("text"))}).drop("text")
+    same = F.col("_own_d").eqNullSafe(F.col("_d")) & (F.col("_own_h") == F.col("_h")) & (F.col("_own_g") == F.col("_g"))
+    out = carried.join(found, same, "left").withColumn("_repeats", _cut(window)("_z", "_places"))
+    return out.drop(*own, "_z", "_d", "_h", "_g", "_places")
 
 
 def kept_sha256(repeats: Column) -> Column:
