@@ -64,7 +64,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     odd_end = np.add.reduceat(word_end & ((kind == 5) | (kind == 6)), starts, dtype=np.int32) / np.maximum(words, 1)
     short = letters / np.maximum(words, 1)
     # Words equal to the word before them in the line.
-    at, symbol = word_symbols(buffer)
+    at, _, symbol = word_symbols(buffer)
     again = np.r_[False, symbol[1:] == symbol[:-1]] if len(at) else np.zeros(0, bool)
     in_line = np.searchsorted(ends, at)
     again &= np.r_[False, in_line[1:] == in_line[:-1]] if len(at) else again
