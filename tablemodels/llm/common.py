@@ -70,7 +70,7 @@ def chunks(rows: list, weight, most: int) -> Iterator[list]:
 
 
 def per_worker(key, make):
-    """A value made once per Python worker. Functions of this package travel by value, so it is kept outside of them."""
+    """A value made once per worker process. Functions of this package travel by value, so it is kept outside of them."""
     held = sys.modules.setdefault("_llm_worker_values", types.ModuleType("_llm_worker_values")).__dict__
     if key not in held:
         held[key] = make()

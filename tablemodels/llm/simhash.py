@@ -38,6 +38,7 @@ from tablemodels.llm.common import saved
 from tablemodels.llm.graph import components
 
 SEED = 42
+LAST_ID = 2**63 - 1  # stands for a null id
 HOT_TRIE = 500_000  # distinct fingerprints with the same first bits before these are cut deeper
 DEEPER = 8
 PAIRS_AT_ONCE = 20_000
@@ -82,15 +83,20 @@ def folded(shingles: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
-    """(doc_id, h, fp): a hash of the text, and the fingerprint as bytes."""
+    """(doc_id, h, g, fp): two hashes of the text, which tell rows with one id apart, and the fingerprint as bytes."""
 
     def run(batches):
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle, words) for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "h", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), shingle, words) for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fps], ["doc_id", "h", "g", "fp"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.hash(text), text).mapInArrow(run, "doc_id long, h int, fp binary")
+    keys = [c.alias(n) for n, c in _text_hashes(text).items()]
+    return docs.select(F.col("doc_id").cast("long"), *keys, text).mapInArrow(run, "doc_id long, h long, g long, fp binary")
+
+
+def _text_hashes(text) -> dict:
+    return {"h": F.xxhash64(text), "g": F.xxhash64(F.lit("second"), text)}
 
 
 def block_tries(bits: int, budget: int) -> list[Trie]:
@@ -289,14 +295,18 @@ def near_components(docs: DataFrame, shingle: int, budget: int, hot_trie: int =
     return each.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int, words: int, tries: list[Trie], budget: int, hot_trie: int = HOT_TRIE) -> DataFrame:
+def keep_one(
+    docs: DataFrame, shingle: int, budget: int, words: int = 1, tries: list[Trie] | None = None, hot_trie: int = HOT_TRIE
+) -> DataFrame:
     """One document of each component of fingerprints of ``words`` times 64 bits: that with the smallest id (ids that are
     null come last), one of repeated rows."""
     each = saved(fingerprints(docs, shingle, words), "fingerprints")
-    id_ = F.coalesce("doc_id", F.lit(2**63 - 1))
-    named = _components(each, F.struct(id_.alias("k"), "h"), words, tries, budget, hot_trie)
-    kept = named.select(F.col("first.k").alias("_kk"), F.col("first.h").alias("_kh")).distinct()
-    keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.hash(F.col("text").cast("string"))})
-    chosen = keyed.join(kept, (F.col("_k") == F.col("_kk")) & (F.col("_h") == F.col("_kh")), "left_semi")
-    one = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(1))))
-    return one.filter("_n = 1").drop("_k", "_h", "_n")
+    id_ = F.coalesce("doc_id", F.lit(LAST_ID))
+    named = _components(each, F.struct(id_.alias("k"), "h", "g"), words, tries or block_tries(64 * words, budget), budget, hot_trie)
+    kept = named.select(*[F.col(f"first.{c}").alias(f"_first_{c}") for c in "khg"]).distinct()
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), **{f"_{n}": c for n, c in _text_hashes(text).items()}})
+    # Repeated rows go first, at most one of a kind from each task; the join then needs no other shuffle of the texts.
+    one = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h", "_g").orderBy(F.lit(1)))).filter("_n = 1")
+    same = [F.col(f"_{c}") == F.col(f"_first_{c}") for c in "khg"]
+    return one.join(kept, same, "left_semi").drop("_k", "_h", "_g", "_n")
