@@ -9,16 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemodels.llm import decontaminate, packing, quality, simhash, similar, substring
+from tablemodels.llm import decontaminate, packing, quality, simhash, substring
 from tablemodels.llm.common import saved
 from tablemodels.llm.queries import END_ID, QUALITY_CUT
 
-NEAR_SHINGLE = 5
-# Shingle sets with a similarity of 0.8 differ in 19 of 128 bits on average, give or take 4; unlike ones in 64. The
-# fingerprints only propose links: texts decide, and a prefix join finds the pairs that the tries miss.
-NEAR_WORDS = 2
-NEAR_BUDGET = 24
-NEAR_TRIES = simhash.drawn_tries(64 * NEAR_WORDS, count=32, width=14)
+NEAR_SHINGLE = 3
+NEAR_BITS = 2
 REPEAT_WINDOW = 35
 CAPACITY = 1024
 
@@ -31,8 +27,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents whose shingle sets have a similarity of 0.8."""
-    return similar.keep_one(docs, NEAR_SHINGLE, NEAR_WORDS, NEAR_TRIES, NEAR_BUDGET)
+    """One document of each group of documents whose fingerprints are tied by few differing bits."""
+    return simhash.keep_one(docs, NEAR_SHINGLE, NEAR_BITS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
