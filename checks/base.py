@@ -87,6 +87,15 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("vec_id", (F.col("label") % 3).alias("label"), F.slice("x", 1, 2).alias("x"))
 
 
+def with_holes(df: DataFrame, vector: str = "x") -> DataFrame:
+    """Every seventh vector null, every eleventh with a null cell in second place."""
+    hole = F.transform(vector, lambda v, i: F.when(i != 1, v))
+    kept = F.when(F.col("vec_id") % 7 == 0, None).when(F.col("vec_id") % 11 == 0, hole).otherwise(F.col(vector))
+    return df.withColumn(vector, kept)
+
+
+SQL_HOLE = "(vec_id % 7 = 0 OR vec_id % 11 = 0)"
+
 SQL_PLANE = (
     "SELECT vec_id, (label % 3)::INTEGER AS label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2 FROM embeddings"
 )

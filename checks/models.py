@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from checks.base import SQL_PLANE, SQL_POINTS, long_vector, plane, points, query, read, rnd, sql_long, sql_rnd, sql_uniform
+from checks.base import SQL_HOLE, SQL_PLANE, SQL_POINTS, long_vector, plane, points, query, read, rnd, sql_long, sql_rnd, sql_uniform, with_holes
 from checks.profiles import sql_draws, sql_normal
 from checks.tables import GRID_SQL, WEIGHTS, sql_list
 from tablemodels.functions import vectors as V
@@ -230,6 +230,16 @@ def _(spark, sf):
     return gaussian_prediction(spark, sf, shared=True)
 
 
+@query(
+    "m9_gaussian_predict_with_nulls",
+    f"SELECT vec_id, CASE WHEN NOT {SQL_HOLE} THEN prediction END AS prediction FROM ({sql_gaussian_predict('g')})",
+)
+def _(spark, sf):
+    df = plane(spark, sf)
+    model = generative.gaussian_fit(df, "x", "label")
+    return generative.gaussian_predict(with_holes(df), "x", model).select("vec_id", "prediction")
+
+
 SQL_FLAGS = (
     "WITH p AS (SELECT (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INTEGER AS label, l_quantity AS x1, "
     "l_extendedprice / 1000 AS x2 FROM lineitem), "
@@ -354,6 +364,16 @@ def _(spark, sf):
     return sm.softmax_predict(df, "x", model).select("vec_id", "prediction")
 
 
+@query(
+    "m11_softmax_predict_with_nulls",
+    f"SELECT vec_id, CASE WHEN NOT {SQL_HOLE} THEN prediction END AS prediction FROM ("
+    + sql_softmax(STEPS) + f" SELECT vec_id, arg_max(c, (z, -c))::INTEGER AS prediction FROM z{STEPS} GROUP BY vec_id)",
+)
+def _(spark, sf):
+    df, model = descend(spark, sf)
+    return sm.softmax_predict(with_holes(df), "x", model).select("vec_id", "prediction")
+
+
 SQL_LOSS = " UNION ALL ".join(
     f"SELECT {i + 1}::INTEGER AS step, {sql_rnd(f'(SELECT -sum(lp) FROM l{i} WHERE c = label) + {LAM} * (SELECT sum(list_dot_product(w, w)) FROM g{i})')} AS loss, "
     f"{sql_rnd(f'(SELECT sqrt(sum(list_dot_product(g, g))) FROM g{i})')} AS gradient_norm"

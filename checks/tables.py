@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from checks.base import SQL_DIRTY_PRICE, SQL_POINTS, dirty_price, long_vector, points, query, read, rnd, sql_long, sql_rnd
+from checks.base import (
+    SQL_DIRTY_PRICE, SQL_HOLE, SQL_POINTS, dirty_price, long_vector, points, query, read, rnd, sql_long, sql_rnd, with_holes,
+)
 from tablemodels.functions import clean
 from tablemodels.functions import vectors as V
 from tablemodels.operators.order import head, percentiles
@@ -403,6 +405,17 @@ def _(spark, sf):
     return out.select("vec_id", rnd(V.dot(F.col("x"), F.col("x"))).alias("own"), *z)
 
 
+@query(
+    "p22_dot_products_with_nulls",
+    f"SELECT vec_id, CASE WHEN NOT {SQL_HOLE} THEN {sql_rnd(f'list_dot_product(x, {sql_list(WEIGHTS[0])})')} END AS wide, "
+    f"CASE WHEN NOT {SQL_HOLE} THEN {sql_rnd(f'list_dot_product(x[1:3], {sql_list(WEIGHTS[0][:3])})')} END AS narrow FROM {SQL_P}",
+)
+def _(spark, sf):
+    holes = with_holes(points(spark, sf))
+    wide, narrow = V.mat_vec(WEIGHTS, F.col("x")), V.mat_vec([WEIGHTS[0][:3]], F.slice("x", 1, 3))
+    return holes.select("vec_id", rnd(F.get(wide, F.lit(0))).alias("wide"), rnd(F.get(narrow, F.lit(0))).alias("narrow"))
+
+
 @query(
     "p23_kernels",
     f"SELECT vec_id, {sql_rnd('list_dot_product(x, r)')} AS linear, {sql_rnd('pow(list_dot_product(x, r) + 1, 2)')} AS quadratic "

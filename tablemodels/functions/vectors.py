@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablemodels.operators.blocks import linear_map
+from tablemodels.operators.blocks import linear_map, when_whole
 
 # Products up to which a constant matrix is written out as an expression.
 EXPRESSION_TERMS = 64
@@ -106,10 +106,14 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def mat_vec(weights: Sequence[Sequence[float]], x: Column) -> Column:
-    """Product of a constant matrix with a vector column: term by term when small, else in Arrow batches."""
+    """Product of a constant matrix with a vector column: term by term when small, else in Arrow batches.
+
+    Null for a vector that is null or holds a null; another length fails.
+    """
     if len(weights) * len(weights[0]) > EXPRESSION_TERMS:
         return linear_map(x, np.array(weights, dtype=np.float64))
-    return F.array(*[sum((x[j] * float(w) for j, w in enumerate(row)), F.lit(0.0)) for row in weights])
+    terms = F.array(*[sum((x[j] * float(w) for j, w in enumerate(row)), F.lit(0.0)) for row in weights])
+    return when_whole(x, len(weights[0]), terms)
 
 
 def linear_kernel(a: Column, b: Column) -> Column:

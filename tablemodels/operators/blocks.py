@@ -65,7 +65,7 @@ def usable_rows(df: DataFrame, vector: str, width: int, what: str = "vector") ->
     """Rows whose vector is not null and holds no null; one of another length than ``width`` fails the job."""
     v = F.col(vector)
     if width <= NARROW_CELLS:
-        whole = reduce(and_, [F.get(v, F.lit(i)).isNotNull() for i in range(width)], F.lit(True))
+        whole = _cells_known(v, width)
     else:
         whole = F.forall(v, lambda c: c.isNotNull())
     message = F.concat(F.lit(f"expected a {what} of {width} cells, got "), F.size(vector).cast("string"))
@@ -79,16 +79,54 @@ def collect_vectors(df: DataFrame, vector: str) -> np.ndarray:
     return matrix_of(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
 
 
-def linear_map(vector: Column, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
-    """W·x (+ bias) for a wide vector, one matrix product per batch."""
+def _cells_known(v: Column, width: int) -> Column:
+    return reduce(and_, [F.get(v, F.lit(i)).isNotNull() for i in range(width)], F.lit(True))
+
+
+def when_whole(vector: Column, width: int, value: Column, what: str = "vector") -> Column:
+    """``value`` where the vector and its cells are not null, else null; another length than ``width`` fails the job."""
+    message = F.concat(F.lit(f"expected a {what} of {width} cells, got "), F.array_size(vector).cast("string"))
+    failed = F.raise_error(message).cast("array<double>")
+    return F.when(F.array_size(vector) != width, failed).when(_cells_known(vector, width), value)
+
+
+def whole_rows(column: pa.Array, width: int, what: str = "vector") -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column without nulls as a matrix, and which rows they are; another length fails."""
+    lengths = column.value_lengths().drop_null().to_numpy()
+    if (lengths != width).any():
+        raise ValueError(f"expected a {what} of {width} cells, got {lengths[lengths != width][0]}")
+    known = column.is_valid().to_numpy(zero_copy_only=False).astype(bool)
+    flat = column.flatten()
+    if flat.null_count:
+        holes = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        known[np.flatnonzero(known)[holes]] = False
+        flat = flat.fill_null(0.0)
+        rows = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)[~holes]
+    else:
+        rows = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+    return rows, known
+
+
+def spread_rows(rows: pa.Array, known: np.ndarray) -> pa.Array:
+    """Results of the known rows in their places, null in the others."""
+    return rows.take(pa.array(np.cumsum(known) - 1, mask=~known))
+
+
+def map_rows(vector: Column, width: int, fn: Callable[[np.ndarray], np.ndarray], what: str = "vector") -> Column:
+    """``fn`` of the rows as a matrix, one batch at a time, by the rules of :func:`when_whole`."""
 
     @F.arrow_udf("array<double>")
-    def product(x: pa.Array) -> pa.Array:
-        x = matrix_of(x)
-        out = x @ weights.T if len(x) else np.zeros((0, len(weights)))
-        return vector_array(out if bias is None else out + bias)
+    def mapped(x: pa.Array) -> pa.Array:
+        rows, known = whole_rows(x, width, what)
+        return spread_rows(vector_array(fn(rows)), known)
 
-    return product(vector)
+    return mapped(vector)
+
+
+def linear_map(vector: Column, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
+    """W·x (+ bias) for a wide vector, one matrix product per batch."""
+    shift = 0.0 if bias is None else bias
+    return map_rows(vector, weights.shape[1], lambda x: x @ weights.T + shift)
 
 
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:

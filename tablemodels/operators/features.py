@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import matrix_of, vector_array
+from tablemodels.operators.blocks import map_rows, when_whole
 from tablemodels.operators.order import number_rows
 from tablemodels.session import MAX_LOOKUP_ROWS, collect_bounded
 
@@ -78,20 +77,12 @@ class Scaler:
     std: np.ndarray  # population; 1 where the column is constant
 
     def apply(self, x: Column) -> Column:
-        """(x − mean) / std: an expression for a narrow vector, Arrow batches for a wide one; null for a null vector."""
+        """(x − mean) / std: an expression for a narrow vector, Arrow batches for a wide one; null for a vector that is or holds null."""
         if len(self.mean) > NARROW:
             mean, std = self.mean, self.std
-
-            @F.arrow_udf("array<double>")
-            def scaled(rows: pa.Array) -> pa.Array:
-                held = matrix_of(rows.drop_null())
-                out = vector_array((held - mean) / std if len(held) else np.zeros((0, len(mean))))
-                known = rows.is_valid().to_numpy(zero_copy_only=False)
-                return out.take(pa.array(np.cumsum(known) - 1, mask=~known))
-
-            return scaled(x)
+            return map_rows(x, len(mean), lambda rows: (rows - mean) / std)
         spread = F.zip_with(x, V.literal_vector(self.mean), lambda v, m: v - m)
-        return F.zip_with(spread, V.literal_vector(self.std), lambda v, s: v / s)
+        return when_whole(x, len(self.mean), F.zip_with(spread, V.literal_vector(self.std), lambda v, s: v / s))
 
 
 def fit_scaler(df: DataFrame, vector: str) -> Scaler:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import matrix_of, vector_array, vector_width
+from tablemodels.operators.blocks import map_rows, vector_width, when_whole
 from tablemodels.operators.groups import group_covariances
 from tablemodels.session import MAX_LOOKUP_ROWS, MAX_MODEL_CELLS, check_model_size, collect_bounded, small_table
 
@@ -55,7 +54,10 @@ def gaussian_fit(df: DataFrame, vector: str, label: str, shared: bool = False) -
 
 
 def gaussian_scores(vector: Column, model: GaussianModel) -> Column:
-    """log N(x; μ_c, Σ_c) + log prior for every class, all in log space."""
+    """log N(x; μ_c, Σ_c) + log prior for every class, all in log space.
+
+    Null for a vector that is null or holds a null; another length fails.
+    """
     check_model_size(model.covariances.size, "Gaussian model")
     c, d = model.means.shape
     root = np.linalg.cholesky(model.covariances)
@@ -71,18 +73,16 @@ def gaussian_scores(vector: Column, model: GaussianModel) -> Column:
                 row = sum((diff[j] * float(whiten[k, i, j]) for j in range(i + 1)), F.lit(0.0))
                 norm = norm + row * row
             scores.append(F.lit(float(constant[k])) - norm * 0.5)
-        return F.array(*scores)
+        return when_whole(vector, d, F.array(*scores))
 
-    @F.arrow_udf("array<double>")
-    def score(x: pa.Array) -> pa.Array:
-        x = matrix_of(x)
+    def score(x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), c))
-        for k in range(c if len(x) else 0):
+        for k in range(c):
             z = (x - model.means[k]) @ whiten[k].T
             out[:, k] = constant[k] - 0.5 * np.einsum("ij,ij->i", z, z)
-        return vector_array(out)
+        return out
 
-    return score(vector)
+    return map_rows(vector, d, score)
 
 
 def gaussian_predict(df: DataFrame, vector: str, model: GaussianModel, output: str = "prediction") -> DataFrame:

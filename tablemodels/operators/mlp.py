@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import matrix_of, sum_vectors, usable_rows, vector_array, vector_width
+from tablemodels.operators.blocks import matrix_of, spread_rows, sum_vectors, usable_rows, vector_array, vector_width, whole_rows
 from tablemodels.session import check_model_size, hash_uniform, small_table
 
 # The usual optimizer constants.
@@ -400,12 +400,17 @@ def train(
 
 
 def forward(vector: Column | Sequence[Column], net: Network | Branches) -> Column:
-    """Network output for every row as a vector; one input column per branch."""
-    inputs, width = [vector] if isinstance(vector, Column) else list(vector), net.n_out
+    """Network output for every row as a vector; one input column per branch.
+
+    Null where an input is null or holds a null; another length fails.
+    """
+    inputs = [vector] if isinstance(vector, Column) else list(vector)
 
     @F.arrow_udf("array<double>")
-    def score(*x: pa.Array) -> pa.Array:
-        return vector_array(net.output([matrix_of(c) for c in x]) if len(x[0]) else np.zeros((0, width)))
+    def score(*columns: pa.Array) -> pa.Array:
+        parts = [whole_rows(c, w) for c, w in zip(columns, net.n_in)]
+        known = np.logical_and.reduce([k for _, k in parts])
+        return spread_rows(vector_array(net.output([x[known[k]] for x, k in parts])), known)
 
     return score(*inputs)
 

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemodels.functions import vectors as V
-from tablemodels.operators.blocks import collect_vectors, fold, linear_map, matrix_of, sum_vectors, usable_rows, vector_width
+from tablemodels.operators.blocks import (
+    collect_vectors, fold, linear_map, matrix_of, sum_vectors, usable_rows, vector_width, when_whole,
+)
 from tablemodels.session import check_model_size, small_table
 
 # Weights up to which a step takes the Hessian (weights squared); beyond it steps come from gradients.
@@ -237,10 +239,11 @@ def _score_terms(x: list[Column], weights: np.ndarray) -> list[Column]:
 
 
 def class_scores(vector: Column, weights: np.ndarray) -> Column:
-    """W·(x, 1) for every class."""
+    """W·(x, 1) for every class; null for a vector that is null or holds a null, another length fails."""
     check_model_size(weights.size, "softmax weights")
     if weights.size <= EXPRESSION_TERMS:
-        return F.array(*_score_terms([vector[j] for j in range(weights.shape[1] - 1)], weights))
+        width = weights.shape[1] - 1
+        return when_whole(vector, width, F.array(*_score_terms([vector[j] for j in range(width)], weights)))
     return linear_map(vector, weights[:, :-1], weights[:, -1])
 
 

@@ -74,3 +74,35 @@ def test_scaling_keeps_null_vectors(spark, width):
     scaler = features.Scaler(np.arange(width, dtype=float), np.full(width, 2.0))
     for r in rows.withColumn("z", scaler.apply(F.col("x"))).collect():
         assert r["z"] is None if r["id"] % 4 == 0 else np.allclose(r["z"], (np.array(r["x"]) - np.arange(width)) / 2)
+
+
+def score_functions(width):
+    """Every operator that maps a vector row by row, on either side of its size switch."""
+    from tablemodels.functions import vectors as V
+    from tablemodels.operators import blocks, generative, mlp
+
+    rng = np.random.default_rng(width)
+    w = rng.normal(size=(3, width))
+    cov = np.repeat(np.eye(width)[None] * 2, 3, axis=0)
+    gauss = generative.GaussianModel(w, cov, np.log(np.full(3, 1 / 3)), np.array([1, 1, 1]))
+    net = mlp.new_network([width, 4, 2], "cross_entropy", 1)
+    return [
+        lambda x: V.mat_vec(w.tolist(), x), lambda x: blocks.linear_map(x, w), lambda x: softmax.class_scores(x, np.hstack([w, w[:, :1]])),
+        lambda x: generative.gaussian_scores(x, gauss), lambda x: mlp.forward(x, net), features.Scaler(w[0], np.abs(w[1]) + 1).apply,
+    ]
+
+
+@pytest.mark.parametrize("which", range(6))
+@pytest.mark.parametrize("width", [3, 40])
+def test_rows_with_nulls_have_no_score_and_others_keep_theirs(spark, which, width):
+    score = score_functions(width)[which]
+    cells = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda j: F.sin(F.col("id") * j))
+    holes = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 7 == 3, F.transform(cells, lambda v, i: F.when(i != width - 1, v))).otherwise(cells)
+    df = spark.range(0, 60, 1, 3).select("id", cells.alias("x"), holes.alias("h"))
+    for r in df.select("id", score(F.col("x")).alias("x"), score(F.col("h")).alias("h")).collect():
+        assert r["x"] is not None and None not in r["x"]
+        assert r["h"] is None if r["id"] % 5 == 0 or r["id"] % 7 == 3 else np.allclose(r["h"], r["x"])
+    assert df.filter("h IS NULL").select(score(F.col("h")).alias("h")).filter("h IS NOT NULL").count() == 0
+    for longer in (F.array_append("x", F.lit(1.0)), F.slice("x", 1, width - 1)):
+        with pytest.raises(Exception, match=f"of {width} cells, got"):
+            df.select(score(longer).alias("s")).collect()
