@@ -83,7 +83,8 @@ class PairAligner:
         self.a = RankEncoder(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_a = [self.a.bytes.get(i, b"") for i in range(max(self.a.bytes) + 1)]
+        spelt = self.a.spelt()
+        self.bytes_a = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if max(len(self.bytes_a), len(self.bytes_b)) > 1 << ID_BITS:
             raise ValueError("vocabularies are too large")

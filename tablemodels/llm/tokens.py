@@ -9,9 +9,11 @@ as it stands.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 from tablemodels.llm.common import per_worker
 
@@ -140,18 +142,28 @@ class RankEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        printed = printed_bytes()
-        spelt = {i: bytes(printed[c] for c in s) for s, i in self.tokenizer.get_vocab().items() if all(c in printed for c in s)}
-        special = self.tokenizer.get_added_tokens_decoder()
-        #: Bytes of every ordinary id.
-        self.bytes = {i: b for i, b in spelt.items() if i not in special}
-        ranks = {b: i for i, b in self.bytes.items()}
+        self.path = path
+        ranks = {b: i for i, b in self.spelt().items()}
         self.merges = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
+    def spelt(self) -> dict[int, bytes]:
+        """Bytes of every ordinary id."""
+        with open(self.path, encoding="utf-8") as file:
+            held = json.load(file)
+        printed, special = printed_bytes(), {t["id"] for t in held.get("added_tokens", ())}
+        vocabulary = held["model"]["vocab"].items()
+        return {i: bytes(printed[c] for c in s) for s, i in vocabulary if i not in special and all(c in printed for c in s)}
+
+    @cached_property
+    def tokenizer(self):
+        """The file's own tokenizer; few texts need it, so few workers hold it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = True
+        return own
+
     def ids(self, text: str) -> list[int]:
         if _LONG_RUN.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
