@@ -19,8 +19,13 @@ REPEAT_WINDOW = 35
 CAPACITY = 1024
 
 
+# Rows of whole texts that a worker process gets at once; five stages share the same workers.
+BATCH_ROWS = 1000
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field does not reject."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
     return docs.filter(quality.quality_score(F.col("text"), model) >= QUALITY_CUT)
