@@ -36,13 +36,14 @@ PLAIN = 4
 ENOUGH = 6
 AGREE = 0.8
 SMALL_BENCHMARK = 500_000  # windows that may be sent to every task
-SLOTS = 1 << 18
+SLOTS_PER_WINDOW, MOST_SLOTS = 16, 1 << 18  # bytes of the bitmap, which is part of the plan
 # ASCII marks, Latin-1 signs, general and CJK punctuation.
 PUNCTUATION = r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2010-\u2027\u2030-\u205e\u3001-\u3003\u3008-\u3011"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 CAPITAL = "\u0004"  # a name in the second form only
 FORMS = (1, 2)
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+BEYOND = r"[\x{e00}-\x{10ffff}]"  # holds all of these scripts
 LETTERS, UNSPACED_LETTERS = 8, 4
 UNITS = (
     "kg|g|mg|t|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|l|ml|liters?|litres?|h|hours?|min|minutes?|s|seconds?|days?|weeks?|"
@@ -58,11 +59,12 @@ def marked(text: Column) -> Column:
     """
     x = F.coalesce(text.cast("string"), F.lit(""))
     x = F.regexp_replace(x, r"[\x00-\x1f]", " ")
-    x = F.when(x.rlike(f"[{UNSPACED}]"), F.regexp_replace(x, rf"([{UNSPACED}]\p{{M}}*)", " $1 ")).otherwise(x)
+    unspaced = x.rlike(BEYOND) & x.rlike(f"[{UNSPACED}]")  # a range is looked for much faster than scripts are
+    x = F.when(unspaced, F.regexp_replace(x, rf"([{UNSPACED}]\p{{M}}*)", " $1 ")).otherwise(x)
     x = F.regexp_replace(x, r" (?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", " " + NAME)
     x = F.regexp_replace(F.concat(F.lit(" "), x), rf" (?=[{PUNCTUATION}]*\p{{Lu}})", " " + CAPITAL)
     numbers = F.regexp_replace(x, r"(?<![\p{L}\p{N}.,:/\x01])(?=\p{Sc}?[0-9])", NUMBER)
-    numbers = F.regexp_replace(numbers, rf"(?<=\x02[^\s\x02]{{1,30}} )(?=(?:{UNITS}|%)(?![\p{{L}}\p{{N}}]))", UNIT)
+    numbers = F.regexp_replace(numbers, rf" (?=(?:{UNITS}|%)(?![\p{{L}}\p{{N}}]))(?<=\x02[^\s\x02]{{1,30}} )", " " + UNIT)
     x = F.when(x.rlike("[0-9]"), numbers).otherwise(x)
     return F.lower(F.regexp_replace(x, f"[{PUNCTUATION}]", ""))
 
@@ -87,35 +89,92 @@ def template_of(marked_text: Column) -> Column:
     return words_of(F.when(marked_text.rlike(r"[\x01-\x03]"), bare).otherwise(marked_text))
 
 
-def _window_hashes(word_hashes: Column, size: int, known: bytes | None, form: int = 1) -> Column:
-    """(form, size, at, hash) of the windows of so many words whose slot in ``known`` is taken; of all without it."""
-    starts = F.when(F.size(word_hashes) >= size, F.sequence(F.lit(1), F.size(word_hashes) - size + 1))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
+def _slot_of(hash_: Column, slots: int) -> Column:
+    return F.pmod(hash_, F.lit(slots)).cast("int")
 
-    def hash_at(i):
-        return F.xxhash64(F.slice(word_hashes, i, F.lit(size)))
 
-    if known is not None:
-        slot = F.lit(known)
-        starts = F.filter(
-            starts, lambda i: F.substring(slot, F.pmod(hash_at(i), F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-        )
-    return F.transform(starts, lambda i: F.struct(
-        F.lit(form).alias("d_form"), F.lit(size).alias("d_size"), i.alias("d_at"), hash_at(i).alias("d_hash")
-    ))
+def _paired(frame: DataFrame, names: list[str]) -> DataFrame:
+    """Columns of word hashes as hashes of the windows of eight words, in three doublings.
+
+    Each doubling is a projection of its own, as its input is read twice.
+    """
+    for step in (1, 2, 4):
+        def doubled(c, step=step):
+            return F.zip_with(c, F.slice(c, F.lit(step + 1), F.greatest(F.size(c), F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+        frame = frame.withColumns({n: doubled(F.col(n)) for n in names})
+    return frame
+
+
+def _window_hash(words: Column, size: int) -> Column:
+    """Hash of a window given as the array of its word hashes, as ``_windows_of`` finds it."""
+    if size != WINDOW:
+        return F.xxhash64(words)
+    hashes = [F.get(words, F.lit(i)) for i in range(size)]
+    while len(hashes) > 1:
+        hashes = [F.xxhash64(x, y) for x, y in zip(hashes[::2], hashes[1::2])]
+    return hashes[0]
+
+
+def _windows_of(hashes: Column, n_words: Column, size: int, known: bytes | None, form: int = 1) -> Column:
+    """(form, size, at, hash) of the windows of so many words whose slot in ``known`` is taken; of all without it.
+
+    ``hashes`` holds the hashes of the windows of eight words, or of the words for windows of other sizes.
+    """
+
+    def found(h, i):
+        row = F.struct(F.lit(form).alias("d_form"), F.lit(size).alias("d_size"), (i + 1).alias("d_at"), h.alias("d_hash"))
+        inside = i <= n_words - size
+        if known is None:
+            return F.when(inside, row)
+        taken = F.substring(F.lit(known), _slot_of(h, len(known)) + 1, F.lit(1)) == F.lit(b"\x01")
+        return F.when(inside & taken, row)
+
+    if size == WINDOW:
+        rows = F.transform(hashes, found)
+    else:
+        rows = F.transform(hashes, lambda _, i: found(F.xxhash64(F.slice(hashes, i + 1, F.lit(size))), i))
+    return F.filter(rows, lambda r: r.isNotNull())
 
 
 def _taken_slots(windows: DataFrame) -> bytes | None:
     """One byte per slot of the windows' hashes, or None if there are too many windows to tell much."""
-    rows = windows.select(F.pmod("hash", F.lit(SLOTS)).alias("slot")).distinct().limit(SMALL_BENCHMARK + 1).collect()
-    if len(rows) > SMALL_BENCHMARK:
+    hashes = windows.select("hash").distinct()
+    n = hashes.limit(MOST_SLOTS // 2 + 1).count()
+    if n > MOST_SLOTS // 2:
         return None
-    taken = bytearray(SLOTS)
-    for r in rows:
+    slots = min(MOST_SLOTS, 1 << max(10, (SLOTS_PER_WINDOW * n).bit_length()))
+    taken = bytearray(slots)
+    for r in hashes.select(F.pmod("hash", F.lit(slots)).alias("slot")).distinct().collect():  # at most MOST_SLOTS / 2
         taken[r["slot"]] = 1
     return bytes(taken)
 
 
+def _numbered(windows: DataFrame, label: str) -> DataFrame:
+    """The table written with a number for every row."""
+    return saved(windows.withColumn("number", F.monotonically_increasing_id()), label)
+
+
+def _sent(windows: DataFrame, *keys: str) -> DataFrame:
+    """Numbers and keys of benchmark windows, a few dozen bytes each, sent to every task while they are few."""
+    small = windows.select("number", *keys)
+    return F.broadcast(small) if windows.limit(SMALL_BENCHMARK + 1).count() <= SMALL_BENCHMARK else small
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(d, h, text): what tells documents apart, an id and 128 bits of the text, and the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("d"), F.md5(text.cast("binary")).alias("h"), text.alias("text"))
+
+
+def _texts_of(keyed: DataFrame, met: DataFrame) -> DataFrame:
+    """(wd, wh, m) of the documents in ``met``: only their texts are marked again."""
+    matched = saved(met.select(F.col("d").alias("md"), F.col("h").alias("mh")).distinct(), "matched-documents")
+    same = F.col("d").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh"))
+    texts = keyed.join(matched, same, "left_semi").dropDuplicates(["d", "h"])
+    return texts.select(F.col("d").alias("wd"), F.col("h").alias("wh"), marked(F.col("text")).alias("m"))
+
+
 def _word_hashes(template: Column) -> Column:
     return F.transform(template, lambda w: F.xxhash64(w))
 
@@ -138,7 +197,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         F.slice("w", F.col("at"), F.col("size")).alias("i_words"),
     )
     cut = cut.filter(F.size("i_template") - F.size(_slots(F.col("i_template"))) >= PLAIN)
-    cut = cut.withColumn("hash", F.xxhash64(_word_hashes(F.col("i_template"))))
+    whole = F.col("size") == WINDOW
+    hashes = _word_hashes(F.col("i_template"))
+    cut = cut.withColumn("hash", F.when(whole, _window_hash(hashes, WINDOW)).otherwise(F.xxhash64(hashes)))
     cut = cut.dropDuplicates(["form", "item", "size", "at", "hash"])
     n = cut.groupBy("form", "item").agg(F.count("*").alias("item_windows"))
     return cut.join(n, cut.item.eqNullSafe(n.item) & (cut.form == n.form)).drop(n.item).drop(n.form)
@@ -153,26 +214,26 @@ def whole_items(benchmark: DataFrame, windows: DataFrame) -> DataFrame:
     text = F.array_join("i_whole", "")
     enough = (F.length(text) >= LETTERS) | (F.length(F.regexp_replace(text, f"[^{UNSPACED}]", "")) >= UNSPACED_LETTERS)
     rows = rows.filter(enough).withColumn("size", F.least(F.size("i_whole"), F.lit(WINDOW)))
-    return rows.withColumn("hash", F.xxhash64(_word_hashes(F.slice("i_whole", F.lit(1), F.col("size")))))
+    hashes = _word_hashes(F.slice("i_whole", F.lit(1), F.col("size")))
+    whole = F.col("size") == WINDOW
+    return rows.withColumn("hash", F.when(whole, _window_hash(hashes, WINDOW)).otherwise(F.xxhash64(hashes)))
 
 
-def _whole_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+def _whole_leaks(keyed: DataFrame, items: DataFrame) -> DataFrame | None:
     """The rows of ``leaks`` for items that stand in a document word by word, None if there are no such items."""
-    items = saved(items, "whole-items")
+    items = _numbered(items, "whole-items")
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # at most eight
     if not sizes:
         return None
     taken = _taken_slots(items)
-    if items.limit(SMALL_BENCHMARK + 1).count() <= SMALL_BENCHMARK:
-        items = F.broadcast(items)
-    hashed = docs.select("d", "h", _word_hashes(bare_words(F.col("m"))).alias("wh"))
-    hashes = F.concat(*[_window_hashes(F.col("wh"), s, taken) for s in sizes])
+    hashed = keyed.select("d", "h", _word_hashes(bare_words(marked(F.col("text")))).alias("wh"))
+    hashed = _paired(hashed.withColumns({"w8": F.col("wh"), "words": F.size("wh")}), ["w8"])
+    hashes = F.concat(*[_windows_of(F.col("w8" if s == WINDOW else "wh"), F.col("words"), s, taken) for s in sizes])
     each = hashed.select("d", "h", F.explode_outer(hashes).alias("x")).select("d", "h", "x.*")
-    met = each.join(items, (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
-    met = saved(met.select("d", "h", "item", "i_whole", "d_at"), "whole-matches")
-    matched = met.select(F.col("d").alias("md"), F.col("h").alias("mh")).distinct()
-    words = docs.join(matched, F.col("d").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh")), "left_semi").dropDuplicates(["d", "h"])
-    words = words.select(F.col("d").alias("wd"), F.col("h").alias("wh"), bare_words(F.col("m")).alias("w"))
+    met = each.join(_sent(items, "hash", "size"), (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
+    met = saved(met.select("d", "h", "number", "d_at"), "whole-matches")
+    met = met.join(items.select("number", "item", "i_whole"), "number")
+    words = _texts_of(keyed, met).select("wd", "wh", bare_words(F.col("m")).alias("w"))
     met = met.join(words, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh")))
     met = met.filter(F.slice("w", F.col("d_at"), F.size("i_whole")) == F.col("i_whole"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -184,30 +245,28 @@ def _whole_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated (doc_id, item_id) pairs with their evidence, and ``_text_hash`` of the document."""
-    windows = saved(benchmark_windows(benchmark), "benchmark-windows")
+    windows = _numbered(benchmark_windows(benchmark), "benchmark-windows")
     whole = whole_items(benchmark, windows)
     kinds = [tuple(r) for r in windows.select("form", "size").distinct().orderBy("form", "size").collect()]  # few
     taken = _taken_slots(windows)
-    if windows.limit(SMALL_BENCHMARK + 1).count() <= SMALL_BENCHMARK:
-        windows = F.broadcast(windows)
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("d"), F.hash(F.col("text").cast("string")).alias("h"),
-        marked(F.col("text")).alias("m"),
-    )
+    keyed = _keyed(docs)
     kinds = kinds or [(1, WINDOW)]
-    hashed = keyed.select("d", "h", *[in_form(F.col("m"), f).alias(f"m{f}") for f in FORMS])
+    hashed = keyed.select("d", "h", marked(F.col("text")).alias("m"))
+    hashed = hashed.select("d", "h", *[in_form(F.col("m"), f).alias(f"m{f}") for f in FORMS])
     hashed = hashed.select("d", "h", *[_word_hashes(template_of(F.col(f"m{f}"))).alias(f"wh{f}") for f in FORMS])
-    hashes = F.concat(*[_window_hashes(F.col(f"wh{f}"), s, taken, f) for f, s in kinds])
+    hashed = hashed.select("*", *[F.col(f"wh{f}").alias(f"w8_{f}") for f in FORMS], *[F.size(f"wh{f}").alias(f"words{f}") for f in FORMS])
+    hashed = _paired(hashed, [f"w8_{f}" for f in FORMS])
+    hashes = F.concat(
+        *[_windows_of(F.col(f"w8_{f}" if s == WINDOW else f"wh{f}"), F.col(f"words{f}"), s, taken, f) for f, s in kinds]
+    )
     # The outer form: for the plain one the windows are worked out a second time, to drop empty arrays first.
     each = hashed.select("d", "h", F.explode_outer(hashes).alias("x")).select("d", "h", "x.*")
     same = (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")) & (F.col("d_form") == F.col("form"))
-    met = each.join(windows, same)
-    met = saved(met.select("d", "h", "form", "item", "at", "item_windows", "size", "d_at", "i_template", "i_words"), "window-matches")
+    met = each.join(_sent(windows, "hash", "size", "form"), same)
+    met = saved(met.select("d", "h", "number", "d_at"), "window-matches")
+    met = met.join(windows.drop("hash"), "number")
     # Only the documents with a match are read again, for the words themselves.
-    matched = met.select(F.col("d").alias("md"), F.col("h").alias("mh")).distinct()
-    same = F.col("d").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh"))
-    words = keyed.join(matched, same, "left_semi").dropDuplicates(["d", "h"])
-    words = words.select(F.col("d").alias("wd"), F.col("h").alias("wh"), words_of(F.col("m")).alias("w"))
+    words = _texts_of(keyed, met).select("wd", "wh", words_of(F.col("m")).alias("w"))
     met = met.join(words, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh"))).select(
         "d", "h", "form", "item", "at", "item_windows", "i_template", "i_words", (F.col("d_at") - F.col("at")).alias("place"),
         F.array_join(F.slice("w", F.col("d_at"), F.col("size")), " ").alias("cut"),
@@ -260,6 +319,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").cast("long").alias("_bad_id"), F.col("_text_hash").alias("_bad_hash"))
     bad = saved(bad.distinct(), "leaking-documents")
-    keyed = docs.withColumns({"_k": F.col("doc_id").cast("long"), "_kh": F.hash(F.col("text").cast("string"))})
+    text = F.col("text").cast("string").cast("binary")
+    keyed = docs.withColumns({"_k": F.col("doc_id").cast("long"), "_kh": F.md5(text)})
     same = F.col("_k").eqNullSafe(F.col("_bad_id")) & (F.col("_kh") == F.col("_bad_hash"))
     return keyed.join(bad, same, "left_anti").drop("_k", "_kh")
