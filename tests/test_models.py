@@ -267,6 +267,37 @@ def test_rounds_equal_plain_training(points, budget, beta):
         assert [r for r, _ in model.updates] == list(range(-(-40 // block)))
 
 
+@pytest.mark.parametrize("budget,beta", [(None, 0.0), (6, 0.0), (1, 0.05)])
+def test_in_order_equals_one_draw_after_the_other(points, budget, beta):
+    from tablemodels.operators.sampling import draw_with_replacement
+
+    signed = signed_points(points)
+    ids, x = matrix(signed)
+    y = np.array([r[1] for r in sorted(signed.select("vec_id", "y").collect())])
+    place = {v: i for i, v in enumerate(ids)}
+    draws = [place[r[1]] for r in sorted(draw_with_replacement(points, "vec_id", 40, 8).collect())]
+    want = in_rounds(ids, x, y, draws, 1, budget, beta)
+    assert want != in_rounds(ids, x, y, draws, 64, budget, beta)
+    for block in (7, 64):
+        model = perceptron.perceptron_fit(signed, "vec_id", "x", "y", 40, 8, budget, beta, block=block, in_order=True)
+        assert dict(zip(model.ids, model.signs.tolist())) == want
+
+
+@pytest.mark.parametrize("name,budget", [("m15_kernel_perceptron", None), ("m16_budget_perceptron", 5)])
+def test_queries_take_every_draw_against_the_support_before_it(spark, sf, points, name, budget):
+    from tablemodels.operators.sampling import draw_with_replacement
+
+    import __spark_entry__ as entry
+
+    signed = signed_points(points)
+    ids, x = matrix(signed)
+    y = np.array([r[1] for r in sorted(signed.select("vec_id", "y").collect())])
+    place = {v: i for i, v in enumerate(ids)}
+    draws = [place[r[1]] for r in sorted(draw_with_replacement(points, "vec_id", 60, 21).collect())]
+    found = {r["id"] for r in entry.queries()[name](spark, sf).collect()}
+    assert found == set(in_rounds(ids, x, y, draws, 1, budget))
+
+
 def test_rows_without_values_are_never_drawn(spark, points):
     signed = signed_points(points)
     holes = signed.select("vec_id", "x", "y").unionByName(spark.createDataFrame(
