@@ -47,7 +47,8 @@ def write_image_folder(df, root: str, height: int, width: int, channels: int, pr
                 files.write_file(f"{root}/{prefix}{label.as_py()}", f"{key.as_py()}.png", png_bytes(image))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    df.select("vec_id", "label", "pixels").mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+    rows = df.select("vec_id", "label", "pixels").repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "vec_id")
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()
 
 
 # x in -1..1 as a byte, the same rule in both engines.

@@ -15,6 +15,8 @@ from tablemodels.sources.files import open_file
 
 # Pixels that a task decodes at once (32 MB as doubles).
 DECODED_CELLS = 4_000_000
+# Small files that one task reads.
+FILES_PER_TASK = 5_000
 # Bytes of a tensor file that one task reads, and tasks at most.
 RANGE_BYTES = 32_000_000
 MAX_RANGES = 100_000
@@ -165,16 +167,22 @@ def class_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^class=", "")
 
 
+def _file_tasks(spark: SparkSession, n: int) -> int:
+    """Tasks for so many small files: Spark deals a few dozen to each, which every later job would pay for again."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-n // FILES_PER_TASK))
+
+
 def read_image_folder(spark: SparkSession, root: str) -> DataFrame:
     """Images in one folder per class (``1/…`` or ``class=1/…``) with their class and its index in sorted name order.
 
     Files that are no images are left out; a folder without images is a class all the same.
     """
     images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root)
+    folders = collect_bounded(class_file_counts(spark, root), MAX_LOOKUP_ROWS, "class folders")
+    images = images.coalesce(_file_tasks(spark, sum(r["n"] for r in folders)))
     plain = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))  # an image's origin is written as a URI
     named = image_rows(images).withColumn("class", class_of(plain))
-    folders = class_file_counts(spark, root).select("class")
-    names = sorted(r[0] for r in collect_bounded(folders, MAX_LOOKUP_ROWS, "class folders"))
+    names = sorted(r["class"] for r in folders)
     index = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)])
     return named.withColumn("label", index[F.col("class")].cast("int"))
 
@@ -182,7 +190,8 @@ def read_image_folder(spark: SparkSession, root: str) -> DataFrame:
 def class_file_counts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Files per class folder, ``<name>`` or ``class=<name>``; file contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return files.select(class_of(F.col("path")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    named = files.select(class_of(F.col("path")).alias("class")).coalesce(_file_tasks(spark, 0))  # names only
+    return named.groupBy("class").agg(F.count("*").alias("n"))
 
 
 def linspace(spark: SparkSession, lo: float, hi: float, n: int, name: str = "x") -> DataFrame:

@@ -166,3 +166,16 @@ def test_bench_prints_one_json_line():
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
     line = json.loads(out.stdout.strip().splitlines()[-1])
     assert line["unit"] == "sec" and list(line["queries"]) == ["a1_row_count"] and line["sf"] == "0.001"
+
+
+def test_small_image_files_share_tasks(spark, tmp_path):
+    """A thousand small files are read by few tasks, not by one for every few dozen."""
+    from checks import images
+    from tablemodels.sources import readers
+
+    rows = spark.range(1000).selectExpr("id AS vec_id", "CAST(id % 3 AS INT) AS label", "array_repeat(CAST(id % 256 AS DOUBLE), 4) AS pixels")
+    images.write_image_folder(rows, str(tmp_path), 2, 2, 1)
+    found = readers.read_image_folder(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert found.count() == 1000 and found.select("origin").distinct().count() == 1000
+    assert sorted(tuple(r) for r in readers.class_file_counts(spark, str(tmp_path)).collect()) == [("0", 334), ("1", 333), ("2", 333)]
