@@ -14,6 +14,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import groupby
 
 from tablemodels.llm.common import per_worker
 
@@ -170,14 +171,95 @@ class RankEncoder:
         return self.merges.encode_ordinary(text)
 
 
+# What the public word file does to a text before it looks for tokens.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+_ALL_MARKS = r"!-/:-@\[-`{-~"
+_SIMPLE = re.compile(rf"[{LETTERS}0-9{_ALL_MARKS} \n\t\r]*")
+_MARKS_AND_DIGITS = re.compile(rf"('(?:[stmd]|re|ve|ll)|[{_ALL_MARKS}]+|[0-9])")
+LONGEST_MERGED = 1000
+
+
+class WordEndEncoder:
+    """``ids_bytes(text)`` as of :class:`WordEncoder`, for the file of lower-case words with marked ends, by a merge table.
+
+    No token holds white space, so a blank can stand for the mark of a word's
+    end, which joins the last byte before any other merge, as in the file. The
+    ids of short words are remembered. Words with other letters than those of
+    ``_SIMPLE``, and very long ones, go to the file's own tokenizer, which few
+    workers hold.
+    """
+
+    def __init__(self, path: str, held: dict):
+        import tiktoken
+
+        self.path = path
+        printed, special = printed_bytes(), {t["id"] for t in held["added_tokens"]}
+        ranks = {}
+        for entry, i in held["model"]["vocab"].items():
+            core = entry.removesuffix(WORD_END)
+            if i not in special and printed.get(entry) == 0x20:
+                ranks[b" "] = i  # never found alone
+            elif i not in special and core:
+                spelt = bytes(printed[c] for c in core)
+                if b" " not in spelt:
+                    ranks[spelt + b" " * (core != entry)] = i
+        self.merges = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.kept = _Kept(self._word)
+
+    @staticmethod
+    def fits(held: dict) -> bool:
+        """Whether a file has the rules that this class follows."""
+        normalizer, cut = held.get("normalizer") or {}, held.get("pre_tokenizer") or {}
+        model, steps = held["model"], cut.get("pretokenizers") or [{}]
+        return (
+            normalizer.get("normalizers") == WORD_NORMALIZERS
+            and [k.get("type") for k in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": WORD_PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        )
+
+    @cached_property
+    def words(self) -> WordEncoder:
+        return WordEncoder(self.path)
+
+    def _word(self, word: str) -> bytes:
+        if len(word) > LONGEST_MERGED:
+            return self.words.ids_bytes(word)
+        ids = self.merges.encode_ordinary(word + " ")
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _simple(self, text: str) -> bytes:
+        return b"".join(map(self.kept.__getitem__, " ".join(_MARKS_AND_DIGITS.split(text.lower())).split()))
+
+    def ids_bytes(self, text: str | None) -> bytes:
+        out = []
+        for part in slices(text or ""):
+            if _SIMPLE.fullmatch(part):
+                out.append(self._simple(part))
+            else:
+                for simple, run in groupby(part.split(" "), lambda w: _SIMPLE.fullmatch(w) is not None):
+                    out.append((self._simple if simple else self.words.ids_bytes)(" ".join(run)))
+        return b"".join(out)
+
+
 def rank_encoder(path: str) -> RankEncoder:
     """One encoder per worker process and file."""
     return per_worker(("ranks", path), lambda: RankEncoder(path))
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | WordEndEncoder:
     """One encoder per worker process and file."""
-    return per_worker(("encoder", path), lambda: WordEncoder(path))
+
+    def made():
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        return WordEndEncoder(path, held) if WordEndEncoder.fits(held) else WordEncoder(path)
+
+    return per_worker(("encoder", path), made)
 
 
 def public_path(name: str) -> str:

@@ -62,6 +62,31 @@ def test_word_table_gives_the_tokenizer_s_ids(name):
     assert np.frombuffer(fast.ids_bytes(long), "<u4").tolist() == direct.encode(long, add_special_tokens=False).ids
 
 
+def test_word_file_by_a_merge_table_equals_its_tokenizer():
+    from tokenizers import Tokenizer
+
+    path, r = tokens.public_path("word_bpe_49k.json"), random.Random(5)
+    own, fast = Tokenizer.from_file(path), tokens.encoder(path)
+    own.encode_special_tokens = True
+
+    def want(text):
+        return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    entries = [e.removesuffix("</w>") for e in own.get_vocab()]
+    plain = [e for e in entries if e.isascii()]
+    texts = ["", " ", "\n", "It's 1999's ''s !'s we'll'd you'RE o'tt'", "a-b...c?!d 12.5%", "<|endoftext|> </w>", "\tÀÉß x\r\ny "]
+    texts += [" ".join("".join(r.choices(plain, k=r.randint(1, 4))) for _ in range(50)) for _ in range(200)]
+    texts += ["".join(r.choices("aeioustn éÈß'.,!?-09\n\t", k=r.randint(1, 200))) for _ in range(500)]
+    for text in texts:
+        assert fast.ids_bytes(text) == want(text), text
+    assert "words" not in vars(fast)  # plain texts need no second tokenizer
+    texts = ["".join(r.choices("aeI ou's,.9\u0301\u0130Σ\u00a0\x85\x00\x1cﬁ漢か€“", k=r.randint(1, 120))) for _ in range(500)]
+    texts += ["ab" * 600 + " c's", "!" * 1200, " " * 1500 + "x", "word “quoted” it’s 漢字's \u00a0 end"]
+    for text in texts:
+        assert fast.ids_bytes(text) == want(text), text
+    assert fast.ids_bytes(None) == b""
+
+
 def test_blocks_round_trip():
     r = random.Random(3)
     for n in (0, 1, 127, 128, 129, 5000):
