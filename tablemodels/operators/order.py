@@ -13,17 +13,18 @@ Null and NaN have no rank and are left out.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 import os.path
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemodels.session import scratch_dir
+from tablemodels.session import scratch_dir, small_table
 
 # Below this many rows the built-in exact percentile (one value map in one task) is as cheap.
 SMALL_ROWS = 50_000
@@ -296,8 +297,8 @@ def number_rows(df: DataFrame, name: str, *order: Column) -> DataFrame:
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, "numbered")
     df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", PLACE_BITS))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))  # one row per range
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    sizes = sorted(rows.groupBy("_part").agg(F.count("*")).collect())  # one row per range
+    ends = list(itertools.accumulate(n for _, n in sizes))
+    starts = small_table(spark, [(r[0], end - r[1]) for r, end in zip(sizes, ends)], "_part long, _start long")
     place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     return rows.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_at", "_start")
