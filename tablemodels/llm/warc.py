@@ -35,6 +35,7 @@ HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
 DIGESTS = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512",
            "md5": "md5"}
+SLICE = 1 << 14  # bytes handed to the unpacker at once
 CUT_OFF = "gzip member is cut off"
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 
@@ -180,13 +181,16 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
 
 def _decoded(data: bytes, at: int) -> tuple[bytes, int, str]:
     """(bytes, end, damage) of the gzip member that starts at ``at``; the bytes before the damage, if there is any."""
-    unpacker = zlib.decompressobj(31)
+    # In slices: what follows the member is copied by the unpacker, which must not be the whole rest.
+    unpacker, parts, end = zlib.decompressobj(31), [], at
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
-        return out, len(data) - len(unpacker.unused_data), "" if unpacker.eof else CUT_OFF
+        while end < len(data) and not unpacker.eof:
+            parts.append(unpacker.decompress(data[end : end + SLICE]))
+            end = min(end + SLICE, len(data))
+        return b"".join(parts), end - len(unpacker.unused_data), "" if unpacker.eof else CUT_OFF
     except zlib.error:
         pass
-    unpacker, parts, step = zlib.decompressobj(31), [], 1 << 14
+    unpacker, parts, step = zlib.decompressobj(31), [], SLICE
     while at < len(data):
         before = unpacker.copy()
         try:

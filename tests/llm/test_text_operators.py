@@ -308,6 +308,35 @@ def test_salvage(zipped):
     assert list(warc.salvage(b"")) == [] and [f[0] for f in warc.salvage(b"nothing")] == ["gap"]
 
 
+def test_reader_unpacks_each_member_without_the_rest_of_the_archive(monkeypatch):
+    copied = []
+
+    class Unpacker:
+        def __init__(self, bits):
+            self.inner = zlib.decompressobj(bits)
+
+        def decompress(self, data):
+            out = self.inner.decompress(data)
+            copied.append(len(self.inner.unused_data))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    class Zlib:
+        decompressobj, error = Unpacker, zlib.error
+
+    r = random.Random(2)
+    payloads = [r.randbytes(r.choice([0, 500, warc.SLICE - 300, warc.SLICE, 5 * warc.SLICE])) for _ in range(300)]
+    records = [warc.record_bytes(i, "u", p, "d", "response", None) for i, p in enumerate(payloads)]
+    data = b"".join(map(warc.member, records))
+    monkeypatch.setattr(warc, "zlib", Zlib)
+    found = list(warc.salvage(data))
+    assert [f["block"] for _, _, _, f in found] == [warc.HEAD + p for p in payloads]
+    assert [f[1] for f in found] == [0] + [f[2] for f in found[:-1]] and found[-1][2] == len(data)
+    assert max(copied) <= warc.SLICE
+
+
 def foreign_record(n, digest, fold=False):
     block = b"block %d " % n + b"".join(hashlib.sha256(b"%d %d" % (n, k)).digest() for k in range(40))
     lines = ["WARC/1.0", "WARC-Type:response", f"WARC-Record-ID:<urn:page:{n}>", "Content-Length:  %d " % len(block)]
