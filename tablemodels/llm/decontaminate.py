@@ -2,9 +2,9 @@
 
 Text becomes a row of words in which numbers, names and units are typed
 placeholders; punctuation and case are dropped. Windows of eight such words
-are hashed and joined with the benchmark's windows (a bitmap of the latter's
-hashes, if they are few enough, keeps most others out of the join); the documents with equal
-hashes are read again and checked word by word. An item is found in a document if half of its windows are, or
+are hashed and joined with the benchmark's windows by the hash alone, which are
+sent to every task while they are few; the documents with equal hashes are read
+again and checked word by word. An item is found in a document if half of its windows are, or
 six of them, and if the slots agree: within one place of the document, a value
 of the benchmark may stand for one value only. So a question with its numbers
 changed throughout is caught, and a chance likeness of tables of numbers is not.
@@ -36,7 +36,6 @@ PLAIN = 4
 ENOUGH = 6
 AGREE = 0.8
 SMALL_BENCHMARK = 500_000  # windows that may be sent to every task
-SLOTS_PER_WINDOW, MOST_SLOTS = 16, 1 << 18  # bytes of the bitmap, which is part of the plan
 # ASCII marks, Latin-1 signs, general and CJK punctuation.
 PUNCTUATION = r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2010-\u2027\u2030-\u205e\u3001-\u3003\u3008-\u3011"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
@@ -89,10 +88,6 @@ def template_of(marked_text: Column) -> Column:
     return words_of(F.when(marked_text.rlike(r"[\x01-\x03]"), bare).otherwise(marked_text))
 
 
-def _slot_of(hash_: Column, slots: int) -> Column:
-    return F.pmod(hash_, F.lit(slots)).cast("int")
-
-
 def _paired(frame: DataFrame, names: list[str]) -> DataFrame:
     """Columns of word hashes as hashes of the windows of eight words, in three doublings.
 
@@ -116,38 +111,36 @@ def _window_hash(words: Column, size: int) -> Column:
     return hashes[0]
 
 
-def _windows_of(hashes: Column, n_words: Column, size: int, known: bytes | None, form: int = 1) -> Column:
-    """(form, size, at, hash) of the windows of so many words whose slot in ``known`` is taken; of all without it.
+def _windows_of(hashes: Column, n: Column, size: int) -> Column:
+    """Hashes of the first ``n`` windows of so many words.
 
     ``hashes`` holds the hashes of the windows of eight words, or of the words for windows of other sizes.
     """
-
-    def found(h, i):
-        row = F.struct(F.lit(form).alias("d_form"), F.lit(size).alias("d_size"), (i + 1).alias("d_at"), h.alias("d_hash"))
-        inside = i <= n_words - size
-        if known is None:
-            return F.when(inside, row)
-        taken = F.substring(F.lit(known), _slot_of(h, len(known)) + 1, F.lit(1)) == F.lit(b"\x01")
-        return F.when(inside & taken, row)
-
+    firsts = F.slice(hashes, F.lit(1), n)
     if size == WINDOW:
-        rows = F.transform(hashes, found)
-    else:
-        rows = F.transform(hashes, lambda _, i: found(F.xxhash64(F.slice(hashes, i + 1, F.lit(size))), i))
-    return F.filter(rows, lambda r: r.isNotNull())
+        return firsts
+    return F.transform(firsts, lambda _, i: F.xxhash64(F.slice(hashes, i + 1, F.lit(size))))
 
 
-def _taken_slots(windows: DataFrame) -> bytes | None:
-    """One byte per slot of the windows' hashes, or None if there are too many windows to tell much."""
-    hashes = windows.select("hash").distinct()
-    n = hashes.limit(MOST_SLOTS // 2 + 1).count()
-    if n > MOST_SLOTS // 2:
-        return None
-    slots = min(MOST_SLOTS, 1 << max(10, (SLOTS_PER_WINDOW * n).bit_length()))
-    taken = bytearray(slots)
-    for r in hashes.select(F.pmod("hash", F.lit(slots)).alias("slot")).distinct().collect():  # at most MOST_SLOTS / 2
-        taken[r["slot"]] = 1
-    return bytes(taken)
+def _met(hashed: DataFrame, sent: DataFrame, kinds: list[tuple[Column, str, str, int]]) -> DataFrame:
+    """(d, h, number, d_at) of the documents' windows with the hash of a benchmark window of their kind.
+
+    A kind is a condition on benchmark windows, the columns of a document's hashes and number of words, and a size. The
+    plan holds nothing of the benchmark's: it would be written out with every text of the plan on the driver.
+    """
+    n = [F.greatest(F.col(words) - size + 1, F.lit(0)) for _, _, words, size in kinds]
+    lists = [_windows_of(F.col(hashes), n[k], size) for k, (_, hashes, _, size) in enumerate(kinds)]
+    before = [sum(n[:k], F.lit(0)) for k in range(len(kinds))]
+    # The lists are made in a projection of their own, so that unfolding and join are compiled as one.
+    each = hashed.select(
+        "d", "h", F.concat(*lists).alias("lists"), F.array(*n).alias("n"), F.array(*before).alias("before")
+    )
+    # The outer form: for the plain one the windows are worked out a second time, to drop empty arrays first.
+    each = each.select("d", "h", "n", "before", F.posexplode_outer("lists").alias("i", "d_hash"))
+    kind = F.coalesce(*[F.when(of, F.lit(k)) for k, (of, _, _, _) in enumerate(kinds)])
+    at = F.col("i") - F.get("before", kind)
+    met = each.join(sent, (F.col("d_hash") == F.col("hash")) & (at >= 0) & (at < F.get("n", kind)))
+    return met.select("d", "h", "number", (at + 1).alias("d_at"))
 
 
 def _numbered(windows: DataFrame, label: str) -> DataFrame:
@@ -225,13 +218,10 @@ def _whole_leaks(keyed: DataFrame, items: DataFrame) -> DataFrame | None:
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # at most eight
     if not sizes:
         return None
-    taken = _taken_slots(items)
     hashed = keyed.select("d", "h", _word_hashes(bare_words(marked(F.col("text")))).alias("wh"))
     hashed = _paired(hashed.withColumns({"w8": F.col("wh"), "words": F.size("wh")}), ["w8"])
-    hashes = F.concat(*[_windows_of(F.col("w8" if s == WINDOW else "wh"), F.col("words"), s, taken) for s in sizes])
-    each = hashed.select("d", "h", F.explode_outer(hashes).alias("x")).select("d", "h", "x.*")
-    met = each.join(_sent(items, "hash", "size"), (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
-    met = saved(met.select("d", "h", "number", "d_at"), "whole-matches")
+    kinds = [(F.col("size") == s, "w8" if s == WINDOW else "wh", "words", s) for s in sizes]
+    met = saved(_met(hashed, _sent(items, "hash", "size"), kinds), "whole-matches")
     met = met.join(items.select("number", "item", "i_whole"), "number")
     words = _texts_of(keyed, met).select("wd", "wh", bare_words(F.col("m")).alias("w"))
     met = met.join(words, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh")))
@@ -248,7 +238,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = _numbered(benchmark_windows(benchmark), "benchmark-windows")
     whole = whole_items(benchmark, windows)
     kinds = [tuple(r) for r in windows.select("form", "size").distinct().orderBy("form", "size").collect()]  # few
-    taken = _taken_slots(windows)
     keyed = _keyed(docs)
     kinds = kinds or [(1, WINDOW)]
     hashed = keyed.select("d", "h", marked(F.col("text")).alias("m"))
@@ -256,14 +245,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashed = hashed.select("d", "h", *[_word_hashes(template_of(F.col(f"m{f}"))).alias(f"wh{f}") for f in FORMS])
     hashed = hashed.select("*", *[F.col(f"wh{f}").alias(f"w8_{f}") for f in FORMS], *[F.size(f"wh{f}").alias(f"words{f}") for f in FORMS])
     hashed = _paired(hashed, [f"w8_{f}" for f in FORMS])
-    hashes = F.concat(
-        *[_windows_of(F.col(f"w8_{f}" if s == WINDOW else f"wh{f}"), F.col(f"words{f}"), s, taken, f) for f, s in kinds]
-    )
-    # The outer form: for the plain one the windows are worked out a second time, to drop empty arrays first.
-    each = hashed.select("d", "h", F.explode_outer(hashes).alias("x")).select("d", "h", "x.*")
-    same = (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")) & (F.col("d_form") == F.col("form"))
-    met = each.join(_sent(windows, "hash", "size", "form"), same)
-    met = saved(met.select("d", "h", "number", "d_at"), "window-matches")
+    kinds = [
+        ((F.col("form") == f) & (F.col("size") == s), f"w8_{f}" if s == WINDOW else f"wh{f}", f"words{f}", s) for f, s in kinds
+    ]
+    met = saved(_met(hashed, _sent(windows, "hash", "size", "form"), kinds), "window-matches")
     met = met.join(windows.drop("hash"), "number")
     # Only the documents with a match are read again, for the words themselves.
     words = _texts_of(keyed, met).select("wd", "wh", words_of(F.col("m")).alias("w"))

@@ -15,6 +15,7 @@ import __spark_entry__ as entry
 from tablemodels.llm import (
     decontaminate, graph, html_text, packing, quality, simhash, substring, token_files, tokens, topk, url_filter, warc,
 )
+from tablemodels.session import scratch_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, start int, words int, h int"
 
@@ -579,6 +580,29 @@ def test_templates(spark):
     assert stays_in_the_jvm(plan)
 
 
+def test_plans_hold_nothing_of_the_benchmark_and_items_of_all_lengths_are_met(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("bcdfghjk") + r.choice("aeiou") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(r.choice([4, 5, 7, 8, 9, 30])))) for i in range(400)]
+    items[:6] = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([4, 5, 7, 8, 9, 30])]
+    rows = [(100 + i, " ".join(word() for _ in range(r.choice([0, 3, 40])))) for i in range(6)]
+    rows = [(i, f"{t} {items[k][1]} {word()}") for k, (i, t) in enumerate(rows)] + rows
+    plans, write = {}, decontaminate.saved
+
+    def watched(df, label):
+        plans.setdefault(label, []).append(len(df._jdf.queryExecution().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(decontaminate, "saved", watched)
+    for n in (6, 400):
+        b = spark.createDataFrame(items[:n], "item_id long, text string")
+        b.write.parquet(folder := scratch_dir(spark, "items"))
+        found = decontaminate.leaks(docs(spark, rows), spark.read.parquet(folder))
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(100 + i, i) for i in range(6)}
+    few, many = plans["window-matches"]
+    assert many < 1.1 * few
+
+
 def test_items_with_few_plain_words_and_sentence_names(spark):
     tom = "{0} has {1} red apples and buys {2} more at the market. {3} eats {4} of them every day after lunch."
     items = {
