@@ -6,9 +6,11 @@ reference, which no worker can hold, so it is cut by content: the smallest hash
 of the 12-word grams inside a window is the window's anchor, and equal windows
 have equal anchors. Consecutive windows with one anchor form a segment.
 
-1. Every segment gives one small row: place, anchor, digest of its words. The
-   digest is cryptographic, so segments with one digest are equal; anchors may
-   collide, which only brings unlike segments together.
+1. The equal segments of a document give one small row: places, anchor, digest
+   of their words. So a line that fills a document gives as many rows as it has
+   different segments, however often it stands there. The digest is
+   cryptographic, so segments with one digest are equal; anchors may collide,
+   which only brings unlike segments together.
 2. Anchors that occur once hold no repeated window. Where all segments of an
    anchor are equal, they are repeated as a whole. Both follow from counts that
    are added up before the shuffle, so a passage in a third of all documents
@@ -91,7 +93,8 @@ def word_symbols(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def segments_of(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndarray]:
-    """Segments of several documents: row of the document, first word, windows, anchor, 128-bit digest of the words."""
+    """Segments of several documents: row of the document, windows, anchor, 128-bit digest of the words, and where the
+    document has them: first words ``starts[at[i] : at[i + 1]]``, ascending."""
     joined = b"\n".join(texts) + b"\n"
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     start, end, symbol = word_symbols(np.frombuffer(joined, np.uint8))
@@ -100,7 +103,7 @@ def segments_of(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndar
     n = len(start) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return {"row": none, "start": none, "n": none, "anchor": none, "seg": none, "seg2": none}
+        return {"row": none, "starts": none, "at": np.zeros(1, np.int64), "n": none, "anchor": none, "seg": none, "seg2": none}
     words = Hasher(symbol)
     at = np.arange(len(start) - gram + 1)
     grams = words.of(at, at + gram)
@@ -118,13 +121,19 @@ def segments_of(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndar
     plain, after = memoryview(b" ".join(joined.split())), np.cumsum(end - start + 1)  # the words one space apart
     spans = zip((after[first] - (end - start)[first] - 1).tolist(), (after[last + window - 2] - 1).tolist())
     digests = np.frombuffer(b"".join([blake2b(plain[s:e], digest_size=16).digest() for s, e in spans]), "<i8").reshape(-1, 2)
+    seg, seg2 = digests[:, 0], digests[:, 1]
+    order = np.lexsort((seg2, seg, row))  # stable
+    changes = [np.diff(x[order]) != 0 for x in (row, seg, seg2)]
+    at = np.r_[0, np.flatnonzero(np.logical_or.reduce(changes)) + 1] if len(order) else order
+    one = order[at]  # equal words have the same anchor and number of windows
     return {
-        "row": row,
-        "start": first - first_word[row],
-        "n": last - first,
-        "anchor": grams[place[first]].view(np.int64),
-        "seg": digests[:, 0],
-        "seg2": digests[:, 1],
+        "row": row[one],
+        "starts": (first - first_word[row])[order],
+        "at": np.r_[at, len(order)],
+        "n": (last - first)[one],
+        "anchor": grams[place[first]].view(np.int64)[one],
+        "seg": seg[one],
+        "seg2": seg2[one],
     }
 
 
@@ -137,13 +146,15 @@ def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 keys = [pa.array([r[i] for r in run_], pa.int64()).take(pa.array(found["row"])) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *keys, pa.array(found["start"], pa.int64()), pa.array(found["n"].astype(np.int32)),
+                        *keys,
+                        pa.ListArray.from_arrays(pa.array(found["at"].astype(np.int32)), pa.array(found["starts"], pa.int64())),
+                        pa.array(found["n"].astype(np.int32)),
                         *(pa.array(found[c]) for c in ("anchor", "seg", "seg2")),
                     ],
-                    [*ROW, "start", "n", "anchor", "seg", "seg2"],
+                    [*ROW, "starts", "n", "anchor", "seg", "seg2"],
                 )
 
-    return docs.select(*ROW, "text").mapInArrow(run, "d long, h long, g long, start long, n int, anchor long, seg long, seg2 long")
+    return docs.select(*ROW, "text").mapInArrow(run, "d long, h long, g long, starts array<long>, n int, anchor long, seg long, seg2 long")
 
 
 class SuffixAutomaton:
@@ -336,15 +347,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataF
     row = {"d": F.col("doc_id").cast("long"), "h": F.xxhash64(text), "g": F.xxhash64(F.lit("second"), text)}
     plain = docs.select(*[c.alias(n) for n, c in row.items()], text.alias("text"))
     segments = saved(_segments(plain, window, gram), "segments")
-    digest = F.struct("seg", "seg2")
-    anchors = segments.groupBy("anchor").agg(F.count("*").alias("c"), F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+    digest, times = F.struct("seg", "seg2"), F.size("starts")
+    anchors = segments.groupBy("anchor").agg(F.sum(times).alias("c"), F.min(digest).alias("lo"), F.max(digest).alias("hi"))
     # Written, so that both sides of the join come from an exchange and a common anchor can be split.
     anchors = saved(anchors.filter("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchors")
     recurring = saved(segments.join(anchors, "anchor"), "recurring-segments")
 
     mixed = recurring.filter(~F.col("alike"))
-    place = F.struct(F.coalesce("d", F.lit(-1)).alias("o"), *ROW, "start", "n")
-    distinct = mixed.groupBy(*SEGMENT).agg(F.count("*").alias("weight"), F.min(place).alias("p"))
+    place = F.struct(F.coalesce("d", F.lit(-1)).alias("o"), *ROW, F.col("starts")[0].alias("start"), "n")
+    distinct = mixed.groupBy(*SEGMENT).agg(F.sum(times).alias("weight"), F.min(place).alias("p"))
     wanted = distinct.select(
         *[F.col(f"p.{c}").alias(c) for c in ROW],
         F.struct(*SEGMENT, "weight", F.col("p.start").alias("start"), F.col("p.n").alias("n")).alias("w"),
@@ -357,9 +368,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataF
     )
     inside = saved(_repeated_in_shards(reference, window), "repeated-windows")
 
-    shifted = F.transform("places", lambda p: p + F.col("start") * 64)
+    shifted = F.flatten(F.transform("starts", lambda s: F.transform("places", lambda p: p + s * 64)))
     of_mixed = mixed.join(inside, SEGMENT).select(*ROW, shifted.alias("places"))
-    of_alike = recurring.filter("alike").select(*ROW, F.array(F.col("start") * 64 + F.col("n")).alias("places"))
+    of_alike = recurring.filter("alike").select(*ROW, F.transform("starts", lambda s: s * 64 + F.col("n")).alias("places"))
     # A set, so that the copies of a repeated row do not add up.
     found = of_mixed.union(of_alike).groupBy(*[F.col(c).alias(f"_{c}") for c in ROW]).agg(F.flatten(F.collect_set("places")).alias("_places"))
 

@@ -494,6 +494,19 @@ def test_copies_of_a_row_without_id_lose_the_same_words(spark):
     assert sorted((r["n_removed"], r["kept"]) for r in got) == [(0, "")] * 2 + [(100, "")] * 51
 
 
+def test_a_line_that_fills_documents_gives_one_row_for_each_of_its_segments(spark):
+    line = "Is onhe. " * 200
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(5 + i)) + " " + line + f"x{i}") for i in range(20)]
+    rows += [(None, "a b c " * 100), (30, " ".join("xyz"[k % 3] for k in range(60))), (31, None), (None, line), (None, line)]
+    plain = docs(spark, rows).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.lit(0).cast("long").alias("g"), "text")
+    found = substring._segments(plain.dropDuplicates(), 35, 12).collect()
+    assert len({(r["d"], r["h"], r["anchor"], r["seg"], r["seg2"]) for r in found}) == len(found) < 300
+    assert sum(len(r["starts"]) for r in found) > 3_000
+    got = substring.remove_repeats(docs(spark, rows), 35)
+    got = got.select("doc_id", "_repeats.n_words", "_repeats.n_removed", substring.kept_sha256(F.col("_repeats"))).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == cut_by_brute_force(rows, 35)
+
+
 def test_sets_of_three_are_fixed_in_steps_as_one_by_one(monkeypatch):
     def total(fixed):
         out = Counter()
