@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from tablemodels.llm.common import chunks, per_worker, saved
 
 GRAM = 12
-CHUNK_BYTES = 1_500_000
-SHARD_WORDS = 100_000
+CHUNK_BYTES = 300_000
+SHARD_WORDS = 30_000
 ROW = ["d", "h", "g"]  # what tells rows apart: id and two hashes of the text
 SEGMENT = ["anchor", "seg", "seg2"]
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
